@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, quality
+from . import bpe, fingerprint, lm, mixing, orcids, quality, sharding
 from .common import materialise
 
 
@@ -31,6 +32,23 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(_docs(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_rules, op9_pareto_mix, op10_bottom_k)}
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_docs(spark, sf_dir))
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_docs(spark, sf_dir))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orcids.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+ALL = (op1_host_rules, op2_context_tree, op5_hilbert_shards, op7_byte_bpe, op8_orc_ids, op9_pareto_mix, op10_bottom_k)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 SQL: dict[str, str] = {}

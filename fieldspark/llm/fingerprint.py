@@ -41,7 +41,7 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 
 def merge_sketches(df: DataFrame, key: str, sketch: str, k: int = K) -> DataFrame:
     """One sketch per key. Hashes are made distinct and cut to k by partial aggregates, so a hot key is no burden."""
-    each = df.select(key, F.explode(sketch).alias("h")).groupBy(key, "h").agg()
+    each = df.select(key, F.explode(sketch).alias("h")).distinct()
     first = Window.partitionBy(key).orderBy("h")
     return each.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(sketch))
 
