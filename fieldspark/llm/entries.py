@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, lm, mixing, orcids, quality, sharding
+from . import bpe, fingerprint, langid, lm, mixing, orcids, quality, sharding
 from .common import materialise
 
 
@@ -36,6 +36,10 @@ def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_docs(spark, sf_dir))
 
 
+def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(_docs(spark, sf_dir))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-ALL = (op1_host_rules, op2_context_tree, op5_hilbert_shards, op7_byte_bpe, op8_orc_ids, op9_pareto_mix, op10_bottom_k)
+ALL = (op1_host_rules, op2_context_tree, op3_byte_gru, op5_hilbert_shards, op7_byte_bpe, op8_orc_ids, op9_pareto_mix, op10_bottom_k)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 SQL: dict[str, str] = {}
