@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialise, scratch_path  # noqa: F401
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,29 +31,6 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(1))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, removed when the application ends.
-
-    The setting is read from the session. Where it is unset (tests, local use) a folder below the warehouse is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: computed once, and safe when executors are lost."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_small(df: DataFrame, small: DataFrame, on: Column, how: str = "left") -> DataFrame:
     """Join with a table that is usually small: broadcast if its counted rows are within BROADCAST_ROWS, else by shuffle.
 

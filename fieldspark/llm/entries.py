@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, lm, mixing, orcids, quality, sharding
+from . import bpe, fingerprint, html, jaccard, langid, lm, mixing, orcids, quality, sharding
 from .common import materialise
 
 
@@ -40,10 +40,18 @@ def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(_docs(spark, sf_dir))
 
 
+def op4_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_docs(spark, sf_dir))
 
 
+def op6_token_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_docs(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,7 +60,7 @@ def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-ALL = (op1_host_rules, op2_context_tree, op3_byte_gru, op5_hilbert_shards, op7_byte_bpe, op8_orc_ids, op9_pareto_mix, op10_bottom_k)
+ALL = (op1_host_rules, op2_context_tree, op3_byte_gru, op4_wrapper_induction, op5_hilbert_shards, op6_token_group_matrix, op7_byte_bpe, op8_orc_ids, op9_pareto_mix, op10_bottom_k)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 SQL: dict[str, str] = {}

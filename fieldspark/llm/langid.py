@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_remainder
 
@@ -179,7 +180,7 @@ def predict(net: dict, texts: list[bytes]) -> np.ndarray:
 
 def identify(docs: DataFrame, net: dict, text: str = "text") -> DataFrame:
     """`docs` with lang_pred and score (0 to 1). `net` is of fixed size and travels with the function."""
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator) -> Iterator:
