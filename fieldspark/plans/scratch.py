@@ -28,3 +28,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """materialise() as a table bucketed by `key`: a later grouping or join by the key reads it without a shuffle."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
