@@ -13,9 +13,9 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,35 +24,45 @@ from .common import scratch_path
 
 END_ID = 1
 #: Distinct words that a task remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+#: Rows that are split into words at a time.
+AT_ONCE = 256
 
 
 def encode_texts(vocabulary: str, end_id: int = END_ID):
-    """A function for mapInPandas: (doc_id, run, text) to (doc_id, run, n_tokens, ids).
+    """A function for mapInArrow: (doc_id, run, text) to (doc_id, run, n_tokens, ids).
 
     This tokenizer drops white space, and neither its normaliser nor its splitter looks across ASCII white space, so
-    the ids of a text are those of its words in order. Each distinct word is encoded once a task.
+    the ids of a text are those of its words in order. Each distinct word is encoded once a task, as packed ids.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.encode_special_tokens = True
-        known: dict[bytes, np.ndarray] = {}
-        for pdf in batches:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            texts = [(t or "").encode("utf-8").split() for t in pdf["text"]]
-            fresh = list({w for ws in texts for w in ws} - known.keys())
-            for i in range(0, len(fresh), 10_000):
-                part = fresh[i : i + 10_000]
-                coded = tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)
-                known.update((w, np.array(c.ids, np.int32)) for w, c in zip(part, coded))
-            end = np.array([end_id], np.int32)
-            ids = [np.concatenate([*map(known.__getitem__, ws), end]) for ws in texts]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "run": pdf["run"], "n_tokens": [len(x) for x in ids], "ids": ids})
+        known: dict[bytes, bytes] = {}
+        end = np.array([end_id], "<i4").tobytes()
+
+        def learn(words: list[bytes]) -> None:
+            for i in range(0, len(words), 4096):
+                part = words[i : i + 4096]
+                coded = tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
+                known.update((w, np.array(c.ids, "<i4").tobytes()) for w, c in zip(part, coded))
+
+        for b in batches:
+            for at in range(0, b.num_rows, AT_ONCE):
+                some = b.slice(at, AT_ONCE)
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                texts = [(t or "").encode("utf-8").split() for t in some.column("text").to_pylist()]
+                learn(list(set(chain.from_iterable(texts)) - known.keys()))
+                packed = [b"".join(map(known.__getitem__, ws)) + end for ws in texts]
+                n = np.array([len(x) // 4 for x in packed], np.int64)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("run"), pa.array(n), ids], ["doc_id", "run", "n_tokens", "ids"])
 
     return run
 
@@ -64,7 +74,7 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, key: str = "doc
     cuts = ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10_000)).first()[0]
     cut = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<bigint>")
     run = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(cut, lambda c: c < F.col("doc_id"))))
-    coded = ids.withColumn("run", run).select("doc_id", "run", "text").mapInPandas(encode_texts(vocabulary), "doc_id long, run int, n_tokens long, ids array<int>")
+    coded = ids.withColumn("run", run).select("doc_id", "run", "text").mapInArrow(encode_texts(vocabulary), "doc_id long, run int, n_tokens long, ids array<int>")
     order = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     coded = coded.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     coded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("compression", "zstd").partitionBy("run").orc(path)
