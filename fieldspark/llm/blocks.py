@@ -9,7 +9,6 @@ closed at BLOCK_WORDS distinct words or BLOCK_TOKENS words, so a block's rows fi
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,33 +17,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise_by
 
-BLOCK_WORDS, BLOCK_TOKENS, CHUNK = 1 << 20, 1 << 23, 1 << 16
+BLOCK_WORDS, BLOCK_TOKENS, CHUNK, PLACES = 1 << 20, 1 << 23, 1 << 16, 1 << 12
 COLUMNS = ["block", "doc_id", "flag", "ids", "base", "words", "counts", "part", "grams", "gram_counts"]
 NUMBERED = "block long, doc_id long, flag boolean, ids binary, base int, words array<binary>, counts array<long>, part int, grams binary, gram_counts binary"
 
 
-def number_words(docs: DataFrame, split: Callable[[], Callable[[str], list[bytes]]], name: str, gather: Callable | None = None) -> DataFrame:
-    """`docs` (doc_id, flag, text) as a materialised table of NUMBERED rows.
+class Numbers(dict):
+    """Numbers of words in the order of their first use, as packed little-endian 32-bit integers."""
 
-    Rows with `ids` are documents: their word numbers as compressed 32-bit integers. Rows with `words` are parts of a
-    block's dictionary: words base, base + 1, ..., and how often each occurs in documents whose flag is set.
-    `split()` is called once a task and gives the function from a text (never null) to its words. `gather()` is called
-    once a block and gives an object that is told every document, by add(words, flag), and says at the block's end, by
-    close(), which further rows (part, grams, gram_counts) the block sends.
+    def __missing__(self, word: bytes) -> bytes:
+        got = self[word] = len(self).to_bytes(4, "little")
+        return got
+
+
+def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[str], bytes]], name: str, gather: Callable | None = None) -> DataFrame:
+    """`docs` (doc_id, flag, text) as a table of NUMBERED rows, in files by block.
+
+    Rows with `ids` are documents: their word numbers, packed. Rows with `words` are parts of a block's dictionary: words
+    base, base + 1, ..., and how often each occurs in documents whose flag is set. `split(numbers)` is called once a block
+    and gives the function from a text (never null) to its packed word numbers. `gather()` is called once a block, too, and
+    gives an object that is told every document, by add(text, flag), and says at the block's end, by close(), which further
+    rows (part, grams, gram_counts) the block sends.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, part, k = split(), TaskContext.get().partitionId(), 0
+        part, k = TaskContext.get().partitionId(), 0
 
         def table(rows: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(rows, columns=COLUMNS)
 
         def opened() -> tuple:
-            numbers: defaultdict = defaultdict()
-            numbers.default_factory = numbers.__len__
-            return numbers, np.zeros(0, np.int64), 0, gather() if gather else None
+            numbers = Numbers()
+            return numbers, split(numbers), np.zeros(0, np.int64), 0, gather() if gather else None
 
         def closed() -> Iterator[pd.DataFrame]:
             words, n = list(numbers), counts[: len(numbers)]
@@ -54,30 +60,30 @@ def number_words(docs: DataFrame, split: Callable[[], Callable[[str], list[bytes
             for row in more.close() if more else ():
                 yield table([(part << 24 | k, None, None, None, None, None, None, *row)])
 
-        numbers, counts, seen, more = opened()
+        numbers, cut, counts, seen, more = opened()
         for pdf in batches:
             rows = []
             for doc_id, flag, text in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["flag"], pdf["text"]):
-                found = cut(text)
-                ids = np.array(list(map(numbers.__getitem__, found)), "<u4")
-                seen += len(ids)
+                packed = cut(text)
+                seen += len(packed) // 4
                 if more:
-                    more.add(found, flag)
-                if flag and len(ids):
+                    more.add(text, flag)
+                if flag and packed:
                     if len(counts) < len(numbers):
                         counts = np.pad(counts, (0, max(len(numbers), 2 * len(counts)) - len(counts)))
-                    np.add.at(counts, ids, 1)
-                rows.append((part << 24 | k, doc_id, flag, zlib.compress(ids.tobytes(), 1), None, None, None, None, None, None))
+                    np.add.at(counts, np.frombuffer(packed, "<u4"), 1)
+                rows.append((part << 24 | k, doc_id, flag, pack_numbers(packed), None, None, None, None, None, None))
                 if len(numbers) >= BLOCK_WORDS or seen >= BLOCK_TOKENS:
                     yield table(rows)
                     yield from closed()
                     rows, k = [], k + 1
-                    numbers, counts, seen, more = opened()
+                    numbers, cut, counts, seen, more = opened()
             if rows:
                 yield table(rows)
         yield from closed()
 
-    return materialise(docs.select("doc_id", "flag", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, NUMBERED), name)
+    rows = docs.select("doc_id", "flag", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, NUMBERED)
+    return materialise_by(rows, "block", name)
 
 
 def dictionary(numbered: DataFrame) -> DataFrame:
@@ -87,14 +93,20 @@ def dictionary(numbered: DataFrame) -> DataFrame:
     return rows.select("block", (F.col("base") + F.col("i")).cast("int").alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
 
 
-def apply_values(numbered: DataFrame, values: DataFrame, pack: Callable[[pd.DataFrame], list[bytes]], use: Callable[[pd.DataFrame, np.ndarray, list[list[bytes]], pd.DataFrame], pd.DataFrame], schema: str, more: DataFrame | None = None, keep_word: bool = False) -> DataFrame:
+def apply_values(numbered: DataFrame, values: DataFrame | Callable[[DataFrame], DataFrame], pack: Callable[[pd.DataFrame], list[bytes]], use: Callable[[pd.DataFrame, np.ndarray, list[list[bytes]], pd.DataFrame], pd.DataFrame], schema: str, more: DataFrame | None = None, keep_word: bool = False) -> DataFrame:
     """One row per document by `use(documents, places, packed)`, where values of all its block's words are at hand.
 
-    `values` has a row for each distinct word. `pack` turns rows of (block, place, values) into a few byte strings;
+    `values` has a row for each distinct word, or is a function that adds values to rows of distinct words. `pack` turns rows of (block, place, values) into a few byte strings;
     `use` gets them in a list per part, with the places of the parts' words one after the other, and the rows of `more`
     (block, grams, logs) that belong to the block. With `keep_word`, `pack` sees the words too.
     """
-    rows = dictionary(numbered).drop("n").join(values, "word")
+    if callable(values):
+        # Each distinct word meets its places in one shuffle; a word has at most PLACES of them in a row.
+        slice_ = F.floor(F.shiftright("block", 24) / PLACES)
+        rows = dictionary(numbered).groupBy("word", slice_.alias("slice")).agg(F.collect_list(F.struct("block", "place")).alias("at"))
+        rows = values(rows).select("*", F.explode("at").alias("to")).select("*", "to.block", "to.place").drop("at", "to", "slice")
+    else:
+        rows = dictionary(numbered).drop("n").join(values, "word")
     rows = rows if keep_word else rows.drop("word")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,5 +126,11 @@ def apply_values(numbered: DataFrame, values: DataFrame, pack: Callable[[pd.Data
     return docs.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(meet, schema)
 
 
-def unpack(ids: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(ids), "<u4")
+def pack_numbers(numbers: bytes) -> bytes:
+    """Compressed little-endian 32-bit integers, the lowest bytes of all first."""
+    return zlib.compress(np.frombuffer(numbers, np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()

@@ -24,8 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import apply_values, dictionary, number_words, unpack
-from .common import let, materialise
+from .blocks import Numbers, apply_values, number_words, unpack
+from .common import let
 
 #: Buckets of the rank map: a lookup in a map is a scan, so the literal is an array of small maps, found by crc32.
 BUCKETS, NEVER = 1 << 14, 2**31 - 1
@@ -74,7 +74,8 @@ def encode_word(word: Column, ranks: Column) -> Column:
 
     def fold(text: Column) -> Column:
         chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
-        start = let(chars, lambda c: F.struct(c.alias("p"), F.transform(F.slice(c, F.lit(2), F.size(c)), lambda x, i: cost(F.concat(F.get(c, i), x))).alias("r")))
+        pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: cost(F.substring(text, i, F.lit(2))))).otherwise(none)
+        start = F.struct(chars.alias("p"), pairs.alias("r"))
         rounds = F.sequence(F.lit(1), F.length(text))
         return F.transform(F.aggregate(rounds, start, step)["p"], rank)
 
@@ -84,31 +85,31 @@ def encode_word(word: Column, ranks: Column) -> Column:
     return let(F.decode(word, "ISO-8859-1"), whole)
 
 
-def pattern_words(pattern: str) -> Callable[[], Callable[[str], list[bytes]]]:
+def pattern_words(pattern: str) -> Callable[[Numbers], Callable[[str], bytes]]:
     """A splitter of texts by the tokenizer's pattern.
 
     Where every space stands between two characters that aren't white space, no word of the pattern reaches over a space
     other than by starting with it, so the stretches between spaces are cut one by one and remembered.
     """
 
-    def split() -> Callable[[str], list[bytes]]:
+    def split(numbers: Numbers) -> Callable[[str], bytes]:
         import regex
 
-        find, spaces, known = regex.compile(pattern).findall, re.compile(r"\s "), {}
+        find, spaces = regex.compile(pattern).findall, re.compile(r"\s ")
+        number = lambda text: b"".join([numbers[w.encode("utf-8")] for w in find(text)])
 
-        def words(text: str) -> list[bytes]:
+        class Stretches(dict):
+            def __missing__(self, stretch: str) -> bytes:
+                got = self[stretch] = number(" " + stretch)
+                return got
+
+        known = Stretches()
+
+        def words(text: str) -> bytes:
             if spaces.search(text) or text.startswith(" "):
-                return [w.encode("utf-8") for w in find(text)]
-            out: list[bytes] = []
-            if len(known) > 1_000_000:
-                known.clear()
+                return number(text)
             first, *rest = text.split(" ")
-            for unit in (first, *[" " + x for x in rest]):
-                got = known.get(unit)
-                if got is None:
-                    got = known[unit] = [w.encode("utf-8") for w in find(unit)]
-                out += got
-            return out
+            return number(first) + b"".join(map(known.__getitem__, rest))
 
         return words
 
@@ -119,8 +120,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every text."""
     ranks = read_ranks(ranks_path)
     numbered = number_words(docs.select(F.col(key).alias("doc_id"), F.lit(False).alias("flag"), F.col(text).alias("text")), pattern_words(pattern), "words")
-    words = dictionary(numbered).select("word").distinct()
-    codes = materialise(words.select("word", encode_word(F.col("word"), rank_map(ranks)).alias("ids")), "codes")
+    literal = rank_map(ranks)
+    codes = lambda words: words.withColumn("ids", encode_word(F.col("word"), literal))
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece

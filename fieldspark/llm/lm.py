@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import apply_values, dictionary, number_words, unpack
+from .blocks import Numbers, apply_values, dictionary, number_words, unpack
 from .common import id_remainder, materialise
 
 DEPTH, END, BYTE = 5, b"\n", np.uint64(8)
@@ -89,8 +89,8 @@ class BlockGrams:
         self.flags: list[bool] = []
         self.waiting, self.keys, self.counts = 0, [], []
 
-    def add(self, words: list[bytes], flag: bool) -> None:
-        self.texts.append(coded(words))
+    def add(self, text: str, flag: bool) -> None:
+        self.texts.append(coded([*text.encode("utf-8").lower().split(), END]))
         self.flags.append(bool(flag))
         self.waiting += len(self.texts[-1])
         if self.waiting >= AT_ONCE:
@@ -232,8 +232,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_bits_per_byte of every text."""
     rows = docs.select(F.col(key).alias("doc_id"), (id_remainder(F.col(key), folds) != 0).alias("flag"), F.col(text).alias("text"))
 
-    def split():
-        return lambda t: t.encode("utf-8").lower().split() + [END]  # of bytes: A-Z only, ASCII white space only
+    def split(numbers: Numbers):
+        find = numbers.__getitem__
+        return lambda t: b"".join(map(find, t.encode("utf-8").lower().split())) + find(END)  # of bytes: A-Z only, ASCII white space only
 
     numbered = number_words(rows, split, "lm-words", BlockGrams)
     words = materialise(dictionary(numbered).groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
