@@ -11,9 +11,13 @@ shorter first; an empty table gives an empty result; other columns are dropped;
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -23,42 +27,80 @@ from pyspark.sql import functions as F
 from .common import scratch_path
 
 END_ID = 1
-#: Distinct words that a task remembers before it starts afresh.
-CACHE_WORDS = 400_000
+#: Distinct words that a Python worker remembers.
+CACHE_WORDS = 1_000_000
 #: Rows that are split into words at a time.
 AT_ONCE = 256
 
 
+def worker_memory(name: str) -> dict:
+    """A dictionary that a Python worker keeps between its tasks, for values that follow from their keys."""
+    kept = sys.modules.setdefault("fieldspark_worker_memory", types.ModuleType("fieldspark_worker_memory"))
+    return kept.__dict__.setdefault(name, {})
+
+
+class Words:
+    """The ids of words, packed, by a tokenizer whose ids of a text are those of its words in order."""
+
+    def __init__(self, vocabulary: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[bytes, bytes] = worker_memory(vocabulary)
+        ids = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[v for k, v in ids.items() if k.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        self.known.update((w.encode("utf-8"), array("i", ids).tobytes()) for w, ids in zip(words, self._encode(words)))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Words of letters only are encoded together, as one text, and told apart by the ids that end a word."""
+        if len(self.known) > CACHE_WORDS:  # the older half goes
+            for w in list(islice(self.known, len(self.known) // 2)):
+                del self.known[w]
+        plain, other = [], []
+        for w in map(bytes.decode, words):
+            (plain if w.isalpha() and is_normalized("NFC", w) and w.lower().isalpha() else other).append(w)
+        self._learn(other)
+        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            ids = np.array(ids, "<i4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):
+                self._learn(group)
+                continue
+            packed, start = ids.tobytes(), 0
+            for w, end in zip(group, cuts.tolist()):
+                self.known[w.encode("utf-8")] = packed[4 * start : 4 * end]
+                start = end
+
+
 def encode_texts(vocabulary: str, end_id: int = END_ID):
     """A function for mapInArrow: (doc_id, run, text) to (doc_id, run, n_tokens, ids).
 
     This tokenizer drops white space, and neither its normaliser nor its splitter looks across ASCII white space, so
-    the ids of a text are those of its words in order. Each distinct word is encoded once a task, as packed ids.
+    the ids of a text are those of its words in order. A worker encodes each distinct word once, while it remembers it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        known: dict[bytes, bytes] = {}
-        end = np.array([end_id], "<i4").tobytes()
-
-        def learn(words: list[bytes]) -> None:
-            for i in range(0, len(words), 4096):
-                part = words[i : i + 4096]
-                coded = tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-                known.update((w, np.array(c.ids, "<i4").tobytes()) for w, c in zip(part, coded))
-
+        words = Words(vocabulary)
+        known, end = words.known, np.array([end_id], "<i4").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 some = b.slice(at, AT_ONCE)
-                if len(known) > CACHE_WORDS:
-                    known.clear()
                 texts = [(t or "").encode("utf-8").split() for t in some.column("text").to_pylist()]
-                learn(list(set(chain.from_iterable(texts)) - known.keys()))
-                packed = [b"".join(map(known.__getitem__, ws)) + end for ws in texts]
+                words.learn(set(chain.from_iterable(texts)) - known.keys())
+                try:
+                    packed = [b"".join(map(known.__getitem__, ws)) + end for ws in texts]
+                except KeyError:  # a word of this batch went with the older half
+                    words.learn(set(chain.from_iterable(texts)) - known.keys())
+                    packed = [b"".join(map(known.__getitem__, ws)) + end for ws in texts]
                 n = np.array([len(x) // 4 for x in packed], np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
