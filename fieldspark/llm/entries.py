@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, jaccard, langid, lm, mixing, orcids, quality, sharding
+from . import bpe, fingerprint, html, jaccard, langid, lm, mixing, orcids, quality, sharding, sql
 from .common import materialise
 
 
@@ -63,4 +63,4 @@ def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (op1_host_rules, op2_context_tree, op3_byte_gru, op4_wrapper_induction, op5_hilbert_shards, op6_token_group_matrix, op7_byte_bpe, op8_orc_ids, op9_pareto_mix, op10_bottom_k)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_host_rules": sql.OP1, "op6_token_group_matrix": sql.OP6, "op9_pareto_mix": sql.OP9}
