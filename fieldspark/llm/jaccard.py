@@ -33,7 +33,7 @@ SHINGLE, PERCENT = 5, 80
 #: Bits of the table that marks tokens shared by many documents: it decides an order only, so collisions do no harm.
 MARK_BITS = 1 << 24
 #: A token is marked if so many different sets of one batch hold it. Leaders a token may have.
-MARK_FROM, LEADERS, AT_ONCE = 3, 4, 1 << 22
+MARK_FROM, LEADERS, AT_ONCE = 3, 32, 1 << 22
 
 _ODD, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -260,10 +260,10 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = F.greatest("low", F.ceil(PERCENT * F.col("nq") / 100))
     large = F.least("high", F.floor(100 * F.col("nq") / PERCENT))
     able = lambda n: F.col("c") + F.greatest(_room(F.col("nq")), _room(n)) >= _least(F.col("nq"), n)
-    hits = hits.filter((small <= large) & (able(small) | able(large))).select("q", "g")
-    members = entries.select("token", F.col("sid").alias("s"), F.col("n").alias("ns"), "g")
-    pairs = q.join(members, "token").filter("g <> gq AND q < s").join(hits, ["q", "g"], "left_semi")
-    pairs = pairs.groupBy(F.col("q").alias("a"), F.col("s").alias("b")).agg(F.first("nq").alias("na"), F.first("ns").alias("nb"), F.count(F.lit(1)).alias("c"))
+    hits = hits.filter((small <= large) & (able(small) | able(large))).select(F.col("q").alias("a"), F.col("nq").alias("na"), "g", "c")
+    members = entries.select(F.col("sid").alias("b"), F.col("n").alias("nb"), "g").distinct()
+    # A group's count is at least that of each of its members, so it bounds the pair's, too.
+    pairs = hits.join(members, "g").filter("a < b")
     pairs = materialise(pairs.filter(fits(F.col("c"))).select("a", "b"), "open-pairs")
     more = _verify(docs, pairs) if not pairs.isEmpty() else links.limit(0)
     return rows.filter("n >= 0").select("doc_id", "sid", "n"), links.unionByName(more)
