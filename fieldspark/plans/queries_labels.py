@@ -114,10 +114,10 @@ def broadcast_back(spark, sf):
     return df.select("label", "x", "y", "z", rd(F.col("value") - F.col("mean")).alias("centred"))
 
 
-@query(_cov_sql("SELECT DISTINCT vertex FROM (SELECT doc_id AS vertex, unnest(list_distinct([length(w) % 12 for w in string_split(text, ' ')])) AS tag FROM documents WHERE text IS NOT NULL) JOIN (SELECT label FROM inv WHERE fa BETWEEN 0.7 AND 0.9 AND n BETWEEN 10 AND 5000 AND label % 3 = 0) ON tag = label"))
+@query(_cov_sql("SELECT DISTINCT vertex FROM (SELECT doc_id AS vertex, unnest(list_distinct([length(w) % 12 for w in string_split(text, ' ')])) AS tag FROM documents WHERE text IS NOT NULL) JOIN (SELECT label FROM inv WHERE fa BETWEEN 0.9 AND 1.3 AND n BETWEEN 10 AND 1000000 AND label % 3 = 0) ON tag = label"))
 def select_labels(spark, sf):
     stats = L.label_statistics(A.voxels(spark, sf)).filter("label % 3 = 0")
-    chosen = L.select_labels(stats, {"fa": (0.7, 0.9), "size": (10, 5000)})
+    chosen = L.select_labels(stats, {"fa": (0.9, 1.3), "size": (10, 1000000)})
     return L.points_with_tags(A.tag_sets(spark, sf), chosen)
 
 
