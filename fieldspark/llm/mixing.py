@@ -85,12 +85,14 @@ def mix_plan(sizes: DataFrame, source: str = "source", size: str = "size", keys:
 
 
 def mix(df: DataFrame, plan: DataFrame, source: str = "source", size: str = "size", keys: tuple = ("doc_id",), seed: int = 0) -> DataFrame:
-    """`df` with source_size, target, copies (long) and taken (copies * size), by the plan of mix_plan()."""
-    ranked = _ranked(df, plan, source, size, keys, seed)
+    """`df` with source_size, target, copies (long) and taken (copies * size), by the plan of mix_plan(); columns of these names are replaced."""
+    own = [f"__fs_key{i}" for i in range(len(keys))]
+    rows = df.select(F.struct(*df.columns).alias("__fs_row"), F.col(source).alias("__fs_source"), F.col(size).alias("__fs_size"), *[F.col(k).alias(a) for k, a in zip(keys, own)])
+    ranked = _ranked(rows, plan, "__fs_source", "__fs_size", tuple(own), seed)
     extra = (F.col("mix_bin") < F.col("cut")) | ((F.col("mix_bin") == F.col("cut")) & (F.col("mix_rank") <= F.coalesce("last", F.lit(-1.0))))
-    copies = F.when(F.col(size) > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
-    made = {"source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col(size)}
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(k) for k, v in made.items()])
+    copies = F.when(F.col("__fs_size") > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
+    made = {"source_size": F.col("source_size"), "target": F.col("target"), "copies": copies, "taken": copies * F.col("__fs_size")}
+    return ranked.select(*[F.col("__fs_row")[c].alias(c) for c in df.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def word_count(text: Column) -> Column:
@@ -100,11 +102,8 @@ def word_count(text: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken; texts are read twice and never shuffled."""
-    columns = docs.columns
-    sized = docs.withColumn("__fs_size", word_count(F.col(text)))
-    sizes = materialise(sized.select(F.col(key).alias("__fs_key"), F.col(source).alias("__fs_source"), "__fs_size"), "sizes")
-    plan = mix_plan(sizes, "__fs_source", "__fs_size", keys=("__fs_key",), **options)
-    df = sized.withColumns({"__fs_key": F.col(key), "__fs_source": F.col(source)})
-    df = mix(df, plan, "__fs_source", "__fs_size", keys=("__fs_key",))
-    df = df.withColumn("__fs_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    rows = docs.select(F.struct(*docs.columns).alias("__fs_doc"), F.col(key).alias("__fs_id"), F.col(source).alias("__fs_from"), word_count(F.col(text)).alias("__fs_words"))
+    sizes = materialise(rows.drop("__fs_doc"), "sizes")
+    plan = mix_plan(sizes, "__fs_from", "__fs_words", keys=("__fs_id",), **options)
+    df = mix(rows, plan, "__fs_from", "__fs_words", keys=("__fs_id",))
+    return df.withColumn("__fs_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__fs_doc.*")

@@ -37,7 +37,7 @@ def _covered(windows: Column, width: int) -> Column:
 
 
 def document_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the columns of FEATURES (long) added; nothing is shuffled."""
+    """`docs` with the columns of FEATURES (long) added, in place of any of these names; nothing is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in FEATURES]
     df = docs.select(*keep, t.alias("__fs_t"), words(t).alias("__fs_w"))
@@ -111,8 +111,7 @@ def judge(measured: DataFrame, host: str = "source", limit: float = 0.5, hosts:
 
 def reject_documents(docs: DataFrame, text: str = "text", host: str = "source", **options) -> DataFrame:
     """The rows of `docs` that judge() keeps, columns unchanged. Hosts are judged from narrow rows; texts are never shuffled."""
-    columns = docs.columns
-    narrow = materialise(document_features(docs.select(host, text), text).drop(text), "features")
-    hosts = host_verdicts(narrow, host, **options)
-    kept = judge(document_features(docs, text), host, hosts=hosts, **options).filter("kept")
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    rows = docs.select(F.struct(*docs.columns).alias("__fs_row"), F.col(host).alias("__fs_host_of"), F.col(text).alias("__fs_text"))
+    narrow = materialise(document_features(rows.drop("__fs_row"), "__fs_text").drop("__fs_text"), "features")
+    hosts = host_verdicts(narrow, "__fs_host_of", **options)
+    return judge(document_features(rows, "__fs_text"), "__fs_host_of", hosts=hosts, **options).filter("kept").select("__fs_row.*")

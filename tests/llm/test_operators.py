@@ -15,12 +15,12 @@ import public_tokenizers
 from fieldspark.llm import bpe, fingerprint, html, jaccard, langid, lm, mixing, orcids, quality, sharding
 
 WS = b" \t\n\x0b\x0c\r"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, words string, block long, ids string, run string, h string, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, words string, block long, ids string, run string, h string, label string, n_words string, target string, kept string, cut string"
 
 
 def frame(spark, rows, schema=SCHEMA):
     """(doc_id, text, lang, source) rows, with further columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 7, "w", 1, "i", "r", "h", "l") for r in rows], schema)
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 7, "w", 1, "i", "r", "h", "l", "n", "t", "k", "c") for r in rows], schema)
 
 
 def prose(rng, n, syllables=("an", "ther", "ing", "ou", "é", "st", "re")):
