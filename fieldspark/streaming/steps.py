@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.scratch import scratch_path
@@ -23,14 +24,15 @@ def run_to_table(df: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over what is there now, and read its output. Output and checkpoint are in the shared folder."""
     spark = df.sparkSession
     path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    schema = df.schema
+    schema = T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])
+    spark.createDataFrame([], schema).write.parquet(f"{path}/epoch=none")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/epoch={epoch:06d}")
 
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     (w.foreachBatch(keep)).start().awaitTermination()
-    return spark.read.schema(schema.add("epoch", "long") if "epoch" not in schema.names else schema).parquet(f"{path}/epoch=*")
+    return spark.read.schema(schema).parquet(f"{path}/epoch=*")
 
 
 def step_aggregate_stream(events: DataFrame, step: str, delay: str, value: str = "value", ts: str = "ts") -> DataFrame:
