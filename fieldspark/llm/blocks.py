@@ -14,12 +14,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise_by
 
-BLOCK_WORDS, BLOCK_TOKENS, CHUNK, PLACES = 1 << 20, 1 << 23, 1 << 16, 1 << 12
+BLOCK_WORDS, BLOCK_TOKENS, CHUNK = 1 << 20, 1 << 23, 1 << 14
+#: Parts of the space of words, where the words of all blocks meet.
+PARTS = 256
 COLUMNS = ["block", "doc_id", "flag", "ids", "base", "words", "counts", "part", "grams", "gram_counts"]
 NUMBERED = "block long, doc_id long, flag boolean, ids binary, base int, words array<binary>, counts array<long>, part int, grams binary, gram_counts binary"
 
@@ -49,12 +51,14 @@ def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[str], byt
             return pd.DataFrame(rows, columns=COLUMNS)
 
         def opened() -> tuple:
-            numbers = Numbers()
-            return numbers, split(numbers), np.zeros(0, np.int64), 0, gather() if gather else None
+            numbers, more = Numbers(), gather() if gather else None
+            if isinstance(more, BlockWords):
+                more.numbers = numbers
+            return numbers, split(numbers), np.zeros(0, np.int64), 0, more
 
         def closed() -> Iterator[pd.DataFrame]:
-            words, n = list(numbers), counts[: len(numbers)]
-            n = np.pad(n, (0, len(words) - len(n)))
+            words = [] if isinstance(more, BlockWords) else list(numbers)
+            n = np.pad(counts[: len(words)], (0, max(0, len(words) - len(counts))))
             for i in range(0, len(words), CHUNK):
                 yield table([(part << 24 | k, None, None, None, i, words[i : i + CHUNK], n[i : i + CHUNK], None, None, None)])
             for row in more.close() if more else ():
@@ -93,20 +97,14 @@ def dictionary(numbered: DataFrame) -> DataFrame:
     return rows.select("block", (F.col("base") + F.col("i")).cast("int").alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
 
 
-def apply_values(numbered: DataFrame, values: DataFrame | Callable[[DataFrame], DataFrame], pack: Callable[[pd.DataFrame], list[bytes]], use: Callable[[pd.DataFrame, np.ndarray, list[list[bytes]], pd.DataFrame], pd.DataFrame], schema: str, more: DataFrame | None = None, keep_word: bool = False) -> DataFrame:
+def apply_values(numbered: DataFrame, values: DataFrame, pack: Callable[[pd.DataFrame], list[bytes]], use: Callable[[pd.DataFrame, np.ndarray, list[list[bytes]], pd.DataFrame], pd.DataFrame], schema: str, more: DataFrame | None = None, keep_word: bool = False) -> DataFrame:
     """One row per document by `use(documents, places, packed)`, where values of all its block's words are at hand.
 
-    `values` has a row for each distinct word, or is a function that adds values to rows of distinct words. `pack` turns rows of (block, place, values) into a few byte strings;
+    `values` has a row for each distinct word. `pack` turns rows of (block, place, values) into a few byte strings;
     `use` gets them in a list per part, with the places of the parts' words one after the other, and the rows of `more`
     (block, grams, logs) that belong to the block. With `keep_word`, `pack` sees the words too.
     """
-    if callable(values):
-        # Each distinct word meets its places in one shuffle; a word has at most PLACES of them in a row.
-        slice_ = F.floor(F.shiftright("block", 24) / PLACES)
-        rows = dictionary(numbered).groupBy("word", slice_.alias("slice")).agg(F.collect_list(F.struct("block", "place")).alias("at"))
-        rows = values(rows).select("*", F.explode("at").alias("to")).select("*", "to.block", "to.place").drop("at", "to", "slice")
-    else:
-        rows = dictionary(numbered).drop("n").join(values, "word")
+    rows = dictionary(numbered).drop("n").join(values, "word")
     rows = rows if keep_word else rows.drop("word")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,18 +112,88 @@ def apply_values(numbered: DataFrame, values: DataFrame | Callable[[DataFrame],
             for block, g in pdf.groupby("block"):
                 yield pd.DataFrame({"block": [block], "places": [g["place"].to_numpy("<i4").tobytes()], "data": [[zlib.compress(x, 1) for x in pack(g)]]})
 
+    parts = rows.mapInPandas(packed, "block long, places binary, data array<binary>")
+    if more is not None:
+        parts = parts.withColumns({"grams": F.lit(None).cast("binary"), "logs": F.lit(None).cast("binary")}).unionByName(more.withColumns({"places": F.lit(None).cast("binary"), "data": F.lit(None).cast("array<binary>")}))
+    return _meet(numbered, parts, use, schema)
+
+
+def _meet(numbered: DataFrame, parts: DataFrame, use: Callable, schema: str) -> DataFrame:
+    """A block's documents and its words' values in one task; the documents' table is bucketed by block already."""
+
     def meet(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         mine = parts[parts["places"].notna()]
         places = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x, "<i4") for x in mine["places"]]])
         return use(docs, places, [[zlib.decompress(x) for x in d] for d in mine["data"]], parts[parts["places"].isna()])
 
-    parts = rows.mapInPandas(packed, "block long, places binary, data array<binary>")
-    if more is not None:
-        parts = parts.withColumns({"grams": F.lit(None).cast("binary"), "logs": F.lit(None).cast("binary")}).unionByName(more.withColumns({"places": F.lit(None).cast("binary"), "data": F.lit(None).cast("array<binary>")}))
     docs = numbered.filter(F.col("ids").isNotNull()).select("block", "doc_id", "flag", "ids")
     return docs.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(meet, schema)
 
 
+class BlockWords:
+    """A block's distinct words, dealt by part: what a block sends in place of a dictionary. Their places travel along."""
+
+    def __init__(self) -> None:
+        self.numbers: Numbers | None = None
+
+    def add(self, text: str, flag: bool) -> None:
+        pass
+
+    def close(self) -> list[tuple[int, bytes, bytes]]:
+        words = list(self.numbers)
+        part = np.fromiter((zlib.crc32(w) % PARTS for w in words), np.int32, len(words))
+        order = np.argsort(part, kind="stable")
+        out = []
+        for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(at):
+                out.append((int(part[at[0]]), pack_words([words[i] for i in at]), zlib.compress(at.astype("<i4").tobytes(), 1)))
+        return out
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zlib.compress(np.array([len(words), *map(len, words)], "<i4").tobytes() + b"".join(words), 1)
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    raw = zlib.decompress(packed)
+    n = int(np.frombuffer(raw, "<i4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<i4", n, 4)) + 4 * (n + 1)
+    return [raw[i:j] for i, j in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
+
+
+def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], pack: Callable[[list], list[bytes]], use: Callable, schema: str) -> DataFrame:
+    """apply_values() for a table numbered with BlockWords, with values that follow from a word alone.
+
+    All blocks' words of a part meet in one task; `encode` (an expression) runs over each distinct word once, and `pack`
+    turns a list of values into a few byte strings for each block. Words are shuffled once, and their values once.
+    """
+    arrays = "blocks array<long>, places array<binary>, which array<binary>, words array<binary>"
+
+    def union(g: pd.DataFrame) -> pd.DataFrame:
+        numbers, which = {}, []
+        for x in g["grams"]:
+            words = unpack_words(x)
+            which.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), "<i4", len(words)))
+        words, rows = list(numbers), []
+        for lo in range(0, len(words), CHUNK):  # a row holds so many distinct words at most
+            own = [(w >= lo) & (w < lo + CHUNK) for w in which]
+            places = [np.frombuffer(zlib.decompress(p), "<i4")[o].tobytes() for p, o in zip(g["gram_counts"], own)]
+            rows.append((g["block"].to_list(), places, [(w[o] - lo).tobytes() for w, o in zip(which, own)], words[lo : lo + CHUNK]))
+        return pd.DataFrame(rows, columns=["blocks", "places", "which", "words"])
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for blocks, places, which, values in zip(pdf["blocks"], pdf["places"], pdf["which"], pdf["values"]):
+                rows = [(b, p, [zlib.compress(x, 1) for x in pack([values[i] for i in np.frombuffer(w, "<i4")])]) for b, p, w in zip(blocks, places, which) if len(p)]
+                yield pd.DataFrame(rows, columns=["block", "places", "data"])
+
+    tasks = 2 * int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = numbered.filter(F.col("grams").isNotNull()).select("part", "block", "grams", "gram_counts").repartition(tasks, "part")
+    words = words.groupBy("part").applyInPandas(union, arrays)
+    coded = words.select("blocks", "places", "which", F.transform("words", encode).alias("values"))
+    return _meet(numbered, coded.mapInPandas(deal, "block long, places binary, data array<binary>"), use, schema)
+
+
 def pack_numbers(numbers: bytes) -> bytes:
     """Compressed little-endian 32-bit integers, the lowest bytes of all first."""
     return zlib.compress(np.frombuffer(numbers, np.uint8).reshape(-1, 4).T.tobytes(), 1)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Numbers, apply_values, number_words, unpack
+from .blocks import BlockWords, Numbers, apply_codes, number_words, unpack
 from .common import let
 
 #: Buckets of the rank map: a lookup in a map is a scan, so the literal is an array of small maps, found by crc32.
@@ -100,7 +100,8 @@ def pattern_words(pattern: str) -> Callable[[Numbers], Callable[[str], bytes]]:
 
         class Stretches(dict):
             def __missing__(self, stretch: str) -> bytes:
-                got = self[stretch] = number(" " + stretch)
+                # Letters alone are one word of the pattern.
+                got = self[stretch] = numbers[b" " + stretch.encode("utf-8")] if stretch.isalpha() else number(" " + stretch)
                 return got
 
         known = Stretches()
@@ -119,20 +120,19 @@ def pattern_words(pattern: str) -> Callable[[Numbers], Callable[[str], bytes]]:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every text."""
     ranks = read_ranks(ranks_path)
-    numbered = number_words(docs.select(F.col(key).alias("doc_id"), F.lit(False).alias("flag"), F.col(text).alias("text")), pattern_words(pattern), "words")
+    numbered = number_words(docs.select(F.col(key).alias("doc_id"), F.lit(False).alias("flag"), F.col(text).alias("text")), pattern_words(pattern), "words", BlockWords)
     literal = rank_map(ranks)
-    codes = lambda words: words.withColumn("ids", encode_word(F.col("word"), literal))
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary, of fixed size
 
-    def pack(g: pd.DataFrame) -> list[bytes]:
-        return [np.array([len(x) for x in g["ids"]], "<u4").tobytes(), np.concatenate(g["ids"].to_list()).astype("<u4").tobytes()]
+    def pack(ids: list) -> list[bytes]:
+        return [np.array([len(x) for x in ids], "<u4").tobytes(), np.concatenate(ids).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]
 
     def use(docs: pd.DataFrame, places: np.ndarray, parts: list[list[bytes]], _: pd.DataFrame) -> pd.DataFrame:
         n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(p[0], "<u4").astype(np.int64) for p in parts]])
-        flat = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(p[1], "<u4") for p in parts]])
+        flat = np.concatenate([np.zeros(0, np.uint32), *[np.ascontiguousarray(np.frombuffer(p[1], np.uint8).reshape(4, -1).T).view("<u4").ravel() for p in parts]])
         start, length = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         start[places], length[places] = np.cumsum(n) - n, n
         rows, binary = [], shared.value
@@ -149,7 +149,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
         return out if keep_ids else out.drop(columns="ids")
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return apply_values(numbered, codes, pack, use, schema + ", ids array<int>" * keep_ids)
+    return apply_codes(numbered, lambda word: encode_word(word, literal), pack, use, schema + ", ids array<int>" * keep_ids)
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
