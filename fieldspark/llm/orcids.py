@@ -28,7 +28,7 @@ from .common import scratch_path
 
 END_ID = 1
 #: Distinct words that a Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_400_000
 #: Rows that are split into words at a time.
 AT_ONCE = 256
 
@@ -94,7 +94,7 @@ def encode_texts(vocabulary: str, end_id: int = END_ID):
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 some = b.slice(at, AT_ONCE)
-                texts = [(t or "").encode("utf-8").split() for t in some.column("text").to_pylist()]
+                texts = [(t or b"").split() for t in some.column("text").cast(pa.binary()).to_pylist()]
                 words.learn(set(chain.from_iterable(texts)) - known.keys())
                 try:
                     packed = [b"".join(map(known.__getitem__, ws)) + end for ws in texts]
@@ -119,7 +119,7 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, key: str = "doc
     coded = ids.withColumn("run", run).select("doc_id", "run", "text").mapInArrow(encode_texts(vocabulary), "doc_id long, run int, n_tokens long, ids array<int>")
     order = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     coded = coded.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    coded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("compression", "zstd").partitionBy("run").orc(path)
+    coded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("compression", "snappy").partitionBy("run").orc(path)
 
 
 def read_token_ids(spark, path: str) -> DataFrame:
