@@ -114,4 +114,6 @@ def reject_documents(docs: DataFrame, text: str = "text", host: str = "source",
     rows = docs.select(F.struct(*docs.columns).alias("__fs_row"), F.col(host).alias("__fs_host_of"), F.col(text).alias("__fs_text"))
     narrow = materialise(document_features(rows.drop("__fs_row"), "__fs_text").drop("__fs_text"), "features")
     hosts = host_verdicts(narrow, "__fs_host_of", **options)
-    return judge(document_features(rows, "__fs_text"), "__fs_host_of", hosts=hosts, **options).filter("kept").select("__fs_row.*")
+    # The row number keeps the filter above the measuring: pushed below, it would measure again for every word.
+    measured = document_features(rows, "__fs_text").withColumn("__fs_row_number", F.monotonically_increasing_id())
+    return judge(measured, "__fs_host_of", hosts=hosts, **options).filter(F.col("kept") & (F.col("__fs_row_number") >= 0)).select("__fs_row.*")
