@@ -207,6 +207,35 @@ def test_main_text(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_is_of_different_pages(spark):
+    """A text on two of four pages stays; so does an article of which most of the host's pages are copies or near copies."""
+    body = lambda *ps: "<body><div>" + "".join(f"<p>{p}</p>" for p in ("Same on all.", *ps)) + "</div></body>"
+    rows = [(i, "http://four/%d" % i, body(f"Own {i} a", f"Own {i} b", *(["On two"] if i < 2 else []))) for i in range(4)]
+    article = [f"Paragraph {k}" for k in range(20)]
+    rows += [(100 + i, "http://copied/%d" % i, body(*article)) for i in range(10)]
+    rows += [(200 + i, "http://copied/n%d" % i, body(*article[:i], f"changed {i}", *article[i + 1 :])) for i in range(10)]
+    rows += [(300 + i, "http://copied/o%d" % i, body(f"Other {i} a", f"Other {i} b")) for i in range(5)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[0] == ["Own 0 a", "Own 0 b", "On two"] and got[2] == ["Own 2 a", "Own 2 b"]
+    assert all(got[100 + i] == article for i in range(10))
+    assert all(got[200 + i] == [*article[:i], f"changed {i}", *article[i + 1 :]] for i in range(10))
+    assert all(got[300 + i] == [f"Other {i} a", f"Other {i} b"] for i in range(5))
+
+
+def test_every_layout_has_references(spark):
+    """Each of 12 layouts of a host has a text of its own that is template, with pages of one shape and of several."""
+    rows = []
+    for k in range(12):
+        for i in range(6):
+            more = "".join(f"<div class=x{i}><p>Part {k} {i} {n}</p></div>" for n in range(i)) if k % 2 else ""
+            rows.append((k * 100 + i, f"http://many/{k}/{i}", f"<html><body><div class=l{k}><div class=t{k}><p>Of layout {k}</p></div><div class=c{k}><p>First {k} {i}</p><p>Second {k} {i}</p>{more}</div></div></body></html>"))
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == 72
+    for k in range(12):
+        for i in range(6):
+            assert got[k * 100 + i].split("\n\n")[:2] == [f"First {k} {i}", f"Second {k} {i}"] and "Of layout" not in got[k * 100 + i]
+
+
 def test_simple_tree_matching():
     a = [(0, "r"), (1, "x"), (2, "p"), (1, "y"), (1, "z")]
     b = [(0, "r"), (1, "w"), (1, "x"), (2, "q"), (2, "p"), (1, "z")]
