@@ -27,12 +27,13 @@ def _distance(cols: list[str], periods: list) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [periodic_displacement(f"a_{c}", f"b_{c}", p) ** 2 for c, p in zip(cols, periods)]))
 
 
-def radius_join(a: DataFrame, b: DataFrame, radius: float, cols: list[str], id: str = "id", periods: list | None = None, keys: tuple = (), self_join: bool = False, salt: int = 1) -> DataFrame:
+def radius_join(a: DataFrame, b: DataFrame, radius: float, cols: list[str], id: str = "id", periods: list | None = None, keys: tuple = (), self_join: bool = False, salt: int = 1, where: Column | None = None, carry: tuple = ()) -> DataFrame:
     """Pairs (a_id, b_id, distance) no farther apart than the radius; with self_join each pair once, a_id < b_id.
 
     Points are put into bins as wide as the radius, b's points are sent to the bins around their own, and bins are joined.
     Only the first three axes are binned. `keys` (time steps, groups) must be equal on both sides. Rows with a NULL or NaN
-    coordinate meet nobody. `salt` splits crowded bins: a's rows are dealt over so many copies of b's.
+    coordinate meet nobody. `salt` splits crowded bins: a's rows are dealt over so many copies of b's. `where` is a condition on
+    pairs over distance, a_<col>, b_<col> and a_<name> of a's columns in `carry`.
     """
     periods = list(periods or [None] * len(cols))
     binned = list(zip(cols, _bins(periods, radius)))[:3]
@@ -48,7 +49,7 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, cols: list[str], id:
         return F.array(*near) if n is None else F.array_distinct(F.array(*[F.pmod(x, F.lit(n)) for x in near]))
 
     names = [f"__bin{i}" for i in range(len(binned))]
-    left = ok(a).select(*keys, F.col(id).alias("a_id"), *[F.col(c).cast("double").alias(f"a_{c}") for c in cols], *[bin_of(c, w, n).alias(x) for x, (c, (w, n)) in zip(names, binned)])
+    left = ok(a).select(*keys, F.col(id).alias("a_id"), *[F.col(c).cast("double").alias(f"a_{c}") for c in cols], *[F.col(c).alias(f"a_{c}") for c in carry], *[bin_of(c, w, n).alias(x) for x, (c, (w, n)) in zip(names, binned)])
     right = ok(b).select(*keys, F.col(id).alias("b_id"), *[F.col(c).cast("double").alias(f"b_{c}") for c in cols], *[around(c, w, n).alias(x) for x, (c, (w, n)) in zip(names, binned)])
     for x in names:
         right = right.withColumn(x, F.explode(x))
@@ -60,7 +61,8 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, cols: list[str], id:
     pairs = left.join(right, on)
     if self_join:
         pairs = pairs.filter("a_id < b_id")
-    return pairs.withColumn("distance", _distance(cols, periods)).filter(F.col("distance") <= F.lit(float(radius))).select(*keys, "a_id", "b_id", "distance")
+    pairs = pairs.withColumn("distance", _distance(cols, periods)).filter(F.col("distance") <= F.lit(float(radius)))
+    return (pairs if where is None else pairs.filter(where)).select(*keys, "a_id", "b_id", "distance")
 
 
 def cell_list_pairs(df: DataFrame, bounds: list[tuple[float, float]], cols: list[str], cutoff: float, periodic: bool = True, id: str = "id") -> DataFrame:
@@ -79,9 +81,12 @@ def _typical_radius(df: DataFrame, cols: list[str], k: int) -> float:
     return (2.0 * k * math.prod(sides) / n) ** (1 / d) / 2
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str = "id", same: bool = False, radius: float | None = None, max_rounds: int = 24) -> DataFrame:
+def knn_join(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str = "id", same: bool = False, radius: float | None = None, max_rounds: int = 24, keys: tuple = (), where: Column | None = None, carry: tuple = ()) -> DataFrame:
     """(a_id, b_id, distance, rank from 1): each a's k nearest points of b, ties by b's id; with `same` a point isn't its own neighbour.
 
+    With `keys` (first columns of the result) points meet those of equal keys only, and ids need be unique within them;
+    `where` and `carry` are those of radius_join(): of the points that meet the condition the nearest are taken.
+
     Points with fewer than k neighbours within the radius are tried again with twice the radius. When the radius covers the
     whole box, what was found is final. Each round's unfinished points are all that goes on.
     """
@@ -90,19 +95,19 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str = "id"
     spans = [max(x[2 * i + 1] for x in boxes) - min(x[2 * i] for x in boxes) for i in range(len(cols)) if all(x[2 * i] is not None for x in boxes)]
     most = math.sqrt(sum(float(s) ** 2 for s in spans)) + 1e-9
     todo, out = a, None
-    w = Window.partitionBy("a_id").orderBy("distance", "b_id")
+    w = Window.partitionBy(*keys, "a_id").orderBy("distance", "b_id")
     for _ in range(max_rounds):
-        pairs = radius_join(todo, b, r, cols, id)
+        pairs = radius_join(todo, b, r, cols, id, keys=keys, where=where, carry=carry)
         if same:
             pairs = pairs.filter("a_id <> b_id")
         near = pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
         if r >= most:
             return near if out is None else out.unionByName(near)
         near = materialise(near, "near")
-        done = materialise(near.filter(F.col("rank") == k).select("a_id"), "done")
-        part = near.join(done, "a_id", "left_semi")
+        done = materialise(near.filter(F.col("rank") == k).select(*keys, "a_id"), "done")
+        part = near.join(done, [*keys, "a_id"], "left_semi")
         out = part if out is None else out.unionByName(part)
-        todo = materialise(todo.join(done.withColumnRenamed("a_id", id), id, "left_anti").select(id, *cols), "todo")
+        todo = materialise(todo.join(done.withColumnRenamed("a_id", id), [*keys, id], "left_anti").select(*keys, id, *cols, *carry), "todo")
         if todo.isEmpty():
             return out
         r *= 2

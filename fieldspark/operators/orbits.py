@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import periodic_distance, turn_angle
 from ..functions.tensor import sym_eig2
+from ..plans.scratch import materialise
+from .components import connected_components
+from .neighbors import knn_join, radius_join
 
 
 def _w(pid: str, step: str) -> Window:
@@ -174,33 +179,54 @@ def visit_frequency(df: DataFrame, cell: str, label: DataFrame, pid: str = "pid"
     return visits.withColumn("frequency", F.col("visits") / F.col("size") / F.lit(float(max(1, paths))))
 
 
-def orbit_tangent(df: DataFrame, k: int, cols: list[str] = ("x", "y"), pid: str = "pid", step: str = "step", max_gap: int = 64) -> DataFrame:
-    """Per step, the principal direction of the unit displacements to its k nearest points of the same orbit (at most max_gap steps away)."""
+def _orbit_radius(df: DataFrame, k: int, cols: list[str], pid: str) -> float:
+    """A first radius for the neighbours within an orbit: about 2k points of an orbit that fills the box of all."""
+    box = df.agg(F.count(F.lit(1)) / F.approx_count_distinct(pid), *[F.max(c) - F.min(c) for c in cols]).first()
+    sides = [float(s) for s in box[1:] if s]
+    return (2.0 * k * math.prod(sides) / box[0]) ** (1 / len(sides)) / 2 if sides else 1.0
+
+
+def orbit_tangent(df: DataFrame, k: int, cols: list[str] = ("x", "y"), pid: str = "pid", step: str = "step") -> DataFrame:
+    """Per step, the principal direction of the unit displacements to its k nearest points of the same orbit; points at its own place don't count."""
     x, y = cols
-    a = df.select(pid, F.col(step).alias("i"), F.col(x).alias("ax"), F.col(y).alias("ay"))
-    b = df.select(pid, F.col(step).alias("j"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    pairs = a.join(b, pid).filter(f"i <> j AND abs(i - j) <= {max_gap}").withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")})
-    pairs = pairs.withColumn("d", F.hypot("dx", "dy")).filter("d > 0")
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy(pid, "i").orderBy("d", "j"))).filter(F.col("r") <= k)
+    p = df.select(pid, step, x, y)
+    near = knn_join(p, p, k, list(cols), step, radius=_orbit_radius(p, k, cols, pid), keys=(pid,), where=F.col("distance") > 0)
+    at = lambda i, s: p.select(pid, F.col(step).alias(i), F.col(x).alias(f"{s}x"), F.col(y).alias(f"{s}y"))
+    near = near.select(pid, F.col("a_id").alias("i"), F.col("b_id").alias("j"), F.col("distance").alias("d")).join(at("i", "a"), [pid, "i"]).join(at("j", "b"), [pid, "j"])
+    near = near.withColumns({"dx": F.col("bx") - F.col("ax"), "dy": F.col("by") - F.col("ay")})
     m = near.groupBy(pid, "i").agg(F.sum(F.col("dx") * F.col("dx") / (F.col("d") * F.col("d"))).alias("xx"), F.sum(F.col("dx") * F.col("dy") / (F.col("d") * F.col("d"))).alias("xy"), F.sum(F.col("dy") * F.col("dy") / (F.col("d") * F.col("d"))).alias("yy"))
     e = sym_eig2("xx", "xy", "yy")
     return m.select(pid, F.col("i").alias(step), e[2].alias("tx"), e[3].alias("ty"), e[0].alias("strength"))
 
 
-def curve_links(df: DataFrame, tangents: DataFrame, cols: list[str] = ("x", "y"), max_dist: float = float("inf"), pid: str = "pid", step: str = "step", max_gap: int = 64) -> DataFrame:
+def curve_links(df: DataFrame, tangents: DataFrame, cols: list[str] = ("x", "y"), max_dist: float = float("inf"), pid: str = "pid", step: str = "step") -> DataFrame:
     """Mutual links (pid, i, j), i < j, of points that are each other's nearest on one side along the tangent: at most two per point."""
     x, y = cols
-    p = df.join(tangents.select(pid, step, "tx", "ty"), [pid, step])
-    a = p.select(pid, F.col(step).alias("i"), F.col(x).alias("ax"), F.col(y).alias("ay"), "tx", "ty")
-    b = df.select(pid, F.col(step).alias("j"), F.col(x).alias("bx"), F.col(y).alias("by"))
-    pairs = a.join(b, pid).filter(f"i <> j AND abs(i - j) <= {max_gap}")
-    along = (F.col("bx") - F.col("ax")) * F.col("tx") + (F.col("by") - F.col("ay")) * F.col("ty")
-    pairs = pairs.withColumns({"d": F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")), "ahead": along > 0}).filter(F.col("d") <= F.lit(float(max_dist)))
-    best = pairs.groupBy(pid, "i", "ahead").agg(F.min(F.struct("d", "j")).alias("m")).select(pid, "i", F.col("m.j").alias("j")).distinct()
+    p = materialise(df.join(tangents.select(pid, step, "tx", "ty"), [pid, step]).select(pid, step, x, y, "tx", "ty"), "tangents")
+    others = df.select(pid, step, x, y)
+    along = (F.col(f"b_{x}") - F.col(f"a_{x}")) * F.col("a_tx") + (F.col(f"b_{y}") - F.col(f"a_{y}")) * F.col("a_ty")
+    best = None
+    for side in (along > 0, along <= 0):
+        where = side & (F.col("distance") <= F.lit(float(max_dist)))
+        if math.isinf(max_dist):
+            near = knn_join(p, others, 1, list(cols), step, same=True, radius=_orbit_radius(others, 1, cols, pid), keys=(pid,), where=where, carry=("tx", "ty"))
+        else:
+            near = radius_join(p, others, max_dist, list(cols), step, keys=(pid,), where=where & (F.col("a_id") != F.col("b_id")), carry=("tx", "ty"))
+        near = near.groupBy(pid, F.col("a_id").alias("i")).agg(F.min(F.struct("distance", "b_id"))["b_id"].alias("j"))
+        best = near if best is None else best.unionByName(near)
+    best = materialise(best.distinct(), "nearest")
     other = best.select(pid, F.col("j").alias("i"), F.col("i").alias("j"))
     return best.join(other, [pid, "i", "j"]).filter("i < j").distinct()
 
 
+def link_chains(df: DataFrame, links: DataFrame, pid: str = "pid", step: str = "step") -> DataFrame:
+    """(pid, step, chain) of all points: `chain` is the smallest step of those that curve_links()' links connect; a point without links is its own."""
+    end = lambda c: F.struct(F.col(pid).alias("p"), F.col(c).alias("s"))
+    cc = connected_components(links.select(end("i").alias("src"), end("j").alias("dst")))
+    cc = cc.select(F.col("id.p").alias(pid), F.col("id.s").alias(step), F.col("component.s").alias("chain"))
+    return df.select(pid, step).join(cc, [pid, step], "left").withColumn("chain", F.coalesce("chain", F.col(step)))
+
+
 def stop_at_exit(df: DataFrame, inside: Column, pid: str = "pid", step: str = "step", most: int | None = None) -> DataFrame:
     """Each trajectory up to the step before it first leaves the domain, and of at most `most` steps."""
     out = F.max((~F.coalesce(inside, F.lit(False))).cast("int")).over(_w(pid, step).rowsBetween(Window.unboundedPreceding, 0))

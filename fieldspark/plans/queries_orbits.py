@@ -116,6 +116,12 @@ def curve_links(spark, sf):
     return O.curve_links(t, O.orbit_tangent(t, 4))
 
 
+@query()
+def link_chains(spark, sf):
+    t = A.trajectories(spark, sf)
+    return O.link_chains(t, O.curve_links(t, O.orbit_tangent(t, 4)))
+
+
 @query(with_views("SELECT pid, step FROM (SELECT pid, step, max(CASE WHEN x <= 1500 THEN 0 ELSE 1 END) OVER (PARTITION BY pid ORDER BY step) AS o, row_number() OVER (PARTITION BY pid ORDER BY step) AS n FROM trajectories) WHERE o = 0 AND n <= 40", "trajectories"))
 def stop_at_exit(spark, sf):
     return O.stop_at_exit(A.trajectories(spark, sf), F.col("x") <= 1500, most=40).select("pid", "step")

@@ -229,3 +229,36 @@ def test_isomap_recovers_a_line(spark):
     got = sorted((r["id"], r["coords"][0]) for r in graph.isomap(v, 2, 40, 1).collect())
     line = np.array([c for _, c in got])
     assert abs(np.corrcoef(line, t)[0, 1]) > 0.9999
+
+
+def test_orbits_are_compared_whole(spark):
+    """Two orbits that come back to the circle's places after 100 steps: neighbours, links and chains against brute force."""
+    rng = random.Random(9)
+    turn = lambda i: 2 * math.pi * (i % 100 + 0.3 * (i // 100) + rng.random() * 0.1) / 100
+    rows = [(p, i, (p + 1) * math.cos(a), (p + 1) * math.sin(a)) for p in range(2) for i in range(200) for a in [turn(i)]]
+    df = spark.createDataFrame(rows, "pid long, step long, x double, y double")
+    t = {(r["pid"], r["step"]): r for r in orbits.orbit_tangent(df, 3).collect()}
+    near, best = {}, {}
+    for p in range(2):
+        own = [r for r in rows if r[0] == p]
+        for _, i, x, y in own:
+            d = sorted((math.hypot(u - x, v - y), j, u - x, v - y) for _, j, u, v in own if j != i)
+            near[p, i] = d
+            m = sum(np.outer(q[2:], q[2:]) / q[0] ** 2 for q in d[:3])
+            w, v = np.linalg.eigh(m)
+            assert t[p, i]["strength"] == pytest.approx(w[1]) and abs(t[p, i]["tx"] * v[0, 1] + t[p, i]["ty"] * v[1, 1]) == pytest.approx(1)
+            for side in (True, False):
+                hit = [q[1] for q in d if (q[2] * t[p, i]["tx"] + q[3] * t[p, i]["ty"] > 0) == side]
+                best.setdefault((p, i), set()).update(hit[:1])
+    want = {(p, i, j) for (p, i), js in best.items() for j in js if i < j and i in best[p, j]}
+    links = orbits.curve_links(df, orbits.orbit_tangent(df, 3))
+    assert {tuple(r) for r in links.select("pid", "i", "j").collect()} == want and any(j - i > 64 for _, i, j in want)
+    short = orbits.curve_links(df, orbits.orbit_tangent(df, 3), max_dist=0.03)
+    far = {(p, i): dict((q[1], q[0]) for q in near[p, i]) for p, i in near}
+    assert {tuple(r) for r in short.select("pid", "i", "j").collect()} == {k for k in want if far[k[0], k[1]][k[2]] <= 0.03}
+    chains = {(r["pid"], r["step"]): r["chain"] for r in orbits.link_chains(df, links).collect()}
+    parent = {(p, i): i for p, i, *_ in rows}
+    for _ in rows:
+        for p, i, j in want:
+            parent[p, i] = parent[p, j] = min(parent[p, i], parent[p, j])
+    assert chains == parent
