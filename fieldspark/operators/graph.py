@@ -58,21 +58,24 @@ def degree_histogram(edges: DataFrame) -> DataFrame:
     return neighbour_degree(edges, 0).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int, every: int = 2) -> DataFrame:
-    """(source, id, dist) over paths of at most max_hops edges (both directions given), by rounds of relaxation.
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """(source, id, dist) by rounds of relaxation until no distance changes; with max_hops over paths of at most so many edges.
 
-    Only the distances that the last round lowered go on. `sources` are few landmarks at scale; all pairs need all as sources.
+    Edges in both directions. Only the distances that the last round lowered go on. `sources` are few landmarks at scale; all
+    pairs need all as sources. A RuntimeError is raised if max_rounds don't suffice (a negative cycle never settles).
     """
     best = materialise(sources.select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist")), "paths")
     front = best
-    for _ in range(max_hops):
+    for _ in range(max_rounds if max_hops is None else max_hops):
         step = front.join(edges.select(F.col("src").alias("id"), "dst", "weight"), "id").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))
         both = best.join(step, ["source", "id"], "full_outer")
         lower = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
         both = materialise(both.select("source", "id", F.when(lower, F.col("new")).otherwise(F.col("dist")).alias("dist"), lower.alias("changed")), "paths")
         best, front = both.select("source", "id", "dist"), both.filter("changed").select("source", "id", "dist")
         if front.isEmpty():
-            break
+            return best
+    if max_hops is None:
+        raise RuntimeError(f"paths didn't settle within {max_rounds} rounds")
     return best
 
 
@@ -121,22 +124,43 @@ def minimum_spanning_tree(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"no tree within {max_rounds} rounds")
 
 
-def chain_curves(ends: DataFrame, min_pieces: int = 1, max_rounds: int = 200) -> DataFrame:
+def _line_places(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(id, end, hops) of open lines (src, dst; at most two links a vertex): the hops from each vertex to the line's end in either direction.
+
+    Pointer doubling over directed links: the rounds grow with the logarithm of the longest line. An end has no row for itself.
+    """
+    arcs = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    after = arcs.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    a = arcs.join(after, "dst", "left").groupBy("src", "dst").agg(F.max(F.when(F.col("next") != F.col("src"), F.col("next"))).alias("nd"))
+    a = a.select("src", "dst", F.when(F.col("nd").isNotNull(), F.col("dst")).alias("ns"), "nd", F.col("dst").alias("end"), F.lit(1).cast("long").alias("hops"))
+    for _ in range(max_rounds):
+        a = materialise(a, "arcs")
+        if a.filter("ns IS NOT NULL").isEmpty():
+            return a.select(F.col("src").alias("id"), "end", "hops")
+        b = a.select(F.col("src").alias("ns"), F.col("dst").alias("nd"), F.col("ns").alias("ns2"), F.col("nd").alias("nd2"), F.col("end").alias("end2"), F.col("hops").alias("hops2"))
+        a = a.join(b, ["ns", "nd"], "left").select("src", "dst", F.col("ns2").alias("ns"), F.col("nd2").alias("nd"), F.coalesce("end2", "end").alias("end"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"))
+    raise RuntimeError(f"places didn't settle within {max_rounds} rounds")
+
+
+def chain_curves(ends: DataFrame, min_pieces: int = 1) -> DataFrame:
     """(curve, chain, place, closed) of curves (curve, first, last) merged where exactly two ends meet at a point.
 
     Points where three or more ends meet are branches and stay apart. Places count from the chain's end of smallest id;
-    a closed chain has no end, so its curves have place NULL.
+    a chain is closed if both ends of each of its curves meet another's, so it has no end and its curves have place NULL.
     """
     e = ends.select("curve", F.col("first").alias("p")).unionByName(ends.select("curve", F.col("last").alias("p")))
     two = e.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("curve").alias("src"), F.max("curve").alias("dst")).filter("n = 2 AND src <> dst")
-    links = materialise(two.select("src", "dst").distinct().withColumn("weight", F.lit(1.0)), "links")
+    joints = materialise(two.select("src", "dst", F.lit(1.0).alias("weight")), "links")
+    links = joints.distinct()
     cc = connected_components(links)
     chain = materialise(ends.select("curve").join(cc.withColumnRenamed("id", "curve"), "curve", "left").select("curve", F.coalesce("component", F.col("curve")).alias("chain")), "chains")
-    degree = both_ways(links).groupBy(F.col("src").alias("curve")).agg(F.count(F.lit(1)).alias("d"))
-    tips = chain.join(degree, "curve", "left").filter("coalesce(d, 0) <= 1").groupBy("chain").agg(F.min("curve").alias("tip"))
-    paths = shortest_paths(both_ways(links), tips.select(F.col("tip").alias("source")), max_rounds)
-    place = paths.select(F.col("id").alias("curve"), F.col("dist").cast("long").alias("place"))
-    out = chain.join(place, "curve", "left").withColumn("closed", F.col("place").isNull())
+    degree = both_ways(joints).groupBy(F.col("src").alias("curve")).agg(F.count(F.lit(1)).alias("d"))  # two curves may meet twice
+    tips = materialise(chain.join(degree, "curve", "left").filter("coalesce(d, 0) <= 1").groupBy("chain").agg(F.min("curve").alias("tip")), "tips")
+    open_ = chain.join(tips, "chain", "left_semi").select(F.col("curve").alias("src"))
+    far = _line_places(links.join(open_, "src", "left_semi").select("src", "dst"))
+    place = far.join(tips.select(F.col("tip").alias("end")), "end", "left_semi").select(F.col("id").alias("curve"), "hops")
+    out = chain.join(tips, "chain", "left").join(place, "curve", "left")
+    out = out.select("curve", "chain", F.when(F.col("curve") == F.col("tip"), F.lit(0).cast("long")).otherwise(F.col("hops")).alias("place"), F.col("tip").isNull().alias("closed"))
     keep = out.groupBy("chain").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pieces).select("chain")
     return out.join(keep, "chain", "left_semi")
 
@@ -189,14 +213,14 @@ def landmark_mds(vectors: DataFrame, landmarks: int, k: int, id: str = "id", vec
     return vectors.select(id, place(vector).alias("coords"))
 
 
-def isomap(vectors: DataFrame, k: int, landmarks: int, dims: int, id: str = "id", vector: str = "v", max_hops: int = 100) -> DataFrame:
+def isomap(vectors: DataFrame, k: int, landmarks: int, dims: int, id: str = "id", vector: str = "v") -> DataFrame:
     """(id, coords): landmark MDS of graph distances over the k-nearest graph. Errors if the graph isn't connected."""
     near = knn_join_vectors(vectors, vectors, k, id, vector)
     edges = materialise(both_ways(_once(near)), "isomap-edges")
     n = vectors.count()
     chosen = [r[0] for r in vectors.orderBy(F.xxhash64(id), id).limit(landmarks).select(id).collect()]
     sources = vectors.sparkSession.createDataFrame([(c,) for c in chosen], "source long")
-    paths = materialise(shortest_paths(edges, sources, max_hops), "isomap-paths")
+    paths = materialise(shortest_paths(edges, sources), "isomap-paths")
     if paths.count() != n * len(chosen):
         raise ValueError("the neighbour graph isn't connected")
     between = paths.join(sources.withColumnRenamed("source", "id"), "id", "left_semi").toPandas()  # landmarks squared

@@ -220,6 +220,14 @@ def shortest_paths(spark, sf):
     return G.shortest_paths(e, src, 6).select("source", "id", rd("dist", 5).alias("dist"))
 
 
+@query()
+def settled_paths(spark, sf):
+    """shortest_paths without its SQL's limit of six edges."""
+    e = G.both_ways(G.radius_graph(A.points2d(spark, sf), 1.5, ["x", "y"]))
+    src = spark.range(5).select((F.col("id") * 100).alias("source"))
+    return G.shortest_paths(e, src).select("source", "id", rd("dist", 5).alias("dist"))
+
+
 @query(with_views(f"+n AS ({_near(1.0)}), r AS (SELECT 0::BIGINT AS id UNION SELECT b_id FROM r JOIN n ON a_id = id) SELECT id FROM r", "points2d", recursive=True))
 def reachable_from(spark, sf):
     return G.reachable_from(G.both_ways(G.radius_graph(A.points2d(spark, sf), 1.0, ["x", "y"])), 0).select("id")

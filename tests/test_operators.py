@@ -262,3 +262,26 @@ def test_orbits_are_compared_whole(spark):
         for p, i, j in want:
             parent[p, i] = parent[p, j] = min(parent[p, i], parent[p, j])
     assert chains == parent
+
+
+def test_long_chains_have_places(spark):
+    """An open chain of 450 curves whose ids are shuffled, a ring of 300, and two curves that meet at both ends."""
+    ids = list(range(450))
+    random.Random(4).shuffle(ids)
+    ends = [(ids[i], f"a{i}", f"a{i + 1}") for i in range(450)] + [(1000 + i, f"r{i}", f"r{(i + 1) % 300}") for i in range(300)] + [(2000, "m", "n"), (2001, "n", "m")]
+    got = {r["curve"]: r for r in graph.chain_curves(spark.createDataFrame(ends, "curve long, first string, last string")).collect()}
+    line = ids if ids[0] < ids[-1] else ids[::-1]
+    assert all((got[c]["chain"], got[c]["place"], got[c]["closed"]) == (0, k, False) for k, c in enumerate(line))
+    assert all((got[1000 + i]["chain"], got[1000 + i]["place"], got[1000 + i]["closed"]) == (1000, None, True) for i in range(300))
+    assert all(got[c]["chain"] == 2000 and got[c]["closed"] and got[c]["place"] is None for c in (2000, 2001)) and len(got) == 752
+
+
+def test_paths_settle(spark):
+    """A light path of 12 edges beats a heavy one of one edge; a limit holds only if given, and a safety limit raises."""
+    e = [(i, i + 1, 1.0) for i in range(12)] + [(0, 12, 20.0), (12, 13, 1.0)]
+    edges = graph.both_ways(spark.createDataFrame(e, "src long, dst long, weight double"))
+    src = spark.range(1).select(F.col("id").alias("source"))
+    assert {r["id"]: r["dist"] for r in graph.shortest_paths(edges, src).collect()} == {i: float(i) for i in range(14)}
+    assert {r["id"]: r["dist"] for r in graph.shortest_paths(edges, src, 2).collect()} == {0: 0.0, 1: 1.0, 2: 2.0, 11: 21.0, 12: 20.0, 13: 21.0}
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(edges, src, max_rounds=3)
