@@ -121,6 +121,17 @@ def _room(n: Column) -> Column:
     return F.ceil(F.lit(PERCENT) * n / F.lit(100)) - 1
 
 
+def _opens(c: Column, nq: Column, low: Column, high: Column) -> Column:
+    """Whether a group of sizes low to high that has c of a set's indexed tokens may hold a member that is similar enough.
+
+    Without the ceilings the bound is highest at an end of the range; they move it by less than one token to either side.
+    """
+    small = F.greatest(low, F.ceil(PERCENT * nq / 100))
+    large = F.least(high, F.floor(100 * nq / PERCENT))
+    able = lambda n: c + 1 + F.greatest(_room(nq), _room(n)) >= _least(nq, n)
+    return (small <= large) & (able(small) | able(large))
+
+
 def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (doc_id, sid, n), and a row a batch with the marks of tokens that several different sets of it share."""
     sets = Shingler()
@@ -257,10 +268,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     matrix = entries.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     q = entries.select("token", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("g").alias("gq"))
     hits = q.join(matrix, "token").filter("g <> gq").groupBy("q", "nq", "g").agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
-    small = F.greatest("low", F.ceil(PERCENT * F.col("nq") / 100))
-    large = F.least("high", F.floor(100 * F.col("nq") / PERCENT))
-    able = lambda n: F.col("c") + F.greatest(_room(F.col("nq")), _room(n)) >= _least(F.col("nq"), n)
-    hits = hits.filter((small <= large) & (able(small) | able(large))).select(F.col("q").alias("a"), F.col("nq").alias("na"), "g", "c")
+    hits = hits.filter(_opens(F.col("c"), F.col("nq"), F.col("low"), F.col("high"))).select(F.col("q").alias("a"), F.col("nq").alias("na"), "g", "c")
     members = entries.select(F.col("sid").alias("b"), F.col("n").alias("nb"), "g").distinct()
     # A group's count is at least that of each of its members, so it bounds the pair's, too.
     pairs = hits.join(members, "g").filter("a < b")

@@ -308,6 +308,17 @@ def test_components_are_brute_force(spark, odd_rows):
     assert got == jaccard_components(rows)
 
 
+def test_groups_open_for_sizes_between(spark):
+    """A group is opened if a member of any size in its range can be similar enough, as one of 109 in 108 to 110 is for 100 and 6 tokens."""
+    up = lambda x, d: -(-x // d)
+    can = lambda c, q, n: 80 * q <= 100 * n and 80 * n <= 100 * q and c + max(up(80 * q, 100), up(80 * n, 100)) - 1 >= up(80 * (q + n), 180)
+    assert [can(6, 100, n) for n in (108, 109, 110)] == [False, True, False]
+    rows = [(c, q, low, high) for q in (13, 57, 100, 101) for c in range(1, 13) for low in range(up(80 * q, 100) - 1, 100 * q // 80 + 2) for high in range(low, 100 * q // 80 + 2)]
+    df = spark.createDataFrame(rows, "c long, nq long, low long, high long")
+    got = {tuple(r)[:4]: r["o"] for r in df.withColumn("o", jaccard._opens(*[F.col(x) for x in ("c", "nq", "low", "high")])).collect()}
+    assert all(got[r] for r in rows if any(can(r[0], r[1], n) for n in range(r[2], r[3] + 1))) and got[6, 100, 108, 110] and not all(got.values())
+
+
 def test_one_of_each_group_stays(spark, odd, odd_rows, empty):
     kept = jaccard.keep_one(odd)
     want = {c for (i, _, c) in jaccard_components(odd_rows) if i is not None}
