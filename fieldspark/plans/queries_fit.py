@@ -154,17 +154,28 @@ def read_particle_text(spark, sf):
     return S.sample_time_steps(S.read_particle_text(spark, path), 2, 3)
 
 
+#: Ids of a step of the dump; runs of a type have numbers below DUMP_RUNS.
+DUMP_ROWS, DUMP_RUNS = 10_000, 10**15
+
+
+def _dump_steps(e):
+    """One text a step: a type's events whose ids are in one run of DUMP_ROWS, so that no text grows with the table."""
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), F.col("value").cast("string"))
+    run = F.floor(F.col("event_id") / DUMP_ROWS).cast("long")
+    step = e.groupBy((F.col("step") * DUMP_RUNS + run).alias("step")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.collect_list(line), "\n").alias("body"))
+    text = F.concat(F.lit("ITEM: TIMESTEP\n"), F.col("step").cast("string"), F.lit("\nITEM: NUMBER OF ATOMS\n"), F.col("n").cast("string"), F.lit("\nITEM: BOX BOUNDS\n0 1\n0 1\n0 1\nITEM: ATOMS id value\n"), F.col("body"))
+    return step.select(text.alias("value"))
+
+
 @query("SELECT event_type AS kind, count(*) AS n, " + sq("sum(value)", 2) + " AS total FROM events GROUP BY 1")
 def read_particle_dump(spark, sf):
-    """Events of a type as one step of a dump, written as text and parsed again."""
+    """Events of a type as steps of a dump, of DUMP_ROWS ids at most each, written as text and parsed again."""
     e = A.table(spark, sf, "events").withColumn("step", F.crc32("event_type") % 1000)
-    line = F.concat_ws(" ", F.col("event_id").cast("string"), F.col("value").cast("string"))
-    step = e.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.collect_list(line), "\n").alias("body"))
-    text = F.concat(F.lit("ITEM: TIMESTEP\n"), F.col("step").cast("string"), F.lit("\nITEM: NUMBER OF ATOMS\n"), F.col("n").cast("string"), F.lit("\nITEM: BOX BOUNDS\n0 1\n0 1\n0 1\nITEM: ATOMS id value\n"), F.col("body"))
-    step.select(text.alias("value")).write.text(path := scratch_path(spark, "dump"))
-    d = S.read_particle_dump(spark, path).groupBy("timestep").agg(F.count(F.lit(1)).alias("n"), rd(F.sum("value"), 2).alias("total"))
+    _dump_steps(e).write.text(path := scratch_path(spark, "dump"))
+    d = S.read_particle_dump(spark, path).withColumn("type", F.expr(f"timestep div {DUMP_RUNS}"))
+    d = d.groupBy("type").agg(F.count(F.lit(1)).alias("n"), rd(F.sum("value"), 2).alias("total"))
     names = e.select("event_type", "step").distinct()
-    return d.join(names, d["timestep"] == names["step"]).select(F.col("event_type").alias("kind"), "n", "total")
+    return d.join(names, d["type"] == names["step"]).select(F.col("event_type").alias("kind"), "n", "total")
 
 
 @query(with_views("SELECT rcv AS idx, count(*) AS n, " + sq("sum(tt)", 3) + " AS total FROM geo_pairs GROUP BY 1", "geo_pairs"))

@@ -285,3 +285,11 @@ def test_paths_settle(spark):
     assert {r["id"]: r["dist"] for r in graph.shortest_paths(edges, src, 2).collect()} == {0: 0.0, 1: 1.0, 2: 2.0, 11: 21.0, 12: 20.0, 13: 21.0}
     with pytest.raises(RuntimeError):
         graph.shortest_paths(edges, src, max_rounds=3)
+
+
+def test_dump_steps_are_bounded(spark):
+    from fieldspark.plans import queries_fit
+
+    e = spark.range(25_000).select(F.col("id").alias("event_id"), F.lit(0.5).alias("value"), F.lit(7).cast("long").alias("step"))
+    n = [r["value"].split("ITEM: ATOMS id value\n")[1].count("\n") + 1 for r in queries_fit._dump_steps(e).collect()]
+    assert sorted(n) == [5_000, 10_000, 10_000]
