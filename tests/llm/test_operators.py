@@ -319,12 +319,70 @@ def test_groups_open_for_sizes_between(spark):
     assert all(got[r] for r in rows if any(can(r[0], r[1], n) for n in range(r[2], r[3] + 1))) and got[6, 100, 108, 110] and not all(got.values())
 
 
+def test_links_at_the_bound(spark):
+    """Sets of 21, 22, 24 and 25 shingles, pairs of exactly 0.8 among them, documents in partitions of their own."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        w = [f"{rng.randrange(10**9)}" for _ in range(60)]
+        text = lambda n, at: " ".join(w[at : at + n + 4])
+        rows += [(10 * k, text(20, 5), "en", "s"), (10 * k + 1, text(25, 0), "en", "s"), (10 * k + 2, text(25, 4), "en", "s"), (10 * k + 3, text(21, 3), "en", "s"), (10 * k + 4, text(22, 7), "en", "s"), (10 * k + 5, text(24, 9), "en", "s")]
+    rng.shuffle(rows)
+    want = jaccard_components(rows)
+    assert len({c for _, _, c in want}) < len(rows)
+    got = Counter(tuple(r) for r in jaccard.components(frame(spark, rows).repartition(24)).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == want
+
+
+def test_frequent_tokens_keep_links(spark, monkeypatch):
+    """With every shared token frequent and none rare, and with the other way round, the components are the same."""
+    rng = random.Random(12)
+    passage = prose(rng, 80)
+    rows = [(i, prose(rng, 8 + i % 9) + " " + passage + " " + prose(rng, 8), "en", "p") for i in range(60)]
+    base = prose(rng, 100).split()
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(100)] = f"w{rng.randrange(9)}"
+        rows.append((100 + i, " ".join(w), "en", "q"))
+    want = jaccard_components(rows)
+    for rare in (0, 3, 10**6):
+        monkeypatch.setattr(jaccard, "RARE", rare)
+        got = Counter(tuple(r) for r in jaccard.components(frame(spark, rows).repartition(6)).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == want, rare
+
+
+def test_ids_stay_integers(spark):
+    """Ids over 2^53 beside a null id, through every operator that carries ids in Python."""
+    big = 2**53 + 1
+    rows = [(big, prose(random.Random(1), 30), "en", "a"), (None, "no id", "en", "a"), (big + 2, None, "en", "a")]
+    docs = frame(spark, rows).coalesce(1)
+    want = {big, None, big + 2}
+    assert {r["doc_id"] for r in jaccard.components(docs).collect()} == want
+    assert {r["doc_id"] for r in lm.score_documents(docs).collect()} == want
+    assert {r["doc_id"] for r in bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()} == want
+    assert {r["doc_id"] for r in orcids.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).collect()} == want
+    assert {r["doc_id"] for r in langid.predict_documents(docs).collect()} == want
+    pages = spark.createDataFrame([(big, "u", "<p>x"), (None, "u", "<p>y")], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in html.extract_pages(pages).collect()} == {big, None}
+
+
 def test_one_of_each_group_stays(spark, odd, odd_rows, empty):
     kept = jaccard.keep_one(odd)
-    want = {c for (i, _, c) in jaccard_components(odd_rows) if i is not None}
+    want = {c for (i, n, c) in jaccard_components(odd_rows) if i is not None and n} | {i for i, t, *_ in odd_rows if not tokens(t)}
     got = Counter(r["doc_id"] for r in kept.collect())
     assert set(got) - {None} == want and max(got.values()) == 1 and kept.columns == odd.columns
-    assert jaccard.components(empty).count() == 0
+    assert jaccard.components(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_null_and_repeated_ids_are_told_apart(spark):
+    """Near copies without an id go; texts that share an id with others, but have no copy, stay."""
+    rng = random.Random(5)
+    base = prose(rng, 80).split()
+    near = lambda i: " ".join([*base[:i], f"new{i}", *base[i + 1 :]])
+    rows = [(5, near(40), "en", "a"), (None, near(10), "en", "a"), (None, near(60), "en", "a"), (5, "another text of id five that has no copy at all", "en", "a"), (9, near(20), "en", "a"), (9, "and another text of id nine that has no copy", "en", "a"), (7, "one row twice in the table with the same id", "en", "a"), (7, "one row twice in the table with the same id", "en", "a")]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(frame(spark, rows).repartition(3)).collect())
+    assert got == Counter([(5, rows[0][1]), (5, rows[3][1]), (9, rows[5][1]), (7, rows[6][1])])
 
 
 # 7. Byte-level BPE.
