@@ -13,80 +13,102 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise_by
 
-BLOCK_WORDS, BLOCK_TOKENS, CHUNK = 1 << 20, 1 << 23, 1 << 14
-#: Parts of the space of words, where the words of all blocks meet.
-PARTS = 256
-COLUMNS = ["block", "doc_id", "flag", "ids", "base", "words", "counts", "part", "grams", "gram_counts"]
+BLOCK_WORDS, BLOCK_TOKENS, CHUNK = 1 << 19, 1 << 23, 1 << 14
+#: Bytes of text that are split at a time.
+SLICE = 1 << 24
 NUMBERED = "block long, doc_id long, flag boolean, ids binary, base int, words array<binary>, counts array<long>, part int, grams binary, gram_counts binary"
+ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("flag", pa.bool_()), ("ids", pa.binary()), ("base", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("part", pa.int32()), ("grams", pa.binary()), ("gram_counts", pa.binary())])
 
 
 class Numbers(dict):
-    """Numbers of words in the order of their first use, as packed little-endian 32-bit integers."""
+    """Numbers of words in the order of their first use."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        got = self[word] = len(self).to_bytes(4, "little")
+    def __missing__(self, word: str) -> int:
+        got = self[word] = len(self)
         return got
 
 
-def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[str], bytes]], name: str, gather: Callable | None = None) -> DataFrame:
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about `most` bytes of text; a longer text is a run of its own."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def distinct(pieces: pa.Array) -> tuple[list, np.ndarray]:
+    """The distinct values, and the place of each piece's among them."""
+    coded = pieces.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch of the given columns; the others are null."""
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([(x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type)) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+def parts_of(spark) -> int:
+    """Parts of the space of words or grams, where those of all blocks meet: in proportion to the tasks of a shuffle."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]], name: str, gather: Callable) -> DataFrame:
     """`docs` (doc_id, flag, text) as a table of NUMBERED rows, in files by block.
 
     Rows with `ids` are documents: their word numbers, packed. Rows with `words` are parts of a block's dictionary: words
     base, base + 1, ..., and how often each occurs in documents whose flag is set. `split(numbers)` is called once a block
-    and gives the function from a text (never null) to its packed word numbers. `gather()` is called once a block, too, and
-    gives an object that is told every document, by add(text, flag), and says at the block's end, by close(), which further
-    rows (part, grams, gram_counts) the block sends.
+    and gives the function from an array of texts (no nulls) to their word numbers, one after the other, and each text's
+    number of words. `gather(numbers)` is called once a block, too, and gives an object that is told all texts, by
+    add(texts, flags), and says at the block's end, by close(), which further rows (part, grams, gram_counts) the block
+    sends; it has `dictionary` if these rows stand in place of the block's dictionary.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
 
-        def table(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=COLUMNS)
-
         def opened() -> tuple:
-            numbers, more = Numbers(), gather() if gather else None
-            if isinstance(more, BlockWords):
-                more.numbers = numbers
-            return numbers, split(numbers), np.zeros(0, np.int64), 0, more
+            numbers = Numbers()
+            return numbers, split(numbers), np.zeros(0, np.int64), 0, gather(numbers)
 
-        def closed() -> Iterator[pd.DataFrame]:
-            words = [] if isinstance(more, BlockWords) else list(numbers)
+        def closed() -> Iterator[pa.RecordBatch]:
+            words = [] if more.dictionary else [w.encode("utf-8") for w in numbers]
             n = np.pad(counts[: len(words)], (0, max(0, len(words) - len(counts))))
             for i in range(0, len(words), CHUNK):
-                yield table([(part << 24 | k, None, None, None, i, words[i : i + CHUNK], n[i : i + CHUNK], None, None, None)])
-            for row in more.close() if more else ():
-                yield table([(part << 24 | k, None, None, None, None, None, None, *row)])
+                yield batch_of(ROWS, block=[part << 24 | k], base=[i], words=[words[i : i + CHUNK]], counts=[n[i : i + CHUNK]])
+            for row in more.close():
+                yield batch_of(ROWS, block=[part << 24 | k], **{c: [x] for c, x in zip(("part", "grams", "gram_counts"), row)})
 
         numbers, cut, counts, seen, more = opened()
-        for pdf in batches:
-            rows = []
-            for doc_id, flag, text in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["flag"], pdf["text"]):
-                packed = cut(text)
-                seen += len(packed) // 4
-                if more:
-                    more.add(text, flag)
-                if flag and packed:
-                    if len(counts) < len(numbers):
-                        counts = np.pad(counts, (0, max(len(numbers), 2 * len(counts)) - len(counts)))
-                    np.add.at(counts, np.frombuffer(packed, "<u4"), 1)
-                rows.append((part << 24 | k, doc_id, flag, pack_numbers(packed), None, None, None, None, None, None))
-                if len(numbers) >= BLOCK_WORDS or seen >= BLOCK_TOKENS:
-                    yield table(rows)
-                    yield from closed()
-                    rows, k = [], k + 1
-                    numbers, cut, counts, seen, more = opened()
-            if rows:
-                yield table(rows)
+        for b in slices(batches):
+            texts, flags = b.column("text"), b.column("flag").to_numpy(zero_copy_only=False).astype(bool)
+            ids, n = cut(texts)
+            more.add(texts, flags)
+            seen += len(ids)
+            if flags.any() and not more.dictionary:
+                counts = np.pad(counts, (0, max(0, len(numbers) - len(counts))))
+                counts += np.bincount(ids[np.repeat(flags, n)], minlength=len(counts))
+            ends = np.cumsum(n)
+            packed = [pack_numbers(ids[i:j]) for i, j in zip((ends - n).tolist(), ends.tolist())]
+            yield batch_of(ROWS, block=np.full(len(n), part << 24 | k), doc_id=b.column("doc_id"), flag=b.column("flag"), ids=packed)
+            if len(numbers) >= BLOCK_WORDS or seen >= BLOCK_TOKENS:
+                yield from closed()
+                k += 1
+                numbers, cut, counts, seen, more = opened()
         yield from closed()
 
-    rows = docs.select("doc_id", "flag", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, NUMBERED)
+    rows = docs.select("doc_id", "flag", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, NUMBERED)
     return materialise_by(rows, "block", name)
 
 
@@ -110,7 +132,7 @@ def apply_values(numbered: DataFrame, values: DataFrame, pack: Callable[[pd.Data
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for block, g in pdf.groupby("block"):
-                yield pd.DataFrame({"block": [block], "places": [g["place"].to_numpy("<i4").tobytes()], "data": [[zlib.compress(x, 1) for x in pack(g)]]})
+                yield pd.DataFrame({"block": [block], "places": [g["place"].to_numpy("<i4").tobytes()], "data": [pack(g)]})
 
     parts = rows.mapInPandas(packed, "block long, places binary, data array<binary>")
     if more is not None:
@@ -124,29 +146,37 @@ def _meet(numbered: DataFrame, parts: DataFrame, use: Callable, schema: str) ->
     def meet(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         mine = parts[parts["places"].notna()]
         places = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x, "<i4") for x in mine["places"]]])
-        return use(docs, places, [[zlib.decompress(x) for x in d] for d in mine["data"]], parts[parts["places"].isna()])
+        return use(docs, places, mine["data"].to_list(), parts[parts["places"].isna()])
 
-    docs = numbered.filter(F.col("ids").isNotNull()).select("block", "doc_id", "flag", "ids")
+    # A null beside an id would make pandas hold both as floats.
+    docs = numbered.filter(F.col("ids").isNotNull()).select("block", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "flag", "ids")
     return docs.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(meet, schema)
 
 
+def ids_of(docs: pd.DataFrame) -> pd.array:
+    """The ids of a block's documents, null ones included."""
+    return pd.arrays.IntegerArray(docs["doc_id"].to_numpy(np.int64), docs["no_id"].to_numpy(bool))
+
+
 class BlockWords:
     """A block's distinct words, dealt by part: what a block sends in place of a dictionary. Their places travel along."""
 
-    def __init__(self) -> None:
-        self.numbers: Numbers | None = None
+    dictionary = True
+
+    def __init__(self, numbers: Numbers, parts: int) -> None:
+        self.numbers, self.parts = numbers, parts
 
-    def add(self, text: str, flag: bool) -> None:
+    def add(self, texts: pa.Array, flags: np.ndarray) -> None:
         pass
 
     def close(self) -> list[tuple[int, bytes, bytes]]:
-        words = list(self.numbers)
-        part = np.fromiter((zlib.crc32(w) % PARTS for w in words), np.int32, len(words))
+        words = [w.encode("utf-8") for w in self.numbers]
+        part = np.fromiter((zlib.crc32(w) % self.parts for w in words), np.int32, len(words))
         order = np.argsort(part, kind="stable")
         out = []
         for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             if len(at):
-                out.append((int(part[at[0]]), pack_words([words[i] for i in at]), zlib.compress(at.astype("<i4").tobytes(), 1)))
+                out.append((int(part[at[0]]), pack_words([words[i] for i in at]), pack_numbers(at)))
         return out
 
 
@@ -161,11 +191,15 @@ def unpack_words(packed: bytes) -> list[bytes]:
     return [raw[i:j] for i, j in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
 
 
-def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], pack: Callable[[list], list[bytes]], use: Callable, schema: str) -> DataFrame:
-    """apply_values() for a table numbered with BlockWords, with values that follow from a word alone.
+CODED = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("data", pa.list_(pa.binary()))])
+
+
+def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], use: Callable, schema: str) -> DataFrame:
+    """apply_values() for a table numbered with BlockWords, with values (array<int>) that follow from a word alone.
 
-    All blocks' words of a part meet in one task; `encode` (an expression) runs over each distinct word once, and `pack`
-    turns a list of values into a few byte strings for each block. Words are shuffled once, and their values once.
+    All blocks' words of a part meet in one task; `encode` (an expression of an array of words) runs over each distinct
+    word once, and `use` gets, for each block, the values' lengths and the values one after the other, packed. Words are
+    shuffled once, and their values once.
     """
     arrays = "blocks array<long>, places array<binary>, which array<binary>, words array<binary>"
 
@@ -173,30 +207,40 @@ def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], pack: C
         numbers, which = {}, []
         for x in g["grams"]:
             words = unpack_words(x)
-            which.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), "<i4", len(words)))
-        words, rows = list(numbers), []
+            which.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
+        places, words, rows = [unpack(x) for x in g["gram_counts"]], list(numbers), []
         for lo in range(0, len(words), CHUNK):  # a row holds so many distinct words at most
             own = [(w >= lo) & (w < lo + CHUNK) for w in which]
-            places = [np.frombuffer(zlib.decompress(p), "<i4")[o].tobytes() for p, o in zip(g["gram_counts"], own)]
-            rows.append((g["block"].to_list(), places, [(w[o] - lo).tobytes() for w, o in zip(which, own)], words[lo : lo + CHUNK]))
+            rows.append((g["block"].to_list(), [p[o].tobytes() for p, o in zip(places, own)], [(w[o] - lo).tobytes() for w, o in zip(which, own)], words[lo : lo + CHUNK]))
         return pd.DataFrame(rows, columns=["blocks", "places", "which", "words"])
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for blocks, places, which, values in zip(pdf["blocks"], pdf["places"], pdf["which"], pdf["values"]):
-                rows = [(b, p, [zlib.compress(x, 1) for x in pack([values[i] for i in np.frombuffer(w, "<i4")])]) for b, p, w in zip(blocks, places, which) if len(p)]
-                yield pd.DataFrame(rows, columns=["block", "places", "data"])
-
-    tasks = 2 * int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = numbered.filter(F.col("grams").isNotNull()).select("part", "block", "grams", "gram_counts").repartition(tasks, "part")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                values = b.column("values")[i].values
+                at, flat = values.offsets.to_numpy().astype(np.int64), values.values.to_numpy(zero_copy_only=False).astype(np.uint32)
+                rows = [(k, p, np.frombuffer(w, "<u4")) for k, p, w in zip(*(b.column(c)[i].as_py() for c in ("blocks", "places", "which"))) if len(p)]
+                data = []
+                for _, _, w in rows:
+                    n = at[w + 1] - at[w]
+                    data.append([zlib.compress(n.astype("<u4").tobytes(), 1), pack_numbers(flat[ranges(at[w], n)])])
+                yield batch_of(CODED, block=[k for k, _, _ in rows], places=[p for _, p, _ in rows], data=data)
+
+    parts = parts_of(numbered.sparkSession)
+    words = numbered.filter(F.col("grams").isNotNull()).select("part", "block", "grams", "gram_counts").repartition(parts, "part")
     words = words.groupBy("part").applyInPandas(union, arrays)
-    coded = words.select("blocks", "places", "which", F.transform("words", encode).alias("values"))
-    return _meet(numbered, coded.mapInPandas(deal, "block long, places binary, data array<binary>"), use, schema)
+    coded = words.select("blocks", "places", "which", encode(F.col("words")).alias("values"))
+    return _meet(numbered, coded.mapInArrow(deal, "block long, places binary, data array<binary>"), use, schema)
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., start + n - 1 for each pair, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def pack_numbers(numbers: bytes) -> bytes:
+def pack_numbers(numbers: np.ndarray) -> bytes:
     """Compressed little-endian 32-bit integers, the lowest bytes of all first."""
-    return zlib.compress(np.frombuffer(numbers, np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpack(packed: bytes) -> np.ndarray:

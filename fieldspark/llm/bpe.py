@@ -15,20 +15,26 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
+import string
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BlockWords, Numbers, apply_codes, number_words, unpack
+from .blocks import BlockWords, Numbers, apply_codes, distinct, ids_of, number_words, parts_of, ranges, unpack
 from .common import let
 
 #: Buckets of the rank map: a lookup in a map is a scan, so the literal is an array of small maps, found by crc32.
 BUCKETS, NEVER = 1 << 14, 2**31 - 1
+#: Any white space before a space. Marks of which one after letters is a word of the pattern by itself.
+SPACES = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+MARKS = frozenset(string.punctuation)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,71 +52,88 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
-def encode_word(word: Column, ranks: Column) -> Column:
-    """The ids (array<int>) of a word (binary)."""
-    rank = lambda s: F.get(ranks, (F.crc32(s) % BUCKETS).cast("int"))[s]
-    cost = lambda s: F.coalesce(rank(s), F.lit(NEVER))
+def encode_words(words: Column, literal: Column) -> Column:
+    """The ids (array<array<int>>) of words (array<binary>). The literal stands in the expression once."""
     none = F.array().cast("array<int>")
 
-    def merge(state: Column, m: Column) -> Column:
-        p, r = state["p"], state["r"]
+    def all_words(ranks: Column) -> Column:
+        rank = lambda s: F.get(ranks, F.crc32(s).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[s]
+        cost = lambda s: F.coalesce(rank(s), F.lit(NEVER))
 
-        def at(i: Column) -> Column:
-            joined = F.concat(F.get(p, i - 1), F.get(p, i))
+        def state_of(pieces: Column, costs: Column) -> Column:
+            return let(costs, lambda c: F.struct(pieces.alias("p"), c.alias("r"), F.array_min(c).alias("m")))
 
-            def put(new: Column) -> Column:
-                left = F.when(i > 1, F.array(cost(F.concat(F.get(p, i - 2), new)))).otherwise(none)
-                right = F.when(i + 1 < F.size(p), F.array(cost(F.concat(new, F.get(p, i + 1))))).otherwise(none)
-                pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p)))
-                costs = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p)))
-                return F.struct(pieces.alias("p"), costs.alias("r"))
+        def step(state: Column, _: Column) -> Column:
+            p, r, m = state["p"], state["r"], state["m"]
 
-            return let(joined, put)
+            def at(k: Column) -> Column:
+                def put(new: Column) -> Column:
+                    # Built place by place: a concatenation of arrays costs several times as much.
+                    places = F.sequence(F.lit(0), F.size(p) - 2)
+                    pieces = F.transform(places, lambda i: F.when(i < k, F.get(p, i)).when(i > k, F.get(p, i + 1)).otherwise(new))
+                    right, left = lambda i: cost(F.concat(new, F.get(p, i + 2))), lambda i: cost(F.concat(F.get(p, i), new))
+                    costs = F.transform(places, lambda i: F.when(i < k - 1, F.get(r, i)).when(i > k, F.get(r, i + 1)).when(i == k, right(i)).otherwise(left(i)))
+                    return state_of(pieces, costs)
 
-        return let(F.array_position(r, m).cast("int"), at)
+                return let(F.concat(F.get(p, k), F.get(p, k + 1)), put)
 
-    def step(state: Column, _: Column) -> Column:
-        return let(F.coalesce(F.array_min(state["r"]), F.lit(NEVER)), lambda m: F.when(m == NEVER, state).otherwise(merge(state, m)))
+            return F.when(m == NEVER, state).otherwise(let(F.array_position(r, m).cast("int") - 1, at))
 
-    def fold(text: Column) -> Column:
-        chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
-        pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: cost(F.substring(text, i, F.lit(2))))).otherwise(none)
-        start = F.struct(chars.alias("p"), pairs.alias("r"))
-        rounds = F.sequence(F.lit(1), F.length(text))
-        return F.transform(F.aggregate(rounds, start, step)["p"], rank)
+        def fold(text: Column) -> Column:
+            n = F.length(text)
+            chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(1)))
+            pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i < n, cost(F.substring(text, i, F.lit(2)))).otherwise(F.lit(NEVER)))
+            return F.transform(F.aggregate(F.sequence(F.lit(1), n - 1), state_of(chars, pairs), step)["p"], rank)
 
-    def whole(text: Column) -> Column:
-        return F.when(F.length(text) == 0, none).otherwise(let(rank(text), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(text))))
+        def whole(text: Column) -> Column:
+            return F.when(F.length(text) == 0, none).otherwise(let(rank(text), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(text))))
 
-    return let(F.decode(word, "ISO-8859-1"), whole)
+        return F.transform(words, lambda w: let(F.decode(w, "ISO-8859-1"), whole))
 
+    return let(literal, all_words)
 
-def pattern_words(pattern: str) -> Callable[[Numbers], Callable[[str], bytes]]:
+
+def pattern_words(pattern: str) -> Callable[[Numbers], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]]:
     """A splitter of texts by the tokenizer's pattern.
 
     Where every space stands between two characters that aren't white space, no word of the pattern reaches over a space
-    other than by starting with it, so the stretches between spaces are cut one by one and remembered.
+    other than by starting with it, so the stretches between spaces are cut one by one, each distinct one of a slice once.
     """
 
-    def split(numbers: Numbers) -> Callable[[str], bytes]:
+    def split(numbers: Numbers) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
         import regex
 
-        find, spaces = regex.compile(pattern).findall, re.compile(r"\s ")
-        number = lambda text: b"".join([numbers[w.encode("utf-8")] for w in find(text)])
-
-        class Stretches(dict):
-            def __missing__(self, stretch: str) -> bytes:
-                # Letters alone are one word of the pattern.
-                got = self[stretch] = numbers[b" " + stretch.encode("utf-8")] if stretch.isalpha() else number(" " + stretch)
-                return got
-
-        known = Stretches()
-
-        def words(text: str) -> bytes:
-            if spaces.search(text) or text.startswith(" "):
-                return number(text)
-            first, *rest = text.split(" ")
-            return number(first) + b"".join(map(known.__getitem__, rest))
+        find = regex.compile(pattern).findall
+
+        def number(stretch: str, space: bool) -> list[int]:
+            lead = " " + stretch if space else stretch
+            if stretch.isalpha():  # letters alone are one word of the pattern
+                return [numbers[lead]]
+            if stretch[-1:] in MARKS and stretch[:-1].isalpha():
+                return [numbers[lead[:-1]], numbers[stretch[-1]]]
+            return [numbers[w] for w in find(lead)]
+
+        def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            whole = pc.or_(pc.match_substring_regex(texts, SPACES), pc.starts_with(texts, " "))
+            lists = pc.split_pattern(pc.if_else(whole, pa.scalar(""), texts), " ")
+            places, of = distinct(lists.flatten())
+            starts = lists.offsets.to_numpy().astype(np.int64)
+            # Values: first pieces of texts, which no space precedes, then the distinct others, then texts that are cut whole.
+            firsts, first_of = distinct(lists.flatten().take(pa.array(starts[:-1])))
+            odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            use = np.zeros(len(places), bool)
+            later = np.ones(len(of), bool)
+            later[starts[:-1]] = False
+            use[of[later]] = True
+            values = [number(x, False) for x in firsts] + [number(x, True) if u else [] for x, u in zip(places, use.tolist())]
+            values += [[numbers[w] for w in find(texts[int(i)].as_py())] for i in odd]
+            which = of.astype(np.int64) + len(firsts)
+            which[starts[:-1]] = first_of
+            which[starts[:-1][odd]] = len(firsts) + len(places) + np.arange(len(odd))
+            n = np.fromiter(map(len, values), np.int64, len(values))
+            flat, start = np.fromiter(chain.from_iterable(values), np.uint32, int(n.sum())), np.cumsum(n) - n
+            size = n[which]
+            return flat[ranges(start[which], size)], np.add.reduceat(size, starts[:-1]) if len(texts) else np.zeros(0, np.int64)
 
         return words
 
@@ -119,37 +142,35 @@ def pattern_words(pattern: str) -> Callable[[Numbers], Callable[[str], bytes]]:
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every text."""
+    spark = docs.sparkSession
+    parts = parts_of(spark)
+    rows = docs.select(F.col(key).alias("doc_id"), F.lit(False).alias("flag"), F.col(text).alias("text"))
+    numbered = number_words(rows, pattern_words(pattern), "words", lambda numbers: BlockWords(numbers, parts))
     ranks = read_ranks(ranks_path)
-    numbered = number_words(docs.select(F.col(key).alias("doc_id"), F.lit(False).alias("flag"), F.col(text).alias("text")), pattern_words(pattern), "words", BlockWords)
-    literal = rank_map(ranks)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary, of fixed size
-
-    def pack(ids: list) -> list[bytes]:
-        return [np.array([len(x) for x in ids], "<u4").tobytes(), np.concatenate(ids).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]
+    shared = spark.sparkContext.broadcast(pieces)  # the vocabulary, of fixed size
+    literal = rank_map(ranks)
+    del ranks, pieces
 
-    def use(docs: pd.DataFrame, places: np.ndarray, parts: list[list[bytes]], _: pd.DataFrame) -> pd.DataFrame:
-        n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(p[0], "<u4").astype(np.int64) for p in parts]])
-        flat = np.concatenate([np.zeros(0, np.uint32), *[np.ascontiguousarray(np.frombuffer(p[1], np.uint8).reshape(4, -1).T).view("<u4").ravel() for p in parts]])
+    def use(docs: pd.DataFrame, places: np.ndarray, values: list[list[bytes]], _: pd.DataFrame) -> pd.DataFrame:
+        n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(zlib.decompress(v[0]), "<u4").astype(np.int64) for v in values]])
+        flat = np.concatenate([np.zeros(0, np.uint32), *[unpack(v[1]) for v in values]])
         start, length = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         start[places], length[places] = np.cumsum(n) - n, n
         rows, binary = [], shared.value
         for packed in docs["ids"]:
             w = unpack(packed)
-            m = length[w]
-            ends = np.cumsum(m)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = flat[np.repeat(start[w] - (ends - m), m) + np.arange(total)].astype("<u4") if total else np.zeros(0, "<u4")
+            ids = flat[ranges(start[w], length[w])].astype("<u4")
             back = b"".join(map(binary.__getitem__, ids.tolist()))
-            rows.append((total, hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), ids.astype(np.int32) if keep_ids else None))
+            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), ids.astype(np.int32) if keep_ids else None))
         out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-        out.insert(0, "doc_id", docs["doc_id"].to_numpy())
+        out.insert(0, "doc_id", ids_of(docs))
         return out if keep_ids else out.drop(columns="ids")
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return apply_codes(numbered, lambda word: encode_word(word, literal), pack, use, schema + ", ids array<int>" * keep_ids)
+    return apply_codes(numbered, lambda words: encode_words(words, literal), use, schema + ", ids array<int>" * keep_ids)
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:

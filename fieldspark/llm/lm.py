@@ -20,15 +20,17 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Numbers, apply_values, dictionary, number_words, unpack
+from .blocks import Numbers, apply_values, dictionary, distinct, ids_of, number_words, parts_of, unpack
 from .common import id_remainder, materialise
 
 DEPTH, END, BYTE = 5, b"\n", np.uint64(8)
-#: Parts of the context space, and coded bytes that are turned into grams at a time.
-PARTS, AT_ONCE = 256, 1 << 22
+#: Coded bytes that are turned into grams at a time.
+AT_ONCE = 1 << 22
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -61,10 +63,10 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[inside], of[inside]
 
 
-def _part(keys: np.ndarray) -> np.ndarray:
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part of a gram: decided by the last two bytes of its context."""
     two = (keys >> BYTE) & np.uint64(0xFFFF)
-    return ((two * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(PARTS)
+    return ((two * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +86,21 @@ def _keys(blob: bytes) -> np.ndarray:
 class BlockGrams:
     """The distinct grams of a block of documents, with their counts in the training documents."""
 
-    def __init__(self) -> None:
+    dictionary = False
+
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
         self.texts: list[bytes] = []
         self.flags: list[bool] = []
         self.waiting, self.keys, self.counts = 0, [], []
 
-    def add(self, text: str, flag: bool) -> None:
-        self.texts.append(coded([*text.encode("utf-8").lower().split(), END]))
-        self.flags.append(bool(flag))
-        self.waiting += len(self.texts[-1])
-        if self.waiting >= AT_ONCE:
-            self._count()
+    def add(self, texts: pa.Array, flags: np.ndarray) -> None:
+        for text, flag in zip(texts.cast(pa.binary()).to_pylist(), flags.tolist()):
+            self.texts.append(coded([*text.lower().split(), END]))
+            self.flags.append(flag)
+            self.waiting += len(self.texts[-1])
+            if self.waiting >= AT_ONCE:
+                self._count()
 
     def _count(self) -> None:
         if self.texts:
@@ -110,7 +116,7 @@ class BlockGrams:
     def close(self) -> list[tuple[int, bytes, bytes]]:
         self._count()
         keys, counts = _merge(self.keys, self.counts)
-        part, counts = _part(keys), counts.astype("<u4")
+        part, counts = _part(keys, self.parts), counts.astype("<u4")
         order = np.argsort(part, kind="stable")
         out = []
         for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
@@ -232,11 +238,24 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_bits_per_byte of every text."""
     rows = docs.select(F.col(key).alias("doc_id"), (id_remainder(F.col(key), folds) != 0).alias("flag"), F.col(text).alias("text"))
 
+    parts = max(256, parts_of(docs.sparkSession))
+
     def split(numbers: Numbers):
-        find = numbers.__getitem__
-        return lambda t: b"".join(map(find, t.encode("utf-8").lower().split())) + find(END)  # of bytes: A-Z only, ASCII white space only
+        end = END.decode()
+
+        def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            pieces = lists.flatten()
+            real = pc.binary_length(pieces).to_numpy() > 0  # white space at an end of a text leaves an empty piece
+            found, of = distinct(pieces)
+            number = np.fromiter((numbers[w] if w else 0 for w in found), np.uint32, len(found))
+            n = np.diff(np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()])
+            out = np.insert(number[of[real]], np.cumsum(n), np.uint32(numbers[end]))
+            return out, n + 1
+
+        return words
 
-    numbered = number_words(rows, split, "lm-words", BlockGrams)
+    numbered = number_words(rows, split, "lm-words", lambda numbers: BlockGrams(parts))
     words = materialise(dictionary(numbered).groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     known = words.filter("n > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
     n, v = known["n"] or 0, known["v"]
@@ -252,11 +271,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     answers = sent.groupBy("part").applyInPandas(answer, "block long, grams binary, logs binary")
 
     def pack(g: pd.DataFrame) -> list[bytes]:
-        return [g["n"].to_numpy("<i8").tobytes(), np.array([len(w) for w in g["word"]], "<i4").tobytes(), b"".join(g["word"])]
+        return [zlib.compress(x, 1) for x in (g["n"].to_numpy("<i8").tobytes(), np.array([len(w) for w in g["word"]], "<i4").tobytes(), b"".join(g["word"]))]
 
     def use(docs: pd.DataFrame, places: np.ndarray, parts: list[list[bytes]], found: pd.DataFrame) -> pd.DataFrame:
         count, words, at = np.zeros(len(places), np.int64), [b""] * len(places), 0
-        for c, sizes, together in parts:
+        for packed in parts:
+            c, sizes, together = map(zlib.decompress, packed)
             ends = np.cumsum(np.frombuffer(sizes, "<i4"))
             mine = places[at : at + len(ends)]
             count[mine] = np.frombuffer(c, "<i8")
@@ -289,7 +309,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         table["score"] = np.concatenate(scores)
         table["code_bits_per_byte"] = -table["score"] * np.log2(10) / table.pop("coded")
         table.insert(0, "held_out", ~docs["flag"].astype(bool).to_numpy())
-        table.insert(0, "doc_id", docs["doc_id"].to_numpy())
+        table.insert(0, "doc_id", ids_of(docs))
         return table
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_bits_per_byte double"

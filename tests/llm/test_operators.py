@@ -378,7 +378,7 @@ def test_one_of_each_group_stays(spark, odd, odd_rows, empty):
 def test_null_and_repeated_ids_are_told_apart(spark):
     """Near copies without an id go; texts that share an id with others, but have no copy, stay."""
     rng = random.Random(5)
-    base = prose(rng, 80).split()
+    base = prose(rng, 200).split()
     near = lambda i: " ".join([*base[:i], f"new{i}", *base[i + 1 :]])
     rows = [(5, near(40), "en", "a"), (None, near(10), "en", "a"), (None, near(60), "en", "a"), (5, "another text of id five that has no copy at all", "en", "a"), (9, near(20), "en", "a"), (9, "and another text of id nine that has no copy", "en", "a"), (7, "one row twice in the table with the same id", "en", "a"), (7, "one row twice in the table with the same id", "en", "a")]
     got = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(frame(spark, rows).repartition(3)).collect())
@@ -403,6 +403,20 @@ def test_ids_are_tiktokens(spark, odd, odd_rows, empty):
     assert bpe.encode_documents(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_splitter_is_the_pattern():
+    import pyarrow as pa
+    import regex
+
+    rng = random.Random(9)
+    parts = ["a", "été", "Word", "42", "'s", "it's", ",", "...", "!", " ", " ", " ", "  ", "   ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\x0b", "日本", "x1", "don't", "end.", "²", "½", "_", "\U0001f600"]
+    texts = ["", " ", "a", " a", "a "] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(4000)] + [" ".join(rng.choice(parts[:9]) for _ in range(8)) for _ in range(500)]
+    numbers = bpe.Numbers()
+    flat, n = bpe.pattern_words(public_tokenizers.PATTERN)(numbers)(pa.array(texts))
+    names, find = list(numbers), regex.compile(public_tokenizers.PATTERN).findall
+    for t, own in zip(texts, np.split(flat, np.cumsum(n)[:-1])):
+        assert [names[i] for i in own] == find(t), t
+
+
 # 8. ORC.
 
 
