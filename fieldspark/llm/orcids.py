@@ -5,106 +5,119 @@ row holds the ids, their number and the ids before it in its run; a run's own st
 a reader can start at any file and stripe. A lookup by id skips runs by folder, stripes by statistics and Bloom filter.
 
 Edge cases: a null or empty text has only the end id; a null doc_id comes first; rows of a repeated id are neighbours,
-shorter first; an empty table gives an empty result; other columns are dropped; special tokens' strings are plain text.
+shorter first; an empty table gives an empty result; other columns are dropped; special tokens' strings in a text give
+the special tokens' ids, as in the library.
 """
 
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import SLICE, distinct, ranges, slices
 from .common import scratch_path
 
 END_ID = 1
-#: Distinct words that a Python worker remembers.
-CACHE_WORDS = 1_400_000
-#: Rows that are split into words at a time.
-AT_ONCE = 256
-
-
-def worker_memory(name: str) -> dict:
-    """A dictionary that a Python worker keeps between its tasks, for values that follow from their keys."""
-    kept = sys.modules.setdefault("fieldspark_worker_memory", types.ModuleType("fieldspark_worker_memory"))
-    return kept.__dict__.setdefault(name, {})
+#: Words that are encoded together, as one text.
+TOGETHER = 500
 
 
 class Words:
-    """The ids of words, packed, by a tokenizer whose ids of a text are those of its words in order."""
+    """The ids of words by a tokenizer whose ids of a text are those of its words in order."""
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = worker_memory(vocabulary)
-        ids = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        ids = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[v for k, v in ids.items() if k.endswith("</w>")]] = True
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
         return [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        self.known.update((w.encode("utf-8"), array("i", ids).tobytes()) for w, ids in zip(words, self._encode(words)))
-
-    def learn(self, words: set[bytes]) -> None:
-        """Words of letters only are encoded together, as one text, and told apart by the ids that end a word."""
-        if len(self.known) > CACHE_WORDS:  # the older half goes
-            for w in list(islice(self.known, len(self.known) // 2)):
-                del self.known[w]
-        plain, other = [], []
-        for w in map(bytes.decode, words):
-            (plain if w.isalpha() and is_normalized("NFC", w) and w.lower().isalpha() else other).append(w)
-        self._learn(other)
-        groups = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
-            ids = np.array(ids, "<i4")
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and each word's number of ids.
+
+        Letters, and letters with one mark after them, are one and two pieces to the tokenizer, each of which ends with
+        an id that ends a word. So such words are encoded together, and told apart by these ids.
+        """
+        pieces = np.zeros(len(words), np.int64)
+        for i, w in enumerate(words):
+            if w.isascii():
+                pieces[i] = 1 if w.isalpha() else 2 if w[:-1].isalpha() and not w[-1].isalnum() else 0
+            else:
+                pieces[i] = w.isalpha() and is_normalized("NFC", w) and w.lower().isalpha()
+        n, found = np.zeros(len(words), np.int64), [None] * len(words)
+        plain, other = np.flatnonzero(pieces), np.flatnonzero(pieces == 0).tolist()
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        coded = []
+        for group, ids in zip(groups, self.encode([" ".join([words[i] for i in g]) for g in groups])):
+            ids = np.array(ids, np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(group):
-                self._learn(group)
+            last = np.cumsum(pieces[group]) - 1
+            if last[-1] + 1 != len(cuts):
+                other += group.tolist()
                 continue
-            packed, start = ids.tobytes(), 0
-            for w, end in zip(group, cuts.tolist()):
-                self.known[w.encode("utf-8")] = packed[4 * start : 4 * end]
-                start = end
-
-
-def encode_texts(vocabulary: str, end_id: int = END_ID):
+            n[group] = np.diff(cuts[last], prepend=0)
+            coded.append((group, ids))
+        for i, ids in zip(other, self.encode([words[i] for i in other])):
+            n[i], found[i] = len(ids), ids
+        start = np.cumsum(n) - n
+        flat = np.zeros(int(n.sum()), np.int32)
+        for group, ids in coded:
+            flat[ranges(start[group], n[group])] = ids
+        if other:
+            at = np.array(other)
+            flat[ranges(start[at], n[at])] = np.fromiter(chain.from_iterable(found[i] for i in other), np.int32, int(n[at].sum()))
+        return flat, n
+
+
+def encode_slice(words: Words, texts: pa.Array, special: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with its end id, one after the other, and each text's number of ids."""
+    whole = pc.match_substring(texts, special)
+    lists = pc.ascii_split_whitespace(pc.if_else(whole, pa.scalar(""), texts))
+    places, of = distinct(lists.flatten())
+    odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+    flat, n = words(places)
+    texts_ids = words.encode([texts[int(i)].as_py() for i in odd])
+    # Values: the distinct words, the end id, then the texts that hold a special token.
+    flat = np.concatenate([flat, np.array([end_id], np.int32), np.fromiter(chain.from_iterable(texts_ids), np.int32)])
+    n = np.concatenate([n, [1], np.fromiter(map(len, texts_ids), np.int64, len(texts_ids))]).astype(np.int64)
+    start, bounds = np.cumsum(n) - n, lists.offsets.to_numpy().astype(np.int64)
+    which = of.astype(np.int64)
+    which[bounds[:-1][odd]] = len(places) + 1 + np.arange(len(odd))  # such a text is one empty word here
+    which = np.insert(which, bounds[1:], len(places))
+    size = n[which]
+    ends = np.cumsum(size)[bounds[1:] + np.arange(len(texts))]
+    return flat[ranges(start[which], size)], np.diff(ends, prepend=0)
+
+
+def encode_texts(vocabulary: str, end_id: int = END_ID, special: str = "<|"):
     """A function for mapInArrow: (doc_id, run, text) to (doc_id, run, n_tokens, ids).
 
     This tokenizer drops white space, and neither its normaliser nor its splitter looks across ASCII white space, so
-    the ids of a text are those of its words in order. A worker encodes each distinct word once, while it remembers it.
+    the ids of a text are those of its words in order, and each distinct word of a slice is encoded once. Texts that may
+    hold a special token (all start with `special`) are encoded whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = Words(vocabulary)
-        known, end = words.known, np.array([end_id], "<i4").tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, AT_ONCE):
-                some = b.slice(at, AT_ONCE)
-                texts = [(t or b"").split() for t in some.column("text").cast(pa.binary()).to_pylist()]
-                words.learn(set(chain.from_iterable(texts)) - known.keys())
-                try:
-                    packed = [b"".join(map(known.__getitem__, ws)) + end for ws in texts]
-                except KeyError:  # a word of this batch went with the older half
-                    words.learn(set(chain.from_iterable(texts)) - known.keys())
-                    packed = [b"".join(map(known.__getitem__, ws)) + end for ws in texts]
-                n = np.array([len(x) // 4 for x in packed], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("run"), pa.array(n), ids], ["doc_id", "run", "n_tokens", "ids"])
+        for b in slices(batches, SLICE):
+            flat, n = encode_slice(words, b.column("text"), special, end_id)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("run"), pa.array(n), ids], ["doc_id", "run", "n_tokens", "ids"])
 
     return run
 
@@ -112,7 +125,7 @@ def encode_texts(vocabulary: str, end_id: int = END_ID):
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text", runs: int | None = None) -> None:
     """Write the ids of all documents, in ascending order of the key, as ORC below `path`."""
     runs = runs or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    ids = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10_000)).first()[0]
     cut = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<bigint>")
     run = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(cut, lambda c: c < F.col("doc_id"))))

@@ -420,12 +420,16 @@ def test_splitter_is_the_pattern():
 # 8. ORC.
 
 
-def test_orc_round_trip(spark, odd, odd_rows, empty, tmp_path):
+def test_orc_round_trip(spark, odd_rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    rng = random.Random(13)
+    parts = ["Word", "été", "İstanbul", "e\u0301t", "it's", "rock'n'roll", "end.", "x,", "café!", "4", "a1", "...", "'s", "'", "ﬁ", "日本。", "\U0001f600", "\u00a0", "a\u00a0b", "\u2003x", "naïve?", "ŉ", "ǅ,", "_", "a_"]
+    odd_rows = odd_rows + [(700, "hello <|endoftext|> world", "en", "a"), (701, "<|startoftext|>", "en", "a"), (702, "a<|b|> <|endoftext", "en", "a"), (703, "\t lead and trail \n", "en", "a")]
+    odd_rows += [(710 + i, "".join(rng.choice(parts) + rng.choice([" ", " ", "\n", "", "  "]) for _ in range(30)), "en", "a") for i in range(60)]
+    odd = frame(spark, odd_rows).repartition(3)
     orcids.write_token_ids(odd, str(tmp_path / "ids"), path)
     got = orcids.read_token_ids(spark, str(tmp_path / "ids")).collect()
     want = [(i, tok.encode(t or "", add_special_tokens=False).ids + [1]) for i, t, *_ in odd_rows]
