@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.scratch import materialise, materialise_by, scratch_path  # noqa: F401
 
@@ -14,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A side of at most so many narrow rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes (of its rows as JSON) that such a side may have.
+BROADCAST_BYTES = 1 << 26
 
 
 def words(text: Column) -> Column:
@@ -31,12 +34,20 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(1))
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a table may be broadcast, by its counted rows and, where a row's size isn't fixed, by its counted bytes."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return False
+    if all(isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) for f in df.schema):
+        return True
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
 def with_small(df: DataFrame, small: DataFrame, on: Column, how: str = "left") -> DataFrame:
-    """Join with a table that is usually small: broadcast if its counted rows are within BROADCAST_ROWS, else by shuffle.
+    """Join with a table that is usually small: broadcast if is_small(), else by shuffle.
 
     `small` should be cheap to evaluate (materialised or aggregated from a materialised table). In the shuffle join
     adaptive execution splits the partitions of hot keys.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return df.join(small, on, how)
+    return df.join(F.broadcast(small) if is_small(small) else small, on, how)

@@ -243,6 +243,50 @@ def test_simple_tree_matching():
     assert html.match(a, [(0, "s")]) == [-1] * 5
 
 
+def largest_matching(a, b):
+    """The number of nodes of a largest simple tree matching, by plain recursion over nested trees."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + largest_matching(x, y))
+    return best[-1][-1] + 1
+
+
+def test_matching_is_largest_on_random_trees():
+    rng = random.Random(21)
+
+    def tree(depth):
+        return (rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else [])
+
+    def flat(t, d=0):
+        return [(d, t[0]), *[x for c in t[1] for x in flat(c, d + 1)]]
+
+    for _ in range(300):
+        a, b = ("r", [tree(3) for _ in range(3)]), ("r", [tree(3) for _ in range(3)])
+        s, t = flat(a), flat(b)
+        up = lambda f: [next((k for k in range(i - 1, -1, -1) if f[k][0] == d - 1), -1) for i, (d, _) in enumerate(f)]
+        ua, ub = up(s), up(t)
+        for most in (html.MOST_WORK, 0):
+            m = html.match(s, t, most)
+            own = [(i, j) for i, j in enumerate(m) if j >= 0]
+            assert all(s[i] == t[j] for i, j in own) and [j for _, j in own] == sorted({j for _, j in own}) and all(i == 0 or m[ua[i]] == ub[j] for i, j in own)
+            assert len(own) == largest_matching(a, b) if most else len(own) <= largest_matching(a, b)
+
+
+def test_deep_and_wide_pages(spark):
+    """5,000 nested blocks, 20,000 siblings that alternate, and a host without telling classes, within seconds."""
+    deep = "<div>" * 5000 + "<p>Deep text" + "</div>" * 5000
+    wide = lambda i: "<body>" + "".join(f"<p>P {i} {k}</p><div>D {i} {k}</div>" for k in range(10_000)) + "</body>"
+    rows = [(i, "http://deep/", deep) for i in range(5)] + [(10 + i, "http://wide/", wide(i)) for i in range(5)]
+    menu = "<div class=q1><div>Start</div><div>Shop</div></div>"
+    rows += [(30 + i, "http://plain/%d" % i, f"<html><body>{menu}<div class=q2><p>Text {i} one</p><p>Text\u200b {i}\u00a0two</p></div><div class=q3>All rights kept</div></body></html>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got[0] == "Deep text" and got[10].count("\n\n") == 19_999 and got[14].startswith("P 4 0\n\nD 4 0\n\nP 4 1")
+    assert got[33] == "Text 3 one\n\nText\u200b 3 two"
+
+
 # 5. Sharding.
 
 
