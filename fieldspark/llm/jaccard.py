@@ -336,23 +336,26 @@ def leader_pairs(entries: DataFrame) -> DataFrame:
 
 
 def open_pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a < b) of different groups that the matrix can't rule out.
+    """Pairs (a, b) of different groups that the matrix can't rule out, each once.
 
     A query's tokens meet the groups' unions in two ways. By rare tokens: the count of rare tokens in common, and all
     usual ones that both may have, bound the overlap. By usual tokens only: of two linked sets that share no rare indexed
     token, the one whose index ends first has none of its odd tokens in common, so its size without these bounds the overlap.
     """
-    entries = entries.drop("central").join(groups.withColumnRenamed("id", "sid"), "sid", "left").withColumn("g", F.coalesce("component", F.col("sid"))).drop("component")
+    sizes = materialise(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "group-sizes")
+    entries = entries.drop("central").join(groups.withColumnRenamed("id", "sid"), "sid", "left").join(sizes, "component", "left")
+    entries = entries.withColumns({"g": F.coalesce("component", F.col("sid")), "members": F.coalesce("members", F.lit(1))}).drop("component")
     entries = materialise(entries, "grouped")
     several = entries.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("token")
     entries = materialise(entries.join(several, "token", "left_semi"), "matrix")
     rest = F.col("n") - F.col("odd")
     cell = [F.min("n").alias("low"), F.max("n").alias("high"), F.max("usual").alias("most"), F.max(rest).alias("rest")]
-    matrix = entries.groupBy("token", "g", "rare").agg(*cell)
-    q = entries.select("token", "rare", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("usual").alias("uq"), rest.alias("restq"), F.col("g").alias("gq"))
+    matrix = entries.groupBy("token", "g", "members", "rare").agg(*cell)
+    q = entries.select("token", "rare", F.col("sid").alias("q"), F.col("n").alias("nq"), F.col("usual").alias("uq"), rest.alias("restq"), F.col("g").alias("gq"), F.col("members").alias("mq"))
     c, whole = F.col, ["low", "high", "most"]
     small, large = _sizes(c("nq"), c("low"), c("high"))
-    fits = (c("gq") != c("g")) & (small <= large)
+    # Of two groups, the members of the smaller one are queries to the other: that finds all pairs between them.
+    fits = ((c("mq") < c("members")) | ((c("mq") == c("members")) & (c("gq") < c("g")))) & (small <= large)
     met = lambda part, on: q.filter(part).drop("rare").join(matrix.filter(part).drop("rare").withColumnRenamed("token", "of"), (c("token") == c("of")) & on).groupBy("q", "nq", "uq", "g").agg(F.count(F.lit(1)).alias("c"), *[(F.min if x == "low" else F.max)(x).alias(x) for x in whole])
     by_rare = met("rare", fits).withColumn("c", c("c") + F.least("uq", "most"))
     by_usual = met("NOT rare", fits & (_least(c("nq"), small) <= F.greatest("restq", "rest")))
@@ -361,7 +364,7 @@ def open_pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
     members = entries.select(c("sid").alias("b"), c("n").alias("nb"), "g").distinct()
     # A group's count is at least that of each of its members, so it bounds the pair's, too.
     able = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (c("c") + F.greatest(_room(c("na")), _room(c("nb"))) >= _least(c("na"), c("nb")))
-    return materialise(hits.join(members, (c("of") == c("g")) & (c("a") < c("b")) & able).select("a", "b").distinct(), "open-pairs")
+    return materialise(hits.join(members, (c("of") == c("g")) & able).select("a", "b"), "open-pairs")
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
