@@ -38,6 +38,7 @@ class Numbers(dict):
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows of about `most` bytes of text; a longer text is a run of its own."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between slices; workers live as long as the application
     for b in batches:
         upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -235,7 +236,11 @@ def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], use: Ca
 
 def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start, start + 1, ..., start + n - 1 for each pair, one after the other."""
-    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    total = int(n.sum())
+    kind = np.int32 if total < 2**31 and (not len(start) or int(start.max()) < 2**31) else np.int64
+    out = np.repeat((start - (np.cumsum(n) - n)).astype(kind), n)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:

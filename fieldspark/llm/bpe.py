@@ -127,11 +127,12 @@ def pattern_words(pattern: str) -> Callable[[Numbers], Callable[[pa.Array], tupl
             use[of[later]] = True
             values = [number(x, False) for x in firsts] + [number(x, True) if u else [] for x, u in zip(places, use.tolist())]
             values += [[numbers[w] for w in find(texts[int(i)].as_py())] for i in odd]
-            which = of.astype(np.int64) + len(firsts)
+            which = of + np.int32(len(firsts))
             which[starts[:-1]] = first_of
             which[starts[:-1][odd]] = len(firsts) + len(places) + np.arange(len(odd))
             n = np.fromiter(map(len, values), np.int64, len(values))
             flat, start = np.fromiter(chain.from_iterable(values), np.uint32, int(n.sum())), np.cumsum(n) - n
+            del lists, places, values, of
             size = n[which]
             return flat[ranges(start[which], size)], np.add.reduceat(size, starts[:-1]) if len(texts) else np.zeros(0, np.int64)
 

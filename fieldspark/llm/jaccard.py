@@ -172,6 +172,7 @@ def _outlines(parts: int):
         return table(part=[i for i, _ in cut], blob=[_pack(x) for _, x in cut])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         sets, waiting, held = Shingler(), [], 0
         for b in batches:
             texts = b.column("text").cast(pa.large_binary()).to_pylist()
