@@ -202,22 +202,40 @@ FACES = {
 }
 
 
+def _inner_ends(kind: str) -> list[list[int]]:
+    """For each face and each of its vertices: the first vertex outside the face that an edge of the cell joins it with."""
+    edges = {(f[k - 1], f[k]) for f in FACES[kind] for k in range(len(f))}
+    beside = lambda v, face: min(b for a, b in edges | {(b, a) for a, b in edges} if a == v and b not in face)
+    return [[beside(v, f) for v in f] for f in FACES[kind]]
+
+
 def cell_faces(cells: DataFrame) -> DataFrame:
-    """(cell, face, verts, key) of cells (cell, type, verts): key is the sorted vertex ids, which name a face."""
-    face = lambda kind: F.array(*[F.struct(F.lit(k).alias("face"), F.array(*[F.get("verts", F.lit(p)) for p in ps]).alias("verts")) for k, ps in enumerate(FACES[kind])])
+    """(cell, face, verts, offset, key) of cells (cell, type, verts).
+
+    offset: for each vertex of the face, the one that it is joined with across the cell; key: the sorted vertex ids, which
+    name a face.
+    """
+
+    def face(kind: str) -> Column:
+        pick = lambda ps: F.array(*[F.get("verts", F.lit(p)) for p in ps])
+        return F.array(*[F.struct(F.lit(k).alias("face"), pick(ps).alias("verts"), pick(qs).alias("offset")) for k, (ps, qs) in enumerate(zip(FACES[kind], _inner_ends(kind)))])
+
     rows = F.coalesce(*[F.when(F.col("type") == kind, face(kind)) for kind in FACES])
-    return cells.select("cell", F.explode(rows).alias("f")).select("cell", "f.face", "f.verts", F.array_sort("f.verts").alias("key"))
+    return cells.select("cell", F.explode(rows).alias("f")).select("cell", "f.face", "f.verts", "f.offset", F.array_sort("f.verts").alias("key"))
 
 
 def boundary_faces(cells: DataFrame) -> DataFrame:
-    """Faces that exactly one cell has, with that cell's offset: its vertices that aren't of the face."""
+    """Faces that exactly one cell has: cell, face, verts, key, offset (see cell_faces())."""
     faces = cell_faces(cells)
-    once = faces.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cell").alias("cell"), F.min("face").alias("face"), F.first("verts").alias("verts")).filter("n = 1")
-    return once.join(cells.select("cell", F.col("verts").alias("__all")), "cell").select("cell", "face", "verts", "key", F.array_except("__all", "verts").alias("offset"))
+    once = faces.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cell", "face", "verts", "offset")).alias("f")).filter("n = 1")
+    return once.select("f.cell", "f.face", "f.verts", "key", "f.offset")
 
 
 def vertex_normals(faces: DataFrame, vertices: DataFrame, id: str = "id") -> DataFrame:
-    """(id, nx, ny, nz): unit sums of the normals of a vertex's faces, each turned to agree with its first face's."""
+    """(id, nx, ny, nz): unit sums of the unit normals of a vertex's faces, each turned to agree with its first face's.
+
+    A face without area counts as a zero vector; a vertex whose sum vanishes has nulls.
+    """
     v = F.col("verts")
     at = lambda n, p: vertices.select(F.col(id).alias(f"__v{n}"), F.struct("x", "y", "z").alias(f"p{n}"))
     f = faces.withColumn("__f", F.xxhash64("key")).select("cell", "face", "verts", F.get(v, F.lit(0)).alias("__v0"), F.get(v, F.lit(1)).alias("__v1"), F.get(v, F.lit(2)).alias("__v2"), F.coalesce(F.get(v, F.lit(3)), F.get(v, F.lit(2))).alias("__v3"))
@@ -230,7 +248,9 @@ def vertex_normals(faces: DataFrame, vertices: DataFrame, id: str = "id") -> Dat
     a = [F.when(tri, d(1, 0, c)).otherwise(x) for c, x in zip("xyz", a)]
     b = [F.when(tri, d(2, 0, c)).otherwise(x) for c, x in zip("xyz", b)]
     n = {"nx": a[1] * b[2] - a[2] * b[1], "ny": a[2] * b[0] - a[0] * b[2], "nz": a[0] * b[1] - a[1] * b[0]}
-    rows = f.withColumns(n).select("cell", "face", F.explode("verts").alias(id), "nx", "ny", "nz")
+    f = f.withColumns(n).withColumn("__n", F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2))
+    f = f.withColumns({c: F.when(F.col("__n") > 0, F.col(c) / F.col("__n")).otherwise(0.0) for c in n})
+    rows = f.select("cell", "face", F.explode("verts").alias(id), "nx", "ny", "nz")
     first = rows.groupBy(id).agg(F.min_by(F.struct("nx", "ny", "nz"), F.struct("cell", "face")).alias("r"))
     rows = rows.join(first, id)
     sign = F.when(F.col("nx") * F.col("r.nx") + F.col("ny") * F.col("r.ny") + F.col("nz") * F.col("r.nz") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -242,11 +262,11 @@ def vertex_normals(faces: DataFrame, vertices: DataFrame, id: str = "id") -> Dat
 def tangential_at_boundary(cells: DataFrame, vertices: DataFrame, velocity: DataFrame, id: str = "id") -> DataFrame:
     """Per boundary vertex: the velocity of its inner vertex without the part along the vertex's normal.
 
-    The inner vertex is the first of the offset of the vertex's first face (least cell, then face).
+    The inner vertex is the one that the vertex is joined with across the cell of its first face (least cell, then face).
     """
     faces = materialise(boundary_faces(cells), "faces")
     normals = vertex_normals(faces, vertices, id)
-    inner = faces.select(F.explode("verts").alias(id), F.get("offset", F.lit(0)).alias("inner"), "cell", "face").groupBy(id).agg(F.min_by("inner", F.struct("cell", "face")).alias("inner"))
+    inner = faces.select(F.explode(F.arrays_zip("verts", "offset")).alias("e"), "cell", "face").select(F.col("e.verts").alias(id), F.col("e.offset").alias("inner"), "cell", "face").groupBy(id).agg(F.min_by("inner", F.struct("cell", "face")).alias("inner"))
     rows = inner.join(velocity.select(F.col(id).alias("inner"), "u", "v", "w"), "inner").join(normals, id)
     along = F.col("u") * F.col("nx") + F.col("v") * F.col("ny") + F.col("w") * F.col("nz")
     return rows.withColumn("__d", along).select(id, *[(F.col(c) - F.col("__d") * F.col(n)).alias(f"t{c}") for c, n in zip("uvw", ("nx", "ny", "nz"))])

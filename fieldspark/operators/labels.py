@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tensor import sym_eig3, tensor_invariants, westin_anisotropy
+from ..plans.ranks import global_rank
 
 
 def label_sizes(df: DataFrame, label: str = "label") -> DataFrame:
@@ -29,9 +30,10 @@ def label_first(df: DataFrame, order: list[str], label: str = "label", value: st
 
 
 def label_ids(df: DataFrame, order: list[str], label: str = "label") -> DataFrame:
-    """Dense ids of labels in the order of their first voxel. The window runs over one row per label."""
-    first = df.groupBy(label).agg(F.min(F.struct(*order)).alias("at"))
-    return first.select(label, (F.row_number().over(Window.orderBy("at", label)) - 1).cast("long").alias("dense_id"))
+    """Dense ids of labels in the order of their first voxel; the first column of `order` is numeric."""
+    at = [f"__at{i}" for i in range(len(order))]
+    first = df.groupBy(label).agg(F.min(F.struct(*[F.col(c).alias(a) for c, a in zip(order, at)])).alias("__first")).select(label, "__first.*")
+    return global_rank(first, at[0], [*at[1:], label], "dense_id").select(label, "dense_id")
 
 
 def label_shape(df: DataFrame, label: str = "label", axes: tuple = ("x", "y", "z"), centred: bool = False) -> DataFrame:

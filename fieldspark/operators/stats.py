@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..plans.ranks import global_rank
 
+#: Bins of a count that finds where a sample ends.
+BINS = 4096
+
 
 def summary_stats(df: DataFrame, column: str, key: str) -> DataFrame:
     """Minimum, maximum, their keys (the smallest), mean and sample variance; NULLs for an empty table."""
@@ -181,19 +184,35 @@ def hash_uniform(key: str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
+def _smallest(df: DataFrame, by: str, tie: str, n: int, place: Column) -> DataFrame:
+    """The n rows of `df` with the smallest (by, tie). `place` is a bin, 0 to BINS - 1, that doesn't fall as `by` grows.
+
+    Bins are counted, those below the n-th row are taken whole, and only that row's bin is ranked.
+    """
+    df = df.withColumn("__bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), place)).cast("int"))
+    cut, left = BINS, n
+    for b, m in sorted((r["__bin"], r["count"]) for r in df.groupBy("__bin").count().collect()):
+        if m >= left:
+            cut = b
+            break
+        left -= m
+    rest = global_rank(df.filter(F.col("__bin") == cut), by, [tie], "__place").filter(F.col("__place") < left).drop("__place")
+    return df.filter(F.col("__bin") < cut).unionByName(rest).drop("__bin", by)
+
+
 def random_subset(df: DataFrame, size: int | str, key: str, seed: int = 0) -> DataFrame:
     """A fixed random subset without replacement: a count, a share 'x0.1' or a percentage '10%'."""
     if isinstance(size, str):
         share = float(size[1:]) if size.startswith("x") else float(size.rstrip("%")) / 100
         size = int(df.count() * share)
-    return df.withColumn("__u", hash_uniform(key, seed)).orderBy("__u", key).limit(size).drop("__u")
+    return _smallest(df.withColumn("__u", hash_uniform(key, seed)), "__u", key, size, F.floor(F.col("__u") * BINS))
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, key: str, seed: int = 0) -> DataFrame:
     """n distinct rows drawn in proportion to |weight| (Efraimidis and Spirakis' exponential keys); weight 0 is never drawn."""
     w = F.abs(F.col(weight))
     u = hash_uniform(key, seed) + F.lit(0.5 / 16**13)
-    return df.filter(w > 0).withColumn("__k", -F.log(u) / w).orderBy("__k", key).limit(n).drop("__k")
+    return _smallest(df.filter(w > 0).withColumn("__k", -F.log(u) / w), "__k", key, n, F.floor((F.log("__k") + 41.0) * F.lit(BINS / 82)))
 
 
 def weight_cdf(df: DataFrame, weight: str, key: str, parts: int | None = None) -> DataFrame:

@@ -344,15 +344,42 @@ def boundary_faces(spark, sf):
     return b.select("cell", F.get("key", F.lit(0)).alias("k0"), F.get("key", F.lit(3)).alias("k3"))
 
 
-@query()
+#: The boundary of _blocks() in SQL: faces of one cell with their vertices, the vertices across the cell, and normals.
+_HULL = """
+n AS (SELECT i, j, k, v, i*10000+j*100+k AS id FROM grid3d),
+c AS (SELECT a.id FROM n a WHERE (SELECT count(*) FROM n b WHERE b.id IN
+  (a.id, a.id+10000, a.id+10100, a.id+100, a.id+1, a.id+10001, a.id+10101, a.id+101)) = 8),
+f AS (SELECT id AS cell, unnest([
+  {'face': 0, 'v': [id, id+100, id+10100, id+10000], 'o': [id+1, id+101, id+10101, id+10001], 'x': 0, 'y': 0, 'z': -1},
+  {'face': 1, 'v': [id+1, id+10001, id+10101, id+101], 'o': [id, id+10000, id+10100, id+100], 'x': 0, 'y': 0, 'z': 1},
+  {'face': 2, 'v': [id, id+10000, id+10001, id+1], 'o': [id+100, id+10100, id+10101, id+101], 'x': 0, 'y': -1, 'z': 0},
+  {'face': 3, 'v': [id+10000, id+10100, id+10101, id+10001], 'o': [id, id+100, id+101, id+1], 'x': 1, 'y': 0, 'z': 0},
+  {'face': 4, 'v': [id+10100, id+100, id+101, id+10101], 'o': [id+10000, id, id+1, id+10001], 'x': 0, 'y': 1, 'z': 0},
+  {'face': 5, 'v': [id+100, id, id+1, id+101], 'o': [id+10100, id+10000, id+10001, id+10101], 'x': -1, 'y': 0, 'z': 0}]) AS s FROM c),
+b AS (SELECT any_value(cell) AS cell, any_value(s) AS s FROM f GROUP BY list_sort(s.v) HAVING count(*) = 1),
+e AS (SELECT cell, s.face AS face, unnest(s.v) AS id, unnest(s.o) AS o, s.x AS x, s.y AS y, s.z AS z FROM b),
+r AS (SELECT id, arg_min({'x': x, 'y': y, 'z': z, 'o': o}, row(cell, face)) AS r FROM e GROUP BY id),
+m AS (SELECT e.id, any_value(r.o) AS o, sum(t*x)::DOUBLE AS x, sum(t*y)::DOUBLE AS y, sum(t*z)::DOUBLE AS z
+  FROM (SELECT e.*, r.r AS r, CASE WHEN e.x*r.r.x + e.y*r.r.y + e.z*r.r.z < 0 THEN -1 ELSE 1 END AS t FROM e JOIN r USING (id)) e GROUP BY e.id),
+h AS (SELECT id, o, CASE WHEN x*x+y*y+z*z > 0 THEN x / sqrt(x*x+y*y+z*z) END AS nx, CASE WHEN x*x+y*y+z*z > 0 THEN y / sqrt(x*x+y*y+z*z) END AS ny,
+  CASE WHEN x*x+y*y+z*z > 0 THEN z / sqrt(x*x+y*y+z*z) END AS nz FROM m)
+"""
+
+
+@query(with_views(f"+{_HULL} SELECT id, {sq('nx')} AS nx, {sq('ny')} AS ny, {sq('nz')} AS nz FROM h", "grid3d"))
 def vertex_normals(spark, sf):
     g, cells = _blocks(spark, sf)
     v = g.select("id", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.col("k").cast("double").alias("z"))
     n = R.vertex_normals(R.boundary_faces(cells), v)
-    return n.select("id", rd("nx", 5).alias("nx"), rd("ny", 5).alias("ny"), rd("nz", 5).alias("nz"))
+    return n.select("id", rd("nx").alias("nx"), rd("ny").alias("ny"), rd("nz").alias("nz"))
 
 
-@query()
+_ALONG = "(u*nx + w*ny + q*nz)"
+
+
+@query(with_views(
+    f"+{_HULL}, t AS (SELECT h.*, n.v / 1000 AS u, n.i::DOUBLE AS w, n.k::DOUBLE AS q FROM h JOIN n ON n.id = h.o) "
+    f"SELECT id, {sq(f'u - {_ALONG}*nx')} AS tu, {sq(f'w - {_ALONG}*ny')} AS tv, {sq(f'q - {_ALONG}*nz')} AS tw FROM t", "grid3d"))
 def tangential_at_boundary(spark, sf):
     g, cells = _blocks(spark, sf)
     v = g.select("id", F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.col("k").cast("double").alias("z"))
