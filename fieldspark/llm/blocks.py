@@ -229,7 +229,8 @@ def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], use: Ca
 
     parts = parts_of(numbered.sparkSession)
     words = numbered.filter(F.col("grams").isNotNull()).select("part", "block", "grams", "gram_counts").repartition(parts, "part")
-    words = words.groupBy("part").applyInPandas(union, arrays)
+    # A stage of its own, so that a task has one Python process at a time; and each row, of CHUNK words at most, is as much work.
+    words = words.groupBy("part").applyInPandas(union, arrays).repartition(parts)
     coded = words.select("blocks", "places", "which", encode(F.col("words")).alias("values"))
     return _meet(numbered, coded.mapInArrow(deal, "block long, places binary, data array<binary>"), use, schema)
 
