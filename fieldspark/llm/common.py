@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once, also where body uses it in nested lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

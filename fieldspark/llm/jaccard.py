@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialise, with_small
+from .common import columns_of, materialise, with_small
 
 SHINGLE, PERCENT = 5, 80
 #: A token may be frequent from this count on. Tokens in the table of levels, and frequent tokens that it is made of, at most.
@@ -416,7 +416,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     of_row = materialise(rows.groupBy(F.col("doc_id").alias("__fs_id"), F.col("h").alias("__fs_of")).agg(F.max(first).alias("__fs_first"), F.count(F.lit(1)).alias("__fs_m")), "kept")
     df = docs.withColumns({"__fs_key": F.col(key), "__fs_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     on = lambda side: df["__fs_key"].eqNullSafe(side["__fs_id"]) & (df["__fs_h"] == side["__fs_of"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = columns_of(docs)
     alone = of_row.filter("NOT __fs_first OR __fs_m > 1")
     once = with_small(df, alone, on(alone), "left_anti").select(*columns)
     twice = of_row.filter("__fs_first AND __fs_m > 1")

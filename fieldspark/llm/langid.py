@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder
+from .common import columns_of, id_remainder
 
 WINDOW, HIDDEN = 64, 8
 #: The training sample: at most so many documents a language, and windows a document.
@@ -216,9 +216,7 @@ def predict_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def reject_unknown(docs: DataFrame, text: str = "text", least: float = 0.5, **options) -> DataFrame:
     """The rows of `docs` in a language that the network knows (score of at least `least`), columns unchanged."""
-    columns = docs.columns
-    named = docs.select(*columns).withColumn("__fs_text", F.col(text))
     net = fit(docs, text=text, **options)
-    own = named.select(F.struct(*columns).alias("row"), "__fs_text")
+    own = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(text).alias("__fs_text"))
     found = identify(own, net, "__fs_text").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select("row.*")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, with_small
+from .common import WORD, columns_of, materialise, with_small
 
 BINS, SPAN = 4096, 40.0
 
@@ -87,7 +87,7 @@ def mix_plan(sizes: DataFrame, source: str = "source", size: str = "size", keys:
 def mix(df: DataFrame, plan: DataFrame, source: str = "source", size: str = "size", keys: tuple = ("doc_id",), seed: int = 0) -> DataFrame:
     """`df` with source_size, target, copies (long) and taken (copies * size), by the plan of mix_plan(); columns of these names are replaced."""
     own = [f"__fs_key{i}" for i in range(len(keys))]
-    rows = df.select(F.struct(*df.columns).alias("__fs_row"), F.col(source).alias("__fs_source"), F.col(size).alias("__fs_size"), *[F.col(k).alias(a) for k, a in zip(keys, own)])
+    rows = df.select(F.struct(*columns_of(df)).alias("__fs_row"), F.col(source).alias("__fs_source"), F.col(size).alias("__fs_size"), *[F.col(k).alias(a) for k, a in zip(keys, own)])
     ranked = _ranked(rows, plan, "__fs_source", "__fs_size", tuple(own), seed)
     extra = (F.col("mix_bin") < F.col("cut")) | ((F.col("mix_bin") == F.col("cut")) & (F.col("mix_rank") <= F.coalesce("last", F.lit(-1.0))))
     copies = F.when(F.col("__fs_size") > 0, F.col("whole") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
@@ -102,7 +102,7 @@ def word_count(text: Column) -> Column:
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken; texts are read twice and never shuffled."""
-    rows = docs.select(F.struct(*docs.columns).alias("__fs_doc"), F.col(key).alias("__fs_id"), F.col(source).alias("__fs_from"), word_count(F.col(text)).alias("__fs_words"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("__fs_doc"), F.col(key).alias("__fs_id"), F.col(source).alias("__fs_from"), word_count(F.col(text)).alias("__fs_words"))
     sizes = materialise(rows.drop("__fs_doc"), "sizes")
     plan = mix_plan(sizes, "__fs_from", "__fs_words", keys=("__fs_id",), **options)
     df = mix(rows, plan, "__fs_from", "__fs_words", keys=("__fs_id",))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, with_small, words
+from .common import columns_of, let, materialise, with_small, words
 
 #: Rules that mark a single document, beside the base rule.
 RULES = ("symbols", "lines", "length", "capitals")
@@ -111,7 +111,7 @@ def judge(measured: DataFrame, host: str = "source", limit: float = 0.5, hosts:
 
 def reject_documents(docs: DataFrame, text: str = "text", host: str = "source", **options) -> DataFrame:
     """The rows of `docs` that judge() keeps, columns unchanged. Hosts are judged from narrow rows; texts are never shuffled."""
-    rows = docs.select(F.struct(*docs.columns).alias("__fs_row"), F.col(host).alias("__fs_host_of"), F.col(text).alias("__fs_text"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("__fs_row"), F.col(host).alias("__fs_host_of"), F.col(text).alias("__fs_text"))
     narrow = materialise(document_features(rows.drop("__fs_row"), "__fs_text").drop("__fs_text"), "features")
     hosts = host_verdicts(narrow, "__fs_host_of", **options)
     # The row number keeps the filter above the measuring: pushed below, it would measure again for every word.

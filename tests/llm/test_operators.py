@@ -568,3 +568,16 @@ def test_sketches_merge(spark):
     whole = {r["g"]: r["s"] for r in fingerprint.merge_sketches(parts, "g", "s").collect()}
     for g, rows in ((g, [r["s"] for r in parts.collect() if r["g"] == g]) for g in (0, 1)):
         assert whole[g] == sorted({x for s in rows for x in s})[: fingerprint.K]
+
+
+# All stages.
+
+
+def test_any_column_names(spark, odd):
+    """Columns with dots, backticks and spaces in their names pass through every filtering stage."""
+    docs = odd.withColumns({"a.b": F.lit(1), "doc_id.x": F.lit("y"), "c`d": F.lit(2), "e f": F.lit(None).cast("string")})
+    for stage in (quality.reject_documents, langid.reject_unknown, jaccard.keep_one, mixing.mixed_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r["a.b"] == 1 and r["doc_id.x"] == "y" and r["c`d"] == 2 and r["e f"] is None for r in rows)
