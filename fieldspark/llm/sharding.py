@@ -5,8 +5,9 @@ sorted by that position are cut into runs of near-equal bytes, so a file or shar
 filter on any of the dimensions skips most of the others. Law: `bytes`.
 
 Equal texts are one group and stay in one shard. A group larger than a whole shard's share can't; its rows are dealt by
-the hash of their id over as few shards as it needs. Groups over a 64th of a share (512 at most, by that definition) are
-placed first, the largest into the emptiest shard; the small groups then fill the room that is left, in curve order.
+the hash of their id over as few shards as it needs. Groups of several rows that hold over a 64th of a share of the rows,
+and groups over a 64th of a share of the bytes (twice 64 times the shards at most, by that definition) are placed first,
+the largest into the emptiest shard; the small groups then fill the room that is left, in curve order.
 Totals are taken in two levels (curve cell, then hash cell), so no task sees more than a cell.
 
 Edge cases: a null text has size 1 and the crc of an empty text; null languages and sources have a step of their own,
@@ -99,16 +100,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     group = ["h", "text_crc32", "size"]
     groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.min(f"d{i}").alias(f"d{i}") for i in range(len(dimensions))])
     groups = materialise(groups.withColumn("bytes", F.col("n") * F.col("size")), "groups")
-    cuts = groups.agg(F.percentile_approx("size", [i / 2**bits for i in range(1, 2**bits)], 10_000).alias("q"), F.sum("bytes").alias("total")).first()
+    cuts = groups.agg(F.percentile_approx("size", [i / 2**bits for i in range(1, 2**bits)], 10_000).alias("q"), F.sum("bytes").alias("total"), F.sum("n").alias("rows")).first()
     total, q = cuts["total"] or 0, sorted(set(cuts["q"] or []))
     for i in range(len(dimensions)):
         groups = _steps(groups, f"d{i}", bits)
     size_step = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in q]), lambda c: c < F.col("size"))) if q else F.lit(0)
     groups = groups.withColumn("curve", hilbert(*[F.col(f"step_d{i}") for i in range(len(dimensions))], size_step, bits=bits))
     groups = groups.withColumn("sub", F.pmod(F.shiftrightunsigned("h", 32), F.lit(SUB)).cast("int"))
-    groups = materialise(groups.select(*group, "bytes", "curve", "sub"), "curve")
     share = max(1.0, total / shards)
-    large = groups.filter(F.col("bytes") > F.lit(share / 64)).orderBy(F.col("bytes").desc(), *group).collect()
+    # By rows, too: a short text may have most of the rows in few of the bytes.
+    hot = (F.col("bytes") > F.lit(share / 64)) | ((F.col("n") > 1) & (F.col("n") > F.lit((cuts["rows"] or 0) / (64 * shards))))
+    groups = materialise(groups.select(*group, "bytes", "curve", "sub", hot.alias("hot")), "curve")
+    large = groups.filter("hot").orderBy(F.col("bytes").desc(), *group).collect()
     pieces = []
     for g in large:
         m = int(-(-g["bytes"] // share))
@@ -119,7 +122,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     # The large pieces are a fixed few rows; they are matched by broadcast, so copies of a hot text are never shuffled by it.
     schema = "lh long, lcrc long, lsize long, pieces int, piece int, lshard int"
     big = spark.createDataFrame([(p[1], p[2], p[3], p[4], p[5], s) for p, s in zip(pieces, at)], schema)
-    small = groups.filter(F.col("bytes") <= F.lit(share / 64))
+    small = groups.filter("NOT hot")
     cell, fine, inner = Window.orderBy("curve"), Window.partitionBy("curve").orderBy("sub"), Window.partitionBy("curve", "sub").orderBy(*group)
     fines = small.groupBy("curve", "sub").agg(F.sum("bytes").alias("w"))
     fines = materialise(fines, "cells")
@@ -136,7 +139,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.coalesce("pieces", F.lit(1))).cast("int")
     out = ["doc_id", "size", "text_crc32", "h", "curve", "sub", "shard"]
     few = marked.filter(F.col("pieces").isNull()).join(small, group).select(*out)
-    where = groups.filter(F.col("bytes") > F.lit(share / 64)).select(*group, "curve")
+    where = groups.filter("hot").select(*group, "curve")
     where = big.join(F.broadcast(where), same).select("lh", "lcrc", "lsize", "piece", "lshard", "curve")
     many = marked.filter(F.col("pieces").isNotNull()).withColumn("of", salt).join(F.broadcast(where), same & (F.col("of") == F.col("piece")))
     many = many.withColumn("sub", F.lit(SUB) + F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SUB)).cast("int")).withColumn("shard", F.col("lshard")).select(*out)

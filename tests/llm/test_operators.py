@@ -295,16 +295,37 @@ def test_shards(spark, odd, odd_rows, empty):
     got = sharding.shard_documents(frame(spark, rows)).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
     slots, load, where = defaultdict(list), Counter(), defaultdict(set)
-    for r in got:
+    for r in sorted(got, key=lambda r: r["slot"]):
         slots[r["shard"]].append(r["slot"])
         load[r["shard"]] += r["size"]
         where[r["text_crc32"], r["size"]].add(r["shard"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     hot = zlib.crc32(b"hot " * 30)
     assert all(len(s) == 1 for (crc, _), s in where.items() if crc != hot)
+    for s in slots:  # slots follow the curve
+        curve = [r["curve"] for r in sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])]
+        assert curve == sorted(curve)
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_shards_are_balanced(spark):
+    """Near-equal bytes, with a hot text of many bytes, one of most rows and few bytes, and a long text among others."""
+    rng = random.Random(17)
+    rows = [(i, prose(rng, rng.randint(20, 60)), rng.choice(["en", "de", None]), f"s{rng.randrange(9)}") for i in range(3000)]
+    rows += [(10_000 + i, None if i % 2 else "", "en", "a") for i in range(9000)] + [(30_000 + i, "hot text " * 20, "en", "b") for i in range(600)] + [(50_000, prose(rng, 2000), "fr", "c")]
+    got = sharding.shard_documents(frame(spark, rows).repartition(7)).collect()
+    load, empty_in, curve = Counter(), set(), defaultdict(list)
+    for r in sorted(got, key=lambda r: r["slot"]):
+        load[r["shard"]] += r["size"]
+        curve[r["shard"]].append(r["curve"])
+        if r["size"] == 1:
+            empty_in.add(r["shard"])
+    share = sum(load.values()) / 8
+    assert len(got) == len(rows) and len(load) == 8 and len(empty_in) == 1
+    assert max(abs(x - share) for x in load.values()) <= share / 32
+    assert all(c == sorted(c) for c in curve.values())
+
+
 def test_hilbert_is_a_curve():
     n = 8
     x = np.stack([a.ravel() for a in np.meshgrid(*[np.arange(n)] * 3, indexing="ij")])
