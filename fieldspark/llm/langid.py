@@ -28,10 +28,11 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 4
 UNKNOWN = "und"
 
 
-def training_sample(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", most: int = SAMPLE_DOCS, seed: int = 7) -> list[tuple[str, str]]:
-    """At most `most` (label, text) pairs for each label, chosen by a hash of the id, with texts cut to 64 windows.
+def training_sample(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", most: int = SAMPLE_DOCS, seed: int = 7) -> list[tuple[str, list[bytes]]]:
+    """(label, windows) of at most `most` documents for each label: SAMPLE_WINDOWS windows at most, from anywhere in the text.
 
-    The counts of labels (a few rows) set the share of each label's hash range that is read; ranks are taken within it.
+    Documents and windows are chosen by hashes of the id. The counts of labels (a few rows) set the share of each label's
+    hash range that is read; ranks are taken within it. Only the windows reach the driver.
     """
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), (F.xxhash64(F.col(key), F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)).alias("u"))
@@ -39,12 +40,15 @@ def training_sample(docs: DataFrame, text: str = "text", label: str = "lang", ke
     if not counts:
         return []
     limit = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, 2 * most / n + 20 / n))) for k, n in sorted(counts.items())])
-    few = rows.filter(F.col("u") < limit).select("label", "u", F.substring("text", 1, 64 * WINDOW).alias("text")).collect()  # about 2 * most rows a label
+    raw = F.encode("text", "UTF-8")
+    places = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.pmod(F.xxhash64("u", i), F.ceil(F.octet_length("text") / WINDOW)))
+    windows = F.transform(F.array_distinct(places), lambda k: F.substring(raw, (k * WINDOW + 1).cast("int"), F.lit(WINDOW)))
+    few = rows.filter((F.col("u") < limit) & (F.octet_length("text") > 0)).select("label", "u", windows.alias("windows")).collect()  # about 2 * most rows a label
     out, taken = [], dict.fromkeys(counts, 0)
-    for r in sorted(few, key=lambda r: (r["label"], r["u"], r["text"])):
+    for r in sorted(few, key=lambda r: (r["label"], r["u"], r["windows"])):
         if taken[r["label"]] < most:
             taken[r["label"]] += 1
-            out.append((r["label"], r["text"]))
+            out.append((r["label"], [bytes(w) for w in r["windows"]]))
     return out
 
 
@@ -58,16 +62,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def train(sample: list[tuple[str, str]], epochs: int = 12, batch: int = 64, rate: float = 0.01, hidden: int = HIDDEN, seed: int = 3) -> dict:
+def train(sample: list[tuple[str, list[bytes]]], epochs: int = 12, batch: int = 64, rate: float = 0.01, hidden: int = HIDDEN, seed: int = 3) -> dict:
     """Fit the network: byte table and recurrent weights for each direction, and the output layer. Adam, fixed seed."""
     labels = sorted({a for a, _ in sample})
     rng = np.random.default_rng(seed)
     x, y = [], []
-    for label, text in sample:
-        w = _windows(text.encode("utf-8"))
-        for i in rng.permutation(len(w))[:SAMPLE_WINDOWS]:
-            x.append(w[i])
-            y.append(labels.index(label))
+    for label, windows in sample:
+        x += [_windows(w)[0] for w in windows]
+        y += [labels.index(label)] * len(windows)
     x, y = np.array(x), np.array(y)
     h, k = hidden, len(labels)
     p = {}

@@ -184,6 +184,52 @@ def test_gradients_are_numeric():
         assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-9)
 
 
+def test_prediction_is_the_plain_network():
+    """predict() against one byte after the other in float64, windows apart."""
+    rng, h, k = np.random.default_rng(1), 4, 3
+    net = {f"{n}{d}": rng.normal(size=s) for d in "fb" for n, s in (("E", (256, 3 * h)), ("U", (h, 3 * h)), ("c", h))} | {"V": rng.normal(size=(2 * h, k)), "v": rng.normal(size=k)}
+    net = {n: a.astype(np.float32) for n, a in net.items()} | {"labels": ["x", "y", "z"]}
+    texts = [b"a", "é ñandú ".encode() * 20, b"z" * langid.WINDOW, bytes(range(1, 200)) * 3]
+
+    def plain(text):
+        total = np.zeros(k)
+        for lo in range(0, len(text), langid.WINDOW):
+            w = list(text[lo : lo + langid.WINDOW].ljust(langid.WINDOW, b"\0"))
+            states = {}
+            for d in "fb":
+                prev, states[d] = np.zeros(h), {}
+                for t in range(len(w)) if d == "f" else range(len(w) - 1, -1, -1):
+                    a, u = net["E" + d][w[t]].astype(float), prev @ net["U" + d].astype(float)
+                    z, r = 1 / (1 + np.exp(-(a + u)[:h])), 1 / (1 + np.exp(-(a + u)[h : 2 * h]))
+                    c = np.tanh(a[2 * h :] + r * (u[2 * h :] + net["c" + d]))
+                    prev = states[d][t] = z * prev + (1 - z) * c
+            for t in range(len(text[lo : lo + langid.WINDOW])):
+                l = np.concatenate([states["f"][t], states["b"][t]]) @ net["V"] + net["v"]
+                total += l - np.log(np.exp(l).sum())
+        p = np.exp((total - total.max()) / np.sqrt(len(text)))
+        return p / p.sum()
+
+    assert np.allclose(langid.predict(net, texts), [plain(t) for t in texts], atol=1e-4)
+
+
+def test_training_reads_whole_texts(spark):
+    """Languages that differ only after a long common beginning are learned; no window is longer than WINDOW."""
+    rng = random.Random(3)
+    rows = [(i, "common words " * 400 + prose(rng, 3000, {"xx": ("an", "ther"), "yy": ("ué", "ión")}[k]), k, "s") for i in range(40) for k in ["xx" if i % 2 else "yy"]]
+    sample = langid.training_sample(frame(spark, rows))
+    assert len(sample) == 40 and all(1 <= len(w) <= langid.SAMPLE_WINDOWS and all(0 < len(x) <= langid.WINDOW for x in w) for _, w in sample)
+    texts = {t.encode() for _, t, *_ in rows}
+    late = [x for _, ws in sample for x in ws if b"common" not in x]
+    assert len(late) > 60 and all(any(x in t for t in texts) for x in late)
+
+
+def test_held_out_accuracy_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pred = langid.predict_documents(docs).filter("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id")
+    r = pred.filter("lang IS NOT NULL AND lang_pred <> 'und'").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("ok")).first()
+    assert r["n"] > 50 and r["ok"] > 0.9
+
+
 def test_languages_are_told_apart(spark, empty):
     rng = random.Random(6)
     kinds = {"xx": ("an", "ther", "ing"), "yy": ("ué", "ión", "ar"), "zz": ("sch", "ver", "ü")}
