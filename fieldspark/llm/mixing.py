@@ -2,8 +2,9 @@
 
 Every source gets a target number of words. Whole copies of all its documents are certain; the fraction that is left
 is a Pareto order sample: documents are ranked by the odds of a uniform number divided by the odds of their inclusion
-(in proportion to their size), and the lowest ranks that fill the remaining words are taken. The sample's size is fixed
-in words: it ends within half a document of the target.
+(in proportion to their size), and the lowest ranks that fill the remaining words are taken. Documents whose odds in
+proportion would reach one are certain, and the proportion is set anew for the others. The sample's size is fixed in
+words: it ends within half a document of the target.
 
 No source is ranked in one task: a histogram of the ranks finds the one bin in which each source's sample ends, and
 only that bin is ordered. Edge cases: a null text has size 0 and nothing is taken of it; a null source is a source of
@@ -28,13 +29,16 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
 
 
 def source_targets(sizes: DataFrame, source: str = "source", size: str = "size", weights: tuple = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """One row per source: source_size, squares, weight, target, whole (certain copies), remain (words still to sample).
+    """One row per source: source_size, weight, target, whole (certain copies), remain (words still to sample), least_sure and share (see _sure()).
 
     Sources in code-point order, null last, take the weights in turn. Targets share all words by weight and stop at
     `cap` times the source's size; the excess is shared again by weight until no target is above. That fixed point is
     a water level: sources are filled in order of cap * size / weight. The windows run over one row per source.
     """
-    s = sizes.groupBy(F.col(source).alias("mix_source")).agg(F.sum(size).alias("source_size"), F.sum(F.col(size).cast("double") * F.col(size)).alias("squares"))
+    by_size = sizes.groupBy(F.col(source).alias("mix_source"), F.col(size).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    by_size = by_size.withColumn("words_of", F.col("n") * F.col("w")).withColumn("squares_of", F.col("words_of").cast("decimal(20,0)") * F.col("w").cast("decimal(18,0)"))
+    by_size = materialise(by_size, "by_size")
+    s = by_size.groupBy("mix_source").agg(F.coalesce(F.sum("words_of"), F.lit(0)).alias("source_size"))
     s = materialise(s, "sources")
     every, turn = Window.partitionBy(), Window.orderBy(F.col("mix_source").asc_nulls_last())
     s = s.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int")))
@@ -48,18 +52,38 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
     shared = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(every)
     s = s.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise((F.col("words") - kept) / shared * F.col("weight")))
     s = s.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    return s.withColumn("remain", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).select("mix_source", "source_size", "squares", "weight", "target", "whole", "remain")
+    s = s.withColumn("remain", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).select("mix_source", "source_size", "weight", "target", "whole", "remain")
+    s = materialise(s, "remains")
+    return s.join(_sure(by_size, s), F.col("mix_source").eqNullSafe(F.col("sure_source")), "left").drop("sure_source")
+
+
+def _sure(by_size: DataFrame, s: DataFrame) -> DataFrame:
+    """One row per source: least_sure, the size from which a document's inclusion is certain (null: none), and share, the inclusion of a word's size below.
+
+    From the largest size down, a size is certain while its share of what remains for it and all smaller ones reaches one.
+    The window runs over the distinct sizes of a source, which are at most as many as the longest text has words.
+    """
+    larger = Window.partitionBy("mix_source").orderBy(F.col("w").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("mix_source")
+    nothing = F.lit(0).cast("decimal(38,0)")
+    b = with_small(by_size, s.select(F.col("mix_source").alias("sure_source"), "remain"), F.col("mix_source").eqNullSafe(F.col("sure_source")), "inner")
+    b = b.withColumns({"left": F.col("remain") - F.coalesce(F.sum("words_of").over(larger), F.lit(0)), "squares": (F.sum("squares_of").over(whole) - F.coalesce(F.sum("squares_of").over(larger), nothing)).cast("double")})
+    sure = (F.col("w") > 0) & (F.col("w") * F.col("left") >= F.col("squares"))
+    # The first size that isn't certain has what is left for it and all smaller ones.
+    first = F.max_by(F.struct("left", "squares"), F.when(~sure, F.col("w")))
+    b = b.groupBy("sure_source").agg(F.min(F.when(sure, F.col("w"))).alias("least_sure"), first.alias("f"))
+    return b.select("sure_source", "least_sure", F.when(F.col("f.squares") > 0, F.col("f.left") / F.col("f.squares")).otherwise(F.lit(0.0)).alias("share"))
 
 
 def _ranked(df: DataFrame, plan: DataFrame, source: str, size: str, keys: tuple, seed: int) -> DataFrame:
     """`df` joined with its source's plan, with mix_rank and its bin; nothing but the small plan is moved."""
     df = with_small(df, plan, df[source].eqNullSafe(plan["mix_source"]))
     odds = lambda p: p / (1 - p)
-    share = F.when(F.col("squares") > 0, F.col("remain") / F.col("squares") * F.col(size)).otherwise(F.lit(0.0))
-    share = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), share))
-    df = df.withColumn("mix_rank", odds(uniform(*[F.col(k) for k in keys], seed=seed)) / odds(share))
+    share = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-12), F.col("share") * F.col(size)))
+    sure = F.coalesce(F.col(size) >= F.col("least_sure"), F.lit(False))
+    df = df.withColumn("mix_rank", F.when(sure, F.lit(0.0)).otherwise(odds(uniform(*[F.col(k) for k in keys], seed=seed)) / odds(share)))
     place = F.floor((F.log("mix_rank") + F.lit(SPAN)) * F.lit(BINS / (2 * SPAN)))
-    return df.withColumn("mix_bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), place)).cast("int"))
+    return df.withColumn("mix_bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), place)).cast("int"))  # rank 0: no logarithm, bin 0
 
 
 def mix_plan(sizes: DataFrame, source: str = "source", size: str = "size", keys: tuple = ("doc_id",), seed: int = 0, **options) -> DataFrame:

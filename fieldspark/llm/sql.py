@@ -41,16 +41,20 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.id = d.doc_id GROUP B
 
 OP9 = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size::DOUBLE * size) AS squares FROM d GROUP BY 1),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 o AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most, sum(source_size) OVER ()::DOUBLE AS words FROM s),
 b AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM o),
 f AS (SELECT *, (words - filled) / rest > most / weight AS cap FROM b),
 t AS (SELECT *, CASE WHEN cap THEN most ELSE (words - sum(CASE WHEN cap THEN most ELSE 0 END) OVER ()) / sum(CASE WHEN cap THEN 0 ELSE weight END) OVER () * weight END AS target FROM f),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 v AS (SELECT *, greatest(0.0, target - whole * source_size) AS remain FROM u),
-q AS (SELECT d.doc_id, d.source, size, source_size, target, whole, remain, (('0x' || substr(md5(concat(coalesce(d.doc_id::VARCHAR, 'null'), '|0')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS z,
-  least(1 - 1e-9, greatest(1e-12, CASE WHEN squares > 0 THEN remain / squares * size ELSE 0 END)) AS share FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
-k AS (SELECT *, (z / (1 - z)) / (share / (1 - share)) AS rank FROM q),
+y AS (SELECT source, size, sum(size::DOUBLE) AS words, sum(size::DOUBLE * size) AS squares FROM d GROUP BY 1, 2),
+z AS (SELECT y.source, size, remain - coalesce(sum(y.words) OVER (PARTITION BY y.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(squares) OVER (PARTITION BY y.source) - coalesce(sum(squares) OVER (PARTITION BY y.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS squares FROM y JOIN v ON y.source IS NOT DISTINCT FROM v.source),
+i AS (SELECT source, min(CASE WHEN size > 0 AND size * rest >= squares THEN size END) AS sure, arg_max(CASE WHEN squares > 0 THEN rest / squares ELSE 0 END, CASE WHEN NOT (size > 0 AND size * rest >= squares) THEN size END) AS per FROM z GROUP BY 1),
+q AS (SELECT d.doc_id, d.source, size, source_size, target, whole, remain, size >= sure AS certain, (('0x' || substr(md5(concat(coalesce(d.doc_id::VARCHAR, 'null'), '|0')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS z,
+  least(1 - 1e-9, greatest(1e-12, coalesce(per, 0) * size)) AS share FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source JOIN i ON d.source IS NOT DISTINCT FROM i.source),
+k AS (SELECT *, CASE WHEN certain THEN 0 ELSE (z / (1 - z)) / (share / (1 - share)) END AS rank FROM q),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE < remain AS near FROM k),
 l AS (SELECT source, max(CASE WHEN near THEN rank END) AS last FROM c GROUP BY 1)
 SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN (whole + CASE WHEN rank <= coalesce(last, -1) THEN 1 ELSE 0 END) * size ELSE 0 END)::BIGINT AS taken, c.source AS source

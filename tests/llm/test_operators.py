@@ -589,6 +589,23 @@ def test_mix(spark, odd_rows, empty):
     assert again == {(r["doc_id"], r["taken"]) for r in out}
     none = empty.drop("text")
     assert mixing.mix(none, mixing.mix_plan(none)).count() == 0
+    # Certain documents: the odds of the others are set anew until none reaches one.
+    sizes = spark.createDataFrame([(i, "abc"[i % 3], int(rng.paretovariate(0.7)) + i % 2) for i in range(900)] + [(-1, None, 0)], "doc_id long, source string, size long")
+    plan, rows_of = mixing.mix_plan(sizes), defaultdict(list)
+    for r in mixing.mix(sizes, plan).collect():
+        rows_of[r["source"]].append(r)
+    some = 0
+    for p in plan.collect():
+        own = [r["size"] for r in rows_of[p["mix_source"]] if r["size"]]
+        left, sure = p["remain"], set()
+        while left > 0 and (more := {x for x in set(own) - sure if x * left >= sum(y * y for y in own if y not in sure)}):
+            sure |= more
+            left = p["remain"] - sum(y for y in own if y in sure)
+        assert p["least_sure"] == (min(sure) if sure else None)
+        assert p["share"] == pytest.approx(left / sum(y * y for y in own if y not in sure) if set(own) - sure else 0.0)
+        assert all(r["copies"] == p["whole"] + 1 for r in rows_of[p["mix_source"]] if r["size"] in sure)
+        some += len(sure)
+    assert some
     mixed = mixing.mixed_documents(frame(spark, rows))
     assert mixed.count() == sum(r["copies"] for r in out)
 
