@@ -120,7 +120,7 @@ def dictionary(numbered: DataFrame) -> DataFrame:
     return rows.select("block", (F.col("base") + F.col("i")).cast("int").alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
 
 
-def apply_values(numbered: DataFrame, values: DataFrame, pack: Callable[[pd.DataFrame], list[bytes]], use: Callable[[pd.DataFrame, np.ndarray, list[list[bytes]], pd.DataFrame], pd.DataFrame], schema: str, more: DataFrame | None = None, keep_word: bool = False) -> DataFrame:
+def apply_values(numbered: DataFrame, values: DataFrame, pack: Callable[[pd.DataFrame], list[bytes]], use: Callable[[pd.DataFrame, np.ndarray, list[list[bytes]], pd.DataFrame], pa.Table], schema: str, more: DataFrame | None = None, keep_word: bool = False) -> DataFrame:
     """One row per document by `use(documents, places, packed)`, where values of all its block's words are at hand.
 
     `values` has a row for each distinct word. `pack` turns rows of (block, place, values) into a few byte strings;
@@ -144,14 +144,15 @@ def apply_values(numbered: DataFrame, values: DataFrame, pack: Callable[[pd.Data
 def _meet(numbered: DataFrame, parts: DataFrame, use: Callable, schema: str) -> DataFrame:
     """A block's documents and its words' values in one task; the documents' table is bucketed by block already."""
 
-    def meet(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+    def meet(docs: pa.Table, parts: pa.Table) -> pa.Table:
+        docs, parts = docs.to_pandas(), parts.to_pandas()
         mine = parts[parts["places"].notna()]
         places = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x, "<i4") for x in mine["places"]]])
         return use(docs, places, mine["data"].to_list(), parts[parts["places"].isna()])
 
     # A null beside an id would make pandas hold both as floats.
     docs = numbered.filter(F.col("ids").isNotNull()).select("block", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "flag", "ids")
-    return docs.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(meet, schema)
+    return docs.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(meet, schema)
 
 
 def ids_of(docs: pd.DataFrame) -> pd.array:

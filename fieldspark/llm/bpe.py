@@ -32,6 +32,8 @@ from .common import let
 
 #: Buckets of the rank map: a lookup in a map is a scan, so the literal is an array of small maps, found by crc32.
 BUCKETS, NEVER = 1 << 14, 2**31 - 1
+#: Ids that are decoded at a time.
+AT_ONCE = 1 << 16
 #: Any white space before a space. Marks of which one after letters is a word of the pattern by itself.
 SPACES = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 MARKS = frozenset(string.punctuation)
@@ -155,20 +157,29 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     literal = rank_map(ranks)
     del ranks, pieces
 
-    def use(docs: pd.DataFrame, places: np.ndarray, values: list[list[bytes]], _: pd.DataFrame) -> pd.DataFrame:
+    def use(docs: pd.DataFrame, places: np.ndarray, values: list[list[bytes]], _: pd.DataFrame) -> pa.Table:
         n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(zlib.decompress(v[0]), "<u4").astype(np.int64) for v in values]])
         flat = np.concatenate([np.zeros(0, np.uint32), *[unpack(v[1]) for v in values]])
         start, length = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         start[places], length[places] = np.cumsum(n) - n, n
-        rows, binary = [], shared.value
+        del values
+        n_tokens, ids_sha, back_sha, kept, binary = [], [], [], [], shared.value
         for packed in docs["ids"]:
             w = unpack(packed)
             ids = flat[ranges(start[w], length[w])].astype("<u4")
-            back = b"".join(map(binary.__getitem__, ids.tolist()))
-            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), ids.astype(np.int32) if keep_ids else None))
-        out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-        out.insert(0, "doc_id", ids_of(docs))
-        return out if keep_ids else out.drop(columns="ids")
+            n_tokens.append(len(ids))
+            ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+            back = hashlib.sha256()
+            for i in range(0, len(ids), AT_ONCE):
+                back.update(b"".join(map(binary.__getitem__, ids[i : i + AT_ONCE].tolist())))
+            back_sha.append(back.hexdigest())
+            if keep_ids:
+                kept.append(ids.astype(np.int32))
+        out = {"doc_id": pa.array(ids_of(docs), pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(back_sha, pa.string())}
+        if keep_ids:  # one flat array; lists of Python numbers would take thirty times as much
+            offsets = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *kept])))
+        return pa.table(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return apply_codes(numbered, lambda words: encode_words(words, literal), use, schema + ", ids array<int>" * keep_ids)

@@ -273,7 +273,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     def pack(g: pd.DataFrame) -> list[bytes]:
         return [zlib.compress(x, 1) for x in (g["n"].to_numpy("<i8").tobytes(), np.array([len(w) for w in g["word"]], "<i4").tobytes(), b"".join(g["word"]))]
 
-    def use(docs: pd.DataFrame, places: np.ndarray, parts: list[list[bytes]], found: pd.DataFrame) -> pd.DataFrame:
+    def use(docs: pd.DataFrame, places: np.ndarray, parts: list[list[bytes]], found: pd.DataFrame) -> pa.Table:
         count, words, at = np.zeros(len(places), np.int64), [b""] * len(places), 0
         for packed in parts:
             c, sizes, together = map(zlib.decompress, packed)
@@ -310,7 +310,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
         table["code_bits_per_byte"] = -table["score"] * np.log2(10) / table.pop("coded")
         table.insert(0, "held_out", ~docs["flag"].astype(bool).to_numpy())
         table.insert(0, "doc_id", ids_of(docs))
-        return table
+        return pa.Table.from_pandas(table, preserve_index=False)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_bits_per_byte double"
     return apply_values(numbered, words, pack, use, schema, answers, keep_word=True)
