@@ -133,7 +133,7 @@ def apply_values(numbered: DataFrame, values: DataFrame, pack: Callable[[pd.Data
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for block, g in pdf.groupby("block"):
-                yield pd.DataFrame({"block": [block], "places": [g["place"].to_numpy("<i4").tobytes()], "data": [pack(g)]})
+                yield pd.DataFrame({"block": [block], "places": [pack_numbers(g["place"].to_numpy("<i4"))], "data": [pack(g)]})
 
     parts = rows.mapInPandas(packed, "block long, places binary, data array<binary>")
     if more is not None:
@@ -147,7 +147,7 @@ def _meet(numbered: DataFrame, parts: DataFrame, use: Callable, schema: str) ->
     def meet(docs: pa.Table, parts: pa.Table) -> pa.Table:
         docs, parts = docs.to_pandas(), parts.to_pandas()
         mine = parts[parts["places"].notna()]
-        places = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(x, "<i4") for x in mine["places"]]])
+        places = np.concatenate([np.zeros(0, np.int32), *[unpack(x).astype(np.int32) for x in mine["places"]]])
         return use(docs, places, mine["data"].to_list(), parts[parts["places"].isna()])
 
     # A null beside an id would make pandas hold both as floats.
@@ -212,8 +212,8 @@ def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], use: Ca
             which.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
         places, words, rows = [unpack(x) for x in g["gram_counts"]], list(numbers), []
         for lo in range(0, len(words), CHUNK):  # a row holds so many distinct words at most
-            own = [(w >= lo) & (w < lo + CHUNK) for w in which]
-            rows.append((g["block"].to_list(), [p[o].tobytes() for p, o in zip(places, own)], [(w[o] - lo).tobytes() for w, o in zip(which, own)], words[lo : lo + CHUNK]))
+            own = [(k, p[o], w[o] - np.uint32(lo)) for k, p, w in zip(g["block"], places, which) if (o := (w >= lo) & (w < lo + CHUNK)).any()]
+            rows.append(([k for k, *_ in own], [pack_numbers(p) for _, p, _ in own], [pack_numbers(w) for *_, w in own], words[lo : lo + CHUNK]))
         return pd.DataFrame(rows, columns=["blocks", "places", "which", "words"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], use: Ca
             for i in range(b.num_rows):
                 values = b.column("values")[i].values
                 at, flat = values.offsets.to_numpy().astype(np.int64), values.values.to_numpy(zero_copy_only=False).astype(np.uint32)
-                rows = [(k, p, np.frombuffer(w, "<u4")) for k, p, w in zip(*(b.column(c)[i].as_py() for c in ("blocks", "places", "which"))) if len(p)]
+                rows = [(k, p, unpack(w)) for k, p, w in zip(*(b.column(c)[i].as_py() for c in ("blocks", "places", "which")))]
                 data = []
                 for _, _, w in rows:
                     n = at[w + 1] - at[w]
