@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, jaccard, langid, lm, mixing, orcids, quality, sharding, sql
+from . import bpe, decontamination, divergence, fingerprint, html, jaccard, langid, lm, mixing, orcids, quality, sharding, sql, whitening
 from .common import materialise
 
 
@@ -60,7 +60,19 @@ def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-ALL = (op1_host_rules, op2_context_tree, op3_byte_gru, op4_wrapper_induction, op5_hilbert_shards, op6_token_group_matrix, op7_byte_bpe, op8_orc_ids, op9_pareto_mix, op10_bottom_k)
+def op11_count_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_docs(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
+
+
+ALL = (op1_host_rules, op2_context_tree, op3_byte_gru, op4_wrapper_induction, op5_hilbert_shards, op6_token_group_matrix, op7_byte_bpe, op8_orc_ids, op9_pareto_mix, op10_bottom_k, op11_count_bitmaps, op12_whitening, op13_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
-SQL: dict[str, str] = {"op1_host_rules": sql.OP1, "op6_token_group_matrix": sql.OP6, "op9_pareto_mix": sql.OP9}
+SQL: dict[str, str] = {"op1_host_rules": sql.OP1, "op6_token_group_matrix": sql.OP6, "op9_pareto_mix": sql.OP9, "op11_count_bitmaps": sql.OP11, "op13_decontamination": sql.OP13}

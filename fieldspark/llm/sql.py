@@ -60,3 +60,37 @@ l AS (SELECT source, max(CASE WHEN near THEN rank END) AS last FROM c GROUP BY 1
 SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN (whole + CASE WHEN rank <= coalesce(last, -1) THEN 1 ELSE 0 END) * size ELSE 0 END)::BIGINT AS taken, c.source AS source
 FROM c JOIN l ON c.source IS NOT DISTINCT FROM l.source
 """
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o GROUP BY ALL),
+k AS (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM o GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total FROM x GROUP BY ALL),
+p AS (SELECT x.lang, x.source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * v) AS q
+  FROM x JOIN t ON x.lang = t.lang AND x.source = t.source JOIN v ON x.lang = v.lang),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT g.lang, g.source, 'pair', h.source, 0 FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source WHERE g.lang NOT IN (SELECT lang FROM v)
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM z WHERE part = 'pair' OR rank <= 10
+"""
+
+_RUNS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""
+WITH b AS (SELECT item_id::VARCHAR AS item, w, least(len(w), 10) AS n FROM (SELECT item_id, {_RUNS} AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_RUNS} AS w FROM documents),
+p AS (SELECT rid, w, i, n FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT n FROM g) WHERE i + n - 1 <= len(w)),
+h AS (SELECT rid, i, q.n, item FROM (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM p) q JOIN g ON q.n = g.n AND q.gram = g.gram),
+c AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM h) GROUP BY 1),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
