@@ -3,10 +3,13 @@
 Words are pieces of text as the tokenizer's pattern cuts them. Each distinct word is encoded once: its bytes are an array
 of one-byte pieces, and a fold merges the neighbours of lowest rank until none is in the rank map, a literal. The ranks
 of neighbours are kept beside the pieces, so a merge looks up two ranks only. Bytes are written as the 256 characters of
-ISO-8859-1, which lets Spark's string functions join and compare them. Decoding joins the binary pieces of the ids.
+ISO-8859-1, which lets Spark's string functions join and compare them. A word of over CUT bytes is cut, the cuts are merged
+by themselves, and at each seam the last pieces before and the first after it are merged anew: where the outer ones come
+out as they were, the whole is what merging the whole word gives, as pieces are right if each two neighbours merge to
+themselves; otherwise more pieces, and in the end both sides, are merged anew. Decoding joins the binary pieces of the ids.
 
 Edge cases: a null or empty text has no tokens; repeated rows are encoded alike; a word without spaces of any length is
-one word, in time that grows with the square of its length; an empty table gives an empty result; special tokens' strings
+one word, in time that grows with its length; an empty table gives an empty result; special tokens' strings
 are plain text; other columns are dropped.
 """
 
@@ -32,6 +35,8 @@ from .common import let
 
 #: Buckets of the rank map: a lookup in a map is a scan, so the literal is an array of small maps, found by crc32.
 BUCKETS, NEVER = 1 << 14, 2**31 - 1
+#: Longer words are cut into so many bytes, and so many cuts are joined at a time. Pieces on either side of a seam that are merged anew.
+CUT, SEAMS = 64, (6, 48)
 #: Ids that are decoded at a time.
 AT_ONCE = 1 << 16
 #: Any white space before a space. Marks of which one after letters is a word of the pattern by itself.
@@ -81,11 +86,35 @@ def encode_words(words: Column, literal: Column) -> Column:
 
             return F.when(m == NEVER, state).otherwise(let(F.array_position(r, m).cast("int") - 1, at))
 
-        def fold(text: Column) -> Column:
+        def merged(text: Column) -> Column:
             n = F.length(text)
             chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(1)))
             pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i < n, cost(F.substring(text, i, F.lit(2)))).otherwise(F.lit(NEVER)))
-            return F.transform(F.aggregate(F.sequence(F.lit(1), n - 1), state_of(chars, pairs), step)["p"], rank)
+            return F.aggregate(F.sequence(F.lit(1), n - 1), state_of(chars, pairs), step)["p"]
+
+        def joined(left: Column, right: Column) -> Column:
+            def within(k: int) -> Column:
+                a, b = F.greatest(F.size(left) - k, F.lit(0)), F.least(F.lit(k), F.size(right))
+
+                def spliced(m: Column) -> Column:
+                    # Pieces are right if each two neighbours are, and these come from runs of merges of their own.
+                    fits = ((a == 0) | (F.get(m, F.lit(0)) == F.get(left, a))) & ((b == F.size(right)) | (F.get(m, F.size(m) - 1) == F.get(right, b - 1)))
+                    return F.when(fits, F.concat(F.slice(left, 1, a), m, F.slice(right, b + 1, F.size(right))))
+
+                return let(merged(F.array_join(F.concat(F.slice(left, a + 1, k), F.slice(right, 1, k)), "")), spliced)
+
+            return F.coalesce(*[within(k) for k in SEAMS], merged(F.array_join(F.concat(left, right), "")))
+
+        def all_joined(parts: Column) -> Column:
+            return F.aggregate(F.slice(parts, 2, F.size(parts)), F.get(parts, F.lit(0)), joined)
+
+        def long(text: Column) -> Column:
+            cut = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), merged)
+            groups = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / CUT).cast("int")), lambda g: all_joined(F.slice(c, g * CUT + 1, CUT)))
+            return let(let(cut, groups), all_joined)
+
+        def fold(text: Column) -> Column:
+            return F.transform(F.when(F.length(text) <= CUT, merged(text)).otherwise(long(text)), rank)
 
         def whole(text: Column) -> Column:
             return F.when(F.length(text) == 0, none).otherwise(let(rank(text), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(text))))
@@ -185,6 +214,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     return apply_codes(numbered, lambda words: encode_words(words, literal), use, schema + ", ids array<int>" * keep_ids)
 
 
+def piece_list(ranks: dict[bytes, int]) -> Column:
+    """The pieces in rank order as a literal: array<string>, a byte a character."""
+    pieces = [""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+
+
 def decode_ids(ids: Column, pieces: Column) -> Column:
-    """The bytes of ids (array<int>) given the pieces (array<binary>) in rank order."""
-    return F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.get(pieces, i)))
+    """The bytes of ids (array<int>), given piece_list(); null for null ids. In one expression, so for texts that fit a row twice over."""
+    return let(pieces, lambda p: F.encode(F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""), "ISO-8859-1"))

@@ -514,6 +514,23 @@ def test_ids_are_tiktokens(spark, odd, odd_rows, empty):
     assert bpe.encode_documents(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_words_are_tiktokens(spark):
+    """Words of many cuts, with seams inside pieces, runs of one letter, and letters that never merge."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    some = lambda parts, n: "".join(rng.choice(parts) for _ in range(n))
+    texts = [some("abcdefghijklmnopqrstuvwxyz", 50_000), "a" * 9001, "ab" * 4000, "aaab" * 2000, "=" * 3000, some(["the", "ing", "tion", "ñ", "an"], 3000), some([chr(0x4E00 + i) for i in range(2000)], 1500)]
+    texts += [some("ab", rng.randint(60, 140)) for _ in range(60)] + [some(["an", "ther", "é", "st"], rng.randint(15, 70)) for _ in range(60)]
+    got = bpe.encode_documents(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), path, public_tokenizers.PATTERN, keep_ids=True).cache()
+    assert {r["doc_id"]: list(r["ids"]) for r in got.collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+    back = got.select("doc_id", bpe.decode_ids(F.col("ids"), bpe.piece_list(ranks)).alias("b")).collect()
+    assert {r["doc_id"]: bytes(r["b"]).decode() for r in back} == dict(enumerate(texts))
+
+
 def test_splitter_is_the_pattern():
     import pyarrow as pa
     import regex
