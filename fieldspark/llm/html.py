@@ -4,14 +4,16 @@ Pages become small trees of block elements in which runs of like siblings are on
 reference pages of its host, of the pages of like frame (the upper labels of the tree) and of those of equal shape, so that
 each layout of a host has references. Alignment is simple tree matching; block texts that stay the same in most of the
 aligned pages are template, and what varies is content. Pages count by their distinct texts, and neither a reference nor
-its near copies count for its own blocks, so that an article that is copied often stays whole. Parts of a page that are never content by their element, role or class
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are left out on every page, and
-where a page marks its article, only the article counts.
+its near copies count for its own blocks, so that an article that is copied often stays whole. Menus, adverts and footers
+that vary from page to page can't be told so; they are left out by what names them: their element, their role, or a class
+or id all of whose parts name such a place (`ad`, `promo-box`, `cookie-notice`, but not `social-science`); names that may
+mean content, too (`related`, `share`), only decide if other text is left on the page. Where a page marks its article, only the article counts.
 
 Edge cases: a null or empty html has an empty text; a null url's pages form a host of their own; a block is
-template only if LEAST_PAGES different pages have it; pages that differ in less than a fifth of their blocks are near copies
-and keep what they share; a page all of whose text is template keeps it; markup cut off at the end of a page is dropped; repeated rows get equal
-results; an empty table gives an empty result.
+template if LEAST_PAGES different pages have it, or all pages of a host of fewer, but two; a single page has no template;
+pages that have four fifths of their text in common are near copies and keep what they share; a page all of whose text is
+template keeps it; markup cut off at the end of a page is dropped; repeated rows get equal results; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialise, with_small
 
 REFERENCES, LEAST_PAGES, SHARE = 3, 4, 0.75
-#: Pages with so many hundredths of their block texts in common are near copies. Depth of a page's frame. Kinds of groups.
+#: Pages with so many hundredths of their text in common, by blocks, are near copies. Depth of a page's frame. Kinds of groups.
 NEAR, FRAME, LEVELS = 80, 3, 3
 #: Steps that an exact matching of two pages may take.
 MOST_WORK = 200_000
@@ -43,47 +45,70 @@ SPACE = re.compile(r"\s+")
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output progress q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, roles and words of class or id that are never part of the main text.
+#: Elements, roles and words of class or id that are never part of the main text; words that may stand beside these in a name.
 NOT_MAIN = frozenset("nav footer aside form script style noscript template iframe svg math canvas object select button textarea dialog menu head title audio video map noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar".split())
+WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies disqus respond share sharing social related "
+    "recommended newsletter subscribe subscription signup login search pagination pager widget widgets toolbar".split()
+)
+#: Those of WORDS that also name content: they decide only if other text is left on the page.
+WEAK = frozenset("notice notices alert respond reply replies share sharing social related recommended search header masthead promotion signup login subscribe subscription widget widgets overlay modal popup".split())
+BESIDE = frozenset(
+    "a area bar block body bottom box button buttons center col column container content cta divider fixed form global group head holder home icon icons img image inline inner item items js label left "
+    "link links list lower main message messages middle mobile modules module msg outer page pane panel part placeholder primary region right row secondary section site slot small space sticky strip sub thread "
+    "text title top unit upper user users view wrap wrapper x y z".split()
+)
 #: A start tag that ends an open paragraph or like item.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+#: How sure it is that a node isn't content: if other text is left, or anyway.
+MAYBE, SURELY = 1, 2
+
+
+def named_boilerplate(name: str) -> int:
+    """How surely a class or id (as written) names no content: all its parts, numbers aside, belong to WORDS or BESIDE, and one to WORDS."""
+    parts = {x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x}
+    words = parts & WORDS
+    return 0 if not words or parts - WORDS - BESIDE else MAYBE if words <= WEAK else SURELY
+
+
 class Node:
     """A block element: its label, children, whether it can't be content, and its own texts with their page order."""
 
     __slots__ = ("label", "children", "dropped", "texts")
 
-    def __init__(self, label: str, dropped: bool) -> None:
+    def __init__(self, label: str, dropped: int) -> None:
         self.label, self.dropped = label, dropped
         self.children: list[Node] = []
         self.texts: list[tuple[int, str]] = []
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """The label of a start tag, and whether it can't be content; `inside` an article a header may hold its title."""
-    first, drop = "", tag in NOT_MAIN or (tag == "header" and not inside)
+def _kind(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
+    """The label of a start tag, and how sure it is that it can't be content; `inside` an article a header may hold its title."""
+    first, drop = "", SURELY if tag in NOT_MAIN or (tag == "header" and not inside) else 0
     if attributes and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
+            name, value = name.lower(), a or b or c
+            low = value.lower()
             if name == "role":
-                drop |= value in ROLES
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                drop = True
+                drop = max(drop, SURELY * (low in ROLES))
+            elif name == "hidden" or (name == "aria-hidden" and low == "true") or (name == "style" and "display:none" in low.replace(" ", "")):
+                drop = SURELY
             elif name in ("class", "id"):
-                first = first or value.split(" ")[0]
-                if tag not in ("html", "body", "article", "main"):
-                    drop |= not WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-                elif tag == "article":
-                    drop |= not {"comment", "reply"}.isdisjoint(re.split(r"[^a-z]+", value))
+                first = first or low.split(" ")[0]
+                if tag == "article":
+                    drop = max(drop, SURELY * (not {"comment", "reply"}.isdisjoint(re.split(r"[^a-z]+", low))))
+                elif tag not in ("html", "body", "main"):
+                    drop = max(drop, *map(named_boilerplate, value.split()), 0)
     return (f"{tag}.{first}" if first else tag), drop
 
 
 def parse(html: str) -> tuple[Node, bool]:
     """The page's block tree, and whether it marks an article (or main part) that has text."""
-    root = Node("#page", False)
+    root = Node("#page", 0)
     stack: list[tuple[str, Node, bool]] = [("#page", root, False)]
     parts: list[str] = []
     order, skip_inline, pos, end = 0, [], 0, len(html)
@@ -154,7 +179,7 @@ def parse(html: str) -> tuple[Node, bool]:
             stack.pop()
         above = stack[-1]
         label, drop = _kind(tag, m[4], above[2])
-        node = Node(label, drop or above[1].dropped)
+        node = Node(label, max(drop, above[1].dropped))
         above[1].children.append(node)
         if not m[4].rstrip().endswith("/") or tag in ("p", "div", "article", "section", "main", "body"):
             stack.append((tag, node, above[2] or tag in ("article", "main")))
@@ -334,7 +359,7 @@ def _outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s, found = shape(tree), slots(tree)
             texts = sorted((o, t) for x in found for o, t, out in x if not out)
             hashes = [sorted({crc32(t.encode("utf-8")) for _, t, _ in x}) for x in found]
-            own = sorted({crc32(t.encode("utf-8")) for _, t in texts})
+            own = sorted({len(t) << 32 | crc32(t.encode("utf-8")) for _, t in texts})
             rows.append((host, _name([t for _, t in texts]), _name(s, hashes), groups_of(host, s), [d for d, _ in s], [x for _, x in s], hashes, own))
         yield pd.DataFrame(rows, columns=["host", "key", "whole", "groups", "depths", "labels", "hashes", "own"])
 
@@ -359,8 +384,9 @@ class Matcher:
 
 
 def near_copy(a: set[int], b: set[int]) -> bool:
-    """Whether two pages' block texts are copies or near copies of each other."""
-    return 100 * len(a & b) >= NEAR * len(a | b)
+    """Whether two pages' block texts (hashes below their lengths) are copies or near copies of each other, by length."""
+    size = lambda x: sum(t >> 32 for t in x)
+    return 100 * size(a & b) >= NEAR * size(a | b)
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -376,13 +402,15 @@ def induce(pages: DataFrame) -> DataFrame:
     outlines = materialise(outlines.select("host", "key", "p.groups", *[f"p.{c}" for c in page]), "outlines")
     of_group = outlines.select("host", "key", F.posexplode("groups").alias("level", "g")).groupBy("host", "level", "g")
     lows = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("o"), "key"))["key"] for i in range(REFERENCES)]
-    chosen = materialise(of_group.agg(F.count(F.lit(1)).alias("pages"), F.array_distinct(F.array(*lows)).alias("keys")).filter(F.col("pages") >= LEAST_PAGES), "groups")
+    # A host of few pages has its own references, too; a few pages of a large host don't.
+    enough = F.col("pages") >= F.when(F.col("level") == 0, 2).otherwise(LEAST_PAGES)
+    chosen = materialise(of_group.agg(F.count(F.lit(1)).alias("pages"), F.array_distinct(F.array(*lows)).alias("keys")).filter(enough), "groups")
     # A frame's or shape's group that holds the whole host would only repeat the host's.
     whole = chosen.filter("level = 0").select("host", F.col("pages").alias("all_pages"))
     chosen = chosen.join(whole, "host").filter("level = 0 OR pages < all_pages")
-    picked = materialise(chosen.select("g", F.col("host").alias("ref_host"), F.posexplode("keys").alias("ref", "ref_key")), "picked")
+    picked = materialise(chosen.select("g", "pages", F.col("host").alias("ref_host"), F.posexplode("keys").alias("ref", "ref_key")), "picked")
     refs = with_small(outlines, picked, (outlines["host"] == picked["ref_host"]) & (outlines["key"] == picked["ref_key"]), "inner")
-    refs = refs.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("ref", *page))).alias("refs"))  # at most REFERENCES
+    refs = refs.groupBy("g", "pages").agg(F.array_sort(F.collect_list(F.struct("ref", *page))).alias("refs"))  # at most REFERENCES
     refs = materialise(refs, "references")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -411,7 +439,7 @@ def induce(pages: DataFrame) -> DataFrame:
     counts = materialise(counts, "matches")
     total = counts.filter(F.col("hash").isNull()).select("g", "ref", "node", F.col("n").alias("met"))
     const = counts.filter(F.col("hash").isNotNull()).join(total, ["g", "ref", "node"])
-    const = const.filter((F.col("n") >= LEAST_PAGES - 1) & (F.col("n") >= F.lit(SHARE) * F.col("met")))
+    const = const.join(refs.select("g", "pages"), "g").filter((F.col("n") >= F.least(F.lit(LEAST_PAGES), "pages") - 1) & (F.col("n") >= F.lit(SHARE) * F.col("met")))
     const = const.groupBy("g").agg(F.collect_list(F.struct("ref", "node", "hash")).alias("template"))  # within the references' texts
     trees = F.transform("refs", lambda x: F.struct(x["ref"].alias("ref"), x["depths"].alias("depths"), x["labels"].alias("labels")))
     return materialise(refs.join(const, "g").select("g", trees.alias("refs"), "template"), "wrappers")
@@ -453,6 +481,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             fixed.setdefault(i, set()).update(by[ref["ref"], j])
             kept: list[tuple[int, str]] = []
             content: list[tuple[int, str]] = []
+            named: list[tuple[int, str]] = []
             path: list[str] = []
             for i, ((d, label), found) in enumerate(zip(s, found_in)):
                 del path[d:]
@@ -461,7 +490,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     drop = fixed.get(i, ())
                     content += (some := [(o, t) for o, t, out in found if not out])
                     kept += [(o, t) for o, t in some if not drop or crc32(t.encode("utf-8")) not in drop]
-            texts.append("\n\n".join(t for _, t in sorted(kept or content)))
+                    named += [(o, t) for o, t, out in found if out == MAYBE and crc32(t.encode("utf-8")) not in drop]
+            texts.append("\n\n".join(t for _, t in sorted(kept or content or named)))
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 

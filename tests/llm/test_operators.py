@@ -268,6 +268,81 @@ def test_template_is_of_different_pages(spark):
     assert all(got[300 + i] == [f"Other {i} a", f"Other {i} b"] for i in range(5))
 
 
+def test_names_of_content_stay(spark):
+    """Classes that hold a telling word beside others are content, as is one that holds all the page's text; telling names go."""
+    rows = []
+    for i in range(6):
+        own = [f"First {i} of the page", f"Second {i} of the page"]
+        for k, (open_, close) in enumerate((("<div class='social-science'>", "</div>"), ("<div id='market-share'>", "</div>"), ("<article><div class='related-work'>", "</div></article>"), ("<div class='notice'>", "</div>"), ("<section class='SearchTheory'>", "</section>"))):
+            rows.append((10 * k + i, f"http://names{k}/{i}", f"<body><div class='ad-slot-{i}'>Buy {i}</div><div id='cookieNotice'>Take {i}</div>{open_}<p>{own[0]}</p><p>{own[1]}</p>{close}<div class='comment-list'>Nice {i}</div></body>"))
+    rows.append((100, "http://bare/", "<body><div class='advert'>Buy this</div></body>"))
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got.pop(100) == "" and len(got) == 30
+    assert all(t == f"First {i % 10} of the page\n\nSecond {i % 10} of the page" for i, t in got.items() if i < 30 or i >= 40)
+    assert all(f"First {i % 10} of the page\n\nSecond" in t and "Buy" not in t and "Nice" not in t for i, t in got.items())
+
+
+def test_small_hosts_lose_what_all_pages_have(spark):
+    """Menus without telling classes go from hosts of two and three pages as from one of eight; what differs, or what a page has alone, stays."""
+    rows = []
+    for n in (1, 2, 3, 8):
+        for i in range(n):
+            menu, foot = "".join(f"<div>{x}</div>" for x in ("Home", "Products", "About us", "Jobs", "Press", "Contact")), "<div class=q3>All rights reserved</div>"
+            rows.append((10 * n + i, f"http://of{n}/{i}", f"<html><body><div class=q1>{menu}</div><div class=q2><p>Text {n} {i} that is longer than the menu</p><p>More of {n} {i}, too</p></div>{foot}</body></html>"))
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[10 * n + i] == f"Text {n} {i} that is longer than the menu\n\nMore of {n} {i}, too" for n in (2, 3, 8) for i in range(n))
+    assert got[10].startswith("Home\n\nProducts")
+
+
+def brute_extraction(pages):
+    """Texts of pages given as nested [label, texts, children] of one host: a text is template if enough of the pages it is aligned with have it.
+
+    Alignment here is by the path of labels, which on generated pages (each label once below its parent) is the largest matching.
+    """
+
+    def walk(t, path=()):
+        path += (t[0],)
+        yield from ((path, x) for x in t[1])
+        for c in t[2]:
+            yield from walk(c, path)
+
+    found = [list(walk(p)) for p in pages]
+    out = []
+    for k, own in enumerate(found):
+        others = [set(f) for n, f in enumerate(found) if n != k and [x for _, x in f] != [x for _, x in own]]
+        keep = [x for path, x in own if sum((path, x) in o for o in others) < min(html.LEAST_PAGES, len(found)) - 1]
+        out.append("\n\n".join(keep or [x for _, x in own]))
+    return out
+
+
+def test_extraction_is_brute_force(spark):
+    """Generated hosts of two to nine pages of one layout, with template and own texts in every node."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for host in range(25):
+        labels = iter(range(1000))
+
+        def layout(depth):
+            kind = rng.choice(["template", "own", "both", "none"])
+            return (f"n{next(labels)}", kind, [layout(depth - 1) for _ in range(rng.randrange(3))] if depth else [])
+
+        root = ("root", "own", [layout(3) for _ in range(4)])
+
+        def page(t, i):
+            texts = [f"Template of {host} {t[0]}"] * (t[1] in ("template", "both")) + [f"Page {i} of {host} says {t[0]} at some length, so that pages differ."] * (t[1] in ("own", "both"))
+            return [t[0], texts, [page(c, i) for c in t[2]]]
+
+        def write(t):
+            return f"<div class={t[0]}>" + "".join(f"<br>{x}<hr>" for x in t[1]) + "".join(map(write, t[2])) + "</div>"
+
+        pages = [page(root, i) for i in range(rng.randint(2, 9))]
+        for i, text in enumerate(brute_extraction(pages)):
+            want[100 * host + i] = text
+            rows.append((100 * host + i, f"https://u@Host{host}.example:80/{i}", f"<body>{write(pages[i])}</body>"))
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+
+
 def test_every_layout_has_references(spark):
     """Each of 12 layouts of a host has a text of its own that is template, with pages of one shape and of several."""
     rows = []
