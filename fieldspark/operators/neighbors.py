@@ -14,6 +14,38 @@ from ..functions.expr import periodic_displacement
 from ..plans.scratch import materialise
 
 
+#: Rows of a side that a bin may have before it is split. Rows that may be broadcast. A cell has 2 ** LEVEL_BITS cells of the level below along an axis.
+CROWD, BROADCAST_ROWS, LEVEL_BITS = 20_000, 200_000, 2
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """`df` (narrow, written), to be broadcast if its counted rows allow."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _known(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows whose coordinates are all numbers."""
+    return df.filter(reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols]))
+
+
+def _split_crowds(left: DataFrame, right: DataFrame, on: list[str], crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join of bins, and its keys, with bins of over `crowd` rows of a side dealt into pieces.
+
+    A bin's rows of a are dealt by their ids into pieces of about `crowd` rows, its rows of b likewise, and each piece of a
+    meets each of b, so no task has a crowded bin to itself. Other bins are one piece. There are at most (rows / crowd) crowded bins.
+    """
+    pieces = lambda df, out: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(crowd)).cast("int").alias(out))
+    many = materialise(pieces(left, "__na").join(pieces(right, "__nb"), on).filter("__na > 1 OR __nb > 1"), "crowded")
+    many = _if_small(many)
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        of, to = F.coalesce(f"__n{own}", F.lit(1)), F.coalesce(f"__n{other}", F.lit(1))
+        df = df.join(many, on, "left").withColumn(f"__p{own}", F.pmod(F.xxhash64(f"{own}_id"), of).cast("int"))
+        return df.withColumn(f"__p{other}", F.explode(F.sequence(F.lit(0), to - 1))).drop("__na", "__nb")
+
+    return dealt(left, "a", "b"), dealt(right, "b", "a"), [*on, "__pa", "__pb"]
+
+
 def _bins(periods: list, radius: float) -> list[tuple[float, int | None]]:
     """(width, count) of the bins of each axis: the width is the radius at least, and divides a period."""
     out = []
@@ -27,17 +59,16 @@ def _distance(cols: list[str], periods: list) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [periodic_displacement(f"a_{c}", f"b_{c}", p) ** 2 for c, p in zip(cols, periods)]))
 
 
-def radius_join(a: DataFrame, b: DataFrame, radius: float, cols: list[str], id: str = "id", periods: list | None = None, keys: tuple = (), self_join: bool = False, salt: int = 1, where: Column | None = None, carry: tuple = ()) -> DataFrame:
+def radius_join(a: DataFrame, b: DataFrame, radius: float, cols: list[str], id: str = "id", periods: list | None = None, keys: tuple = (), self_join: bool = False, where: Column | None = None, carry: tuple = (), crowd: int = CROWD) -> DataFrame:
     """Pairs (a_id, b_id, distance) no farther apart than the radius; with self_join each pair once, a_id < b_id.
 
     Points are put into bins as wide as the radius, b's points are sent to the bins around their own, and bins are joined.
     Only the first three axes are binned. `keys` (time steps, groups) must be equal on both sides. Rows with a NULL or NaN
-    coordinate meet nobody. `salt` splits crowded bins: a's rows are dealt over so many copies of b's. `where` is a condition on
-    pairs over distance, a_<col>, b_<col> and a_<name> of a's columns in `carry`.
+    coordinate meet nobody. Bins are counted, and those of over `crowd` rows are split (see _split_crowds()). `where` is a
+    condition on pairs over distance, a_<col>, b_<col> and a_<name> of a's columns in `carry`.
     """
     periods = list(periods or [None] * len(cols))
     binned = list(zip(cols, _bins(periods, radius)))[:3]
-    ok = lambda df: df.filter(reduce(lambda p, q: p & q, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols]))
 
     def bin_of(c: str, width: float, n: int | None) -> Column:
         i = F.floor(F.col(c) / F.lit(width)).cast("long")
@@ -49,15 +80,15 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float, cols: list[str], id:
         return F.array(*near) if n is None else F.array_distinct(F.array(*[F.pmod(x, F.lit(n)) for x in near]))
 
     names = [f"__bin{i}" for i in range(len(binned))]
-    left = ok(a).select(*keys, F.col(id).alias("a_id"), *[F.col(c).cast("double").alias(f"a_{c}") for c in cols], *[F.col(c).alias(f"a_{c}") for c in carry], *[bin_of(c, w, n).alias(x) for x, (c, (w, n)) in zip(names, binned)])
-    right = ok(b).select(*keys, F.col(id).alias("b_id"), *[F.col(c).cast("double").alias(f"b_{c}") for c in cols], *[around(c, w, n).alias(x) for x, (c, (w, n)) in zip(names, binned)])
+    left = _known(a, cols).select(*keys, F.col(id).alias("a_id"), *[F.col(c).cast("double").alias(f"a_{c}") for c in cols], *[F.col(c).alias(f"a_{c}") for c in carry], *[bin_of(c, w, n).alias(x) for x, (c, (w, n)) in zip(names, binned)])
+    right = _known(b, cols).select(*keys, F.col(id).alias("b_id"), *[F.col(c).cast("double").alias(f"b_{c}") for c in cols], *[around(c, w, n).alias(x) for x, (c, (w, n)) in zip(names, binned)])
     for x in names:
         right = right.withColumn(x, F.explode(x))
     on = [*keys, *names]
-    if salt > 1:
-        left = left.withColumn("__salt", F.pmod(F.xxhash64("a_id"), F.lit(salt)))
-        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-        on.append("__salt")
+    most = lambda df: df.groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+    own = [left] if a is b else [left, _known(b, cols).select(*keys, *[bin_of(c, w, n).alias(x) for x, (c, (w, n)) in zip(names, binned)])]
+    if max(map(most, own)) > crowd:
+        left, right, on = _split_crowds(left, right, on, crowd)
     pairs = left.join(right, on)
     if self_join:
         pairs = pairs.filter("a_id < b_id")
@@ -81,26 +112,107 @@ def _typical_radius(df: DataFrame, cols: list[str], k: int) -> float:
     return (2.0 * k * math.prod(sides) / n) ** (1 / d) / 2
 
 
+def _cell_width(b: DataFrame, cols: list[str], k: int) -> float:
+    """A width at which a point of b shares its cell with a few times k others, also where most of the box is empty."""
+    r, last, tried = _typical_radius(b, cols, k), math.inf, None
+    for _ in range(12):
+        cells = b.groupBy(*[F.floor(F.col(c) / F.lit(r)).alias(f"__c{i}") for i, c in enumerate(cols[:3])]).count()
+        shared = cells.agg(F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).first()[0] or 0.0
+        if shared > 0.9 * last:
+            return tried  # copies of points, which no width tells apart
+        if shared <= 16 * (k + 1):
+            return r
+        last, tried = shared, r
+        r /= 2 ** max(1, math.ceil(math.log2(shared / (4 * k)) / min(3, len(cols))))
+    return r
+
+
+def _near_cells(todo: DataFrame, b: DataFrame, need: int, width: float, cols: list[str], id: str, keys: tuple) -> tuple[DataFrame, list[str]]:
+    """For each row of `todo` the occupied cells of b (columns, as named) that can hold one of its `need` nearest points.
+
+    Points of b are counted by cell, and cells by larger cells, level by level. From the largest downwards, each row of todo
+    keeps the cells that are no farther from it than the distance within which the counts promise `need` points, and only
+    these are opened. So a row meets a few cells a level, however far away they are, and no point that is out of reach.
+    """
+    axes = cols[:3]
+    names = [f"__c{i}" for i in range(len(axes))]
+    cells = b.select(*keys, *[F.floor(F.col(c) / F.lit(width)).cast("long").alias(x) for x, c in zip(names, axes)]).groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
+    cells = materialise(cells, "cells")
+    ends = cells.agg(*[F.max(x) - F.min(x) for x in names]).first()
+    levels = max([0, *[math.ceil((int(e or 0) + 1).bit_length() / LEVEL_BITS) for e in ends]])
+    tree = cells.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    tree = tree.select(*keys, "__l", "__n", *[F.expr(f"shiftright({x}, {LEVEL_BITS} * __l)").alias(x) for x in names]).groupBy(*keys, "__l", *names).agg(F.sum("__n").alias("__n"))
+    tree = materialise(tree, "cell-tree")
+    rest = 0.0
+    if len(cols) > 3:  # axes without cells add to the largest distance: by what the boxes of both sides span
+        far, near = [[float(x or 0) for x in df.agg(*[x for c in cols[3:] for x in (F.min(c), F.max(c))]).first()] for df in (todo, b)]
+        rest = sum(max(abs(far[i + 1] - near[i]), abs(near[i + 1] - far[i])) ** 2 for i in range(0, len(far), 2))
+    rows = todo.select(*keys, F.col(id).alias("a_id"), *[F.col(c).cast("double").alias(f"a_{c}") for c in cols])
+    of_row = Window.partitionBy(*keys, "a_id")
+    for level in range(levels, -1, -1):
+        side = width * 2.0 ** (LEVEL_BITS * level)
+        at = tree.filter(F.col("__l") == level).drop("__l")
+        if level == levels:  # two cells an axis at most
+            rows = rows.join(at, list(keys)) if keys else rows.crossJoin(F.broadcast(at))
+        else:
+            at = at.withColumns({f"__up{i}": F.shiftright(x, LEVEL_BITS) for i, x in enumerate(names)})
+            rows = rows.select("*", *[F.col(x).alias(f"__up{i}") for i, x in enumerate(names)]).drop(*names, "__n").join(at, [*keys, *[f"__up{i}" for i in range(len(names))]])
+        least, most = F.lit(0.0), F.lit(rest)
+        for x, c in zip(names, axes):
+            low, high = F.col(f"a_{c}") - F.col(x) * F.lit(side), (F.col(x) + 1) * F.lit(side) - F.col(f"a_{c}")
+            least = least + F.greatest(-low, -high, F.lit(0.0)) ** 2
+            most = most + F.greatest(low, high) ** 2
+        slack = 1e-9 * side
+        rows = rows.withColumns({"__least": F.sqrt(least) - F.lit(slack), "__most": F.sqrt(most) + F.lit(slack)})
+        rows = rows.withColumn("__upto", F.sum("__n").over(of_row.orderBy("__most")))
+        rows = rows.withColumn("__reach", F.min(F.when(F.col("__upto") >= need, F.col("__most"))).over(of_row))
+        rows = rows.filter(F.col("__reach").isNull() | (F.col("__least") <= F.col("__reach")))
+        rows = materialise(rows.select(*keys, "a_id", *[f"a_{c}" for c in cols], *names, "__n"), "near-cells")
+    return rows.drop("__n"), names
+
+
 def knn_join(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str = "id", same: bool = False, radius: float | None = None, max_rounds: int = 24, keys: tuple = (), where: Column | None = None, carry: tuple = ()) -> DataFrame:
     """(a_id, b_id, distance, rank from 1): each a's k nearest points of b, ties by b's id; with `same` a point isn't its own neighbour.
 
-    With `keys` (first columns of the result) points meet those of equal keys only, and ids need be unique within them;
-    `where` and `carry` are those of radius_join(): of the points that meet the condition the nearest are taken.
+    With `keys` (first columns of the result) points meet those of equal keys only, and ids need be unique within them.
+    Rows with a NULL or NaN coordinate meet nobody.
+
+    A first join by radius serves the points that have k neighbours in the cells around them. The others look for theirs
+    through a tree of counted cells (see _near_cells()), and only the cells that they need are joined with b's points.
 
-    Points with fewer than k neighbours within the radius are tried again with twice the radius. When the radius covers the
-    whole box, what was found is final. Each round's unfinished points are all that goes on.
+    `where` and `carry` are those of radius_join(): of the points that meet the condition the nearest are taken. Counts of
+    cells don't tell which points do, so with a condition the others are tried again with twice the radius, until it covers
+    the whole box.
     """
+    w = Window.partitionBy(*keys, "a_id").orderBy("distance", "b_id")
+    ranked = lambda pairs: (pairs.filter("a_id <> b_id") if same else pairs).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    if where is not None:
+        return _knn_by_doubling(a, b, k, cols, id, ranked, radius, max_rounds, keys, where, carry)
+    a, b, alike = _known(a, cols), _known(b, cols), a is b
+    a = b if alike else a
+    r = radius or _cell_width(b, cols, k)
+    near = materialise(ranked(radius_join(a, b, r, cols, id, keys=keys)), "near")
+    done = materialise(near.filter(F.col("rank") == k).select(*keys, "a_id"), "done")
+    todo = materialise(a.join(done.withColumnRenamed("a_id", id), [*keys, id], "left_anti").select(*keys, id, *cols), "todo")
+    if todo.isEmpty():
+        return near
+    cells, names = _near_cells(todo, b, k + same, r, cols, id, keys)
+    points = b.select(*keys, F.col(id).alias("b_id"), *[F.col(c).cast("double").alias(f"b_{c}") for c in cols], *[F.floor(F.col(c) / F.lit(r)).cast("long").alias(x) for x, c in zip(names, cols)])
+    # Only points in cells that somebody needs go on; of a small list of cells without a shuffle.
+    points = points.join(_if_small(materialise(cells.select(*keys, *names).distinct(), "needed")), [*keys, *names], "left_semi")
+    pairs = cells.join(points, [*keys, *names]).withColumn("distance", _distance(cols, [None] * len(cols)))
+    return near.join(done, [*keys, "a_id"], "left_semi").unionByName(ranked(pairs.select(*keys, "a_id", "b_id", "distance")))
+
+
+def _knn_by_doubling(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str, ranked: Callable[[DataFrame], DataFrame], radius: float | None, max_rounds: int, keys: tuple, where: Column, carry: tuple) -> DataFrame:
+    """knn_join() with a condition: points with fewer than k neighbours within the radius are tried again with twice the radius."""
     r = radius or _typical_radius(b, cols, k)
     boxes = [df.agg(*[x for c in cols for x in (F.min(c), F.max(c))]).first() for df in (a, b)]
     spans = [max(x[2 * i + 1] for x in boxes) - min(x[2 * i] for x in boxes) for i in range(len(cols)) if all(x[2 * i] is not None for x in boxes)]
     most = math.sqrt(sum(float(s) ** 2 for s in spans)) + 1e-9
     todo, out = a, None
-    w = Window.partitionBy(*keys, "a_id").orderBy("distance", "b_id")
     for _ in range(max_rounds):
-        pairs = radius_join(todo, b, r, cols, id, keys=keys, where=where, carry=carry)
-        if same:
-            pairs = pairs.filter("a_id <> b_id")
-        near = pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+        near = ranked(radius_join(todo, b, r, cols, id, keys=keys, where=where, carry=carry))
         if r >= most:
             return near if out is None else out.unionByName(near)
         near = materialise(near, "near")

@@ -49,8 +49,8 @@ def test_radius_join_is_brute_force(spark, period):
     rows, df = points(spark, 120)
     delta = lambda a, b: abs(a - b) if period is None else min(abs(a - b) % period, period - abs(a - b) % period)
     want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if math.hypot(delta(a[1], b[1]), delta(a[2], b[2])) <= 1.0}
-    for salt in (1, 3):
-        got = neighbors.radius_join(df, df, 1.0, ["x", "y"], periods=[period, period], self_join=True, salt=salt).collect()
+    for crowd in (neighbors.CROWD, 3):
+        got = neighbors.radius_join(df, df, 1.0, ["x", "y"], periods=[period, period], self_join=True, crowd=crowd).collect()
         assert {(r["a_id"], r["b_id"]) for r in got} == want and len(got) == len(want)
 
 
@@ -64,6 +64,52 @@ def test_knn_join_is_brute_force(spark):
         assert [i for _, i in sorted(got[a[0]])] == [i for _, i in want]
 
 
+def test_crowded_bins_are_split(spark):
+    """Half of the points in one bin: no piece of a side has over twice the bound, and pairs are those of brute force."""
+    rng = random.Random(11)
+    rows = [(i, 5.05 + rng.random() / 2, 5.05 + rng.random() / 2) for i in range(600)] + [(1000 + i, rng.random() * 40, rng.random() * 40) for i in range(600)]
+    a = spark.createDataFrame(rows, "id long, x double, y double")
+    b = spark.createDataFrame(rows[::3], "id long, x double, y double")
+    got = {(r["a_id"], r["b_id"]) for r in neighbors.radius_join(a, b, 0.2, ["x", "y"], crowd=50).collect()}
+    assert got == {(p[0], q[0]) for p in rows for q in rows[::3] if math.hypot(p[1] - q[1], p[2] - q[2]) <= 0.2}
+    bins = [F.floor(F.col(c) / 1.0).alias(n) for c, n in (("x", "i"), ("y", "j"))]
+    left, right, on = neighbors._split_crowds(a.select(F.col("id").alias("a_id"), *bins), b.select(F.col("id").alias("b_id"), *bins), ["i", "j"], 50)
+    sizes = [sorted(r["count"] for r in side.groupBy(*on).count().collect()) for side in (left, right)]
+    assert all(s[-1] <= 100 for s in sizes) and left.filter("__pa > 0").count() > 400
+
+
+def test_knn_of_outliers_and_clusters(spark):
+    """Tight clusters, copies, lone points far away, points of b that a lacks, keys, four axes, fewer points than k."""
+    rng = random.Random(12)
+    rows = [(i, 7.0 + rng.gauss(0, 1e-3), -3.0 + rng.gauss(0, 1e-3), rng.random(), rng.random()) for i in range(150)]
+    rows += [(200 + i, rng.uniform(-50, 50), rng.uniform(-50, 50), rng.random(), rng.random()) for i in range(60)]
+    rows += [(300 + i, 1.0, 1.0, 0.5, 0.5) for i in range(9)] + [(400, 1e5, -4e4, 0.0, 9.0), (401, -2e4, 3.0, 0.0, 0.0)]
+    schema = "id long, x double, y double, z double, u double"
+    df, some = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::2], schema)
+
+    def brute(a, b, k, n, same, key=lambda r: 0):
+        return {(p[0], rank, q) for p in a for rank, (_, q) in enumerate(sorted((math.dist(p[1 : n + 1], q[1 : n + 1]), q[0]) for q in b if key(p) == key(q) and not (same and p[0] == q[0]))[:k], 1)}
+
+    for left, right, k, n, same in ((rows, rows, 5, 2, True), (rows, rows[::2], 3, 3, False), (rows[::2], rows, 4, 4, True), (rows, rows[:4], 6, 2, False)):
+        frames = [df if x is rows else some if x == rows[::2] else spark.createDataFrame(x, schema) for x in (left, right)]
+        got = {(r["a_id"], r["rank"], r["b_id"]) for r in neighbors.knn_join(*frames, k, ["x", "y", "z", "u"][:n], same=same).collect()}
+        assert got == brute(left, right, k, n, same)
+    keyed = df.withColumn("g", F.col("id") % 3)
+    got = neighbors.knn_join(keyed, keyed, 4, ["x", "y"], same=True, keys=("g",)).collect()
+    assert {(r["a_id"], r["rank"], r["b_id"]) for r in got} == brute(rows, rows, 4, 2, True, lambda r: r[0] % 3)
+
+
+def test_an_outlier_opens_few_cells(spark):
+    """A point far from 40,000 others meets the few cells on the near side of them, not all of their points."""
+    b = spark.range(40_000).select("id", (F.rand(3) * 100).alias("x"), (F.rand(4) * 100).alias("y"))
+    far = spark.createDataFrame([(-1, 5000.0, 4000.0), (-2, float("nan"), 0.0)], "id long, x double, y double")
+    width = neighbors._cell_width(b, ["x", "y"], 3)
+    cells, names = neighbors._near_cells(neighbors._known(far, ["x", "y"]), b, 3, width, ["x", "y"], "id", ())
+    assert 0 < cells.count() < 30
+    got = [r["b_id"] for r in neighbors.knn_join(far, b, 3, ["x", "y"]).orderBy("rank").collect()]
+    assert got == [r["id"] for r in b.orderBy(F.hypot(F.col("x") - 5000.0, F.col("y") - 4000.0)).limit(3).collect()]
+
+
 def test_joins_of_nothing_and_nulls(spark):
     _, df = points(spark, 5)
     empty = df.limit(0)
