@@ -38,6 +38,24 @@ def sym_eig2(xx, xy, yy) -> tuple[Column, Column, Column, Column]:
     return mean + root, mean - root, F.cos(angle), F.sin(angle)
 
 
+def eigenvectors2(xx, xy, yx, yy) -> tuple[Column, Column, Column, Column]:
+    """Unit eigenvectors (x0, y0, x1, y1) of a 2 x 2 matrix that needn't be symmetric, the larger eigenvalue's first.
+
+    NULL where the eigenvalues aren't real, or the matrix is a multiple of the identity. Either sign may result.
+    """
+    xx, xy, yx, yy = map(_c, (xx, xy, yx, yy))
+    half, root = (xx + yy) / 2, (xx - yy) * (xx - yy) / 4 + xy * yx
+    out = []
+    for sign in (1, -1):
+        value = half + sign * F.when(root >= 0, F.sqrt(F.greatest(root, F.lit(0.0))))
+        rows = [(xy, value - xx), (value - yy, yx)]  # both solve the equation; the longer one is the safer
+        n = [F.sqrt(a * a + b * b) for a, b in rows]
+        first = n[0] >= n[1]
+        for k in (0, 1):
+            out.append(F.when(F.greatest(*n) > 0, F.when(first, rows[0][k] / n[0]).otherwise(rows[1][k] / n[1])))
+    return tuple(out)
+
+
 def sym_eig3(xx, xy, xz, yy, yz, zz) -> tuple[Column, Column, Column]:
     """Eigenvalues, descending, by the trigonometric closed form."""
     xx, xy, xz, yy, yz, zz = map(_c, (xx, xy, xz, yy, yz, zz))

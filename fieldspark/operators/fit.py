@@ -217,42 +217,56 @@ def travel_time_field(pairs: DataFrame, nodes: DataFrame, support: float, min_di
     return rows.select("src", "id", t.alias("time"), F.when(F.col("dist") > 0, t / F.col("dist")).alias("slowness"), azimuth(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")).alias("azimuth"))
 
 
+def map_gradient(rows: DataFrame, key: str, offsets: list[str], ends: list[str], weight: str, least: int) -> DataFrame:
+    """Per key: the matrix g<p><q> = d end p / d offset q of the weighted linear fit of two or three `ends` on as many `offsets`.
+
+    The constant of the fit is eliminated by the weighted means, and the rest is solved in closed form, all from sums. NULL
+    for fewer than `least` rows, or rows that lie on a line or in a plane.
+    """
+    w, n = F.col(weight), range(len(offsets))
+    e, v = [F.col(c) for c in offsets], [F.col(c) for c in ends]
+    sums = {"w": w} | {f"e{p}": w * e[p] for p in n} | {f"v{p}": w * v[p] for p in n} | {f"e{p}{q}": w * e[p] * e[q] for p in n for q in n if p <= q} | {f"v{p}e{q}": w * v[p] * e[q] for p in n for q in n}
+    g = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"m_{k}") for k, x in sums.items()])
+    m = lambda k: F.col(f"m_{k}")
+    second = [[m(f"e{min(p, q)}{max(p, q)}") - m(f"e{p}") * m(f"e{q}") / m("w") for q in n] for p in n]
+    mixed = [[m(f"v{p}e{q}") - m(f"v{p}") * m(f"e{q}") / m("w") for q in n] for p in n]
+    names = [f"__s{p}{q}" for p in n for q in n] + [f"__t{p}{q}" for p in n for q in n]
+    g = g.filter(F.col("n") >= least).select(key, "n", *[x.alias(k) for k, x in zip(names, [x for r in second for x in r] + [x for r in mixed for x in r])])
+    a, b = [[[F.col(f"__{k}{p}{q}") for q in n] for p in n] for k in "st"]
+    if len(offsets) == 3:
+        solved = [_solve3(a, b[p])[0] for p in n]
+    else:
+        det = a[0][0] * a[1][1] - a[0][1] * a[0][1]
+        solved = [[F.when(det != 0, x / det) for x in (b[p][0] * a[1][1] - b[p][1] * a[0][1], b[p][1] * a[0][0] - b[p][0] * a[0][1])] for p in n]
+    return g.select(key, "n", *[solved[p][q].alias(f"g{p}{q}") for p in n for q in n])
+
+
 def ftle_particles(flow: DataFrame, radius: float, cols: list[str] = ("x", "y"), id: str = "pid", queries: DataFrame | None = None, least: int = 4) -> DataFrame:
     """Per particle (or query point): stretching max(0, ln of the largest eigenvalue) of the forward and backward maps.
 
-    `flow` is a flow_map(): positions, positions <c>_after and <c>_before. A weighted linear fit of the end positions of
-    the neighbours within the radius gives the map's gradient; fewer than `least` neighbours give NULL. Two dimensions in
-    closed form, three by the same sums and numpy.
+    `flow` is a flow_map() in two or three dimensions: positions, positions <c>_after and <c>_before. A weighted linear fit
+    of the end positions of the neighbours within the radius gives the map's gradient, and the Cauchy-Green tensor its
+    largest eigenvalue, all in closed form; fewer than `least` neighbours, or ones in a plane, give NULL.
     """
+    if len(cols) not in (2, 3):
+        raise ValueError("two or three dimensions")
     q = flow if queries is None else queries
     near = radius_join(q, flow, radius, list(cols), id).withColumn("__w", kernel("wendland", "distance", radius)).filter("__w > 0")
     ends = [f"{c}_{k}" for k in ("after", "before") for c in cols]
     rows = near.join(flow.select(F.col(id).alias("b_id"), *[F.col(c).alias(f"s_{c}") for c in cols], *ends), "b_id").join(q.select(F.col(id).alias("a_id"), *[F.col(c).alias(f"q_{c}") for c in cols]), "a_id")
     rows = rows.withColumns({f"e_{c}": F.col(f"s_{c}") - F.col(f"q_{c}") for c in cols})
     out = q.select(F.col(id).alias("a_id"))
-    if len(cols) != 2:
-        raise ValueError("use moving_least_squares() for each end coordinate in three dimensions")
-    x, y, W = F.col(f"e_{cols[0]}"), F.col(f"e_{cols[1]}"), F.col("__w")
     for k in ("after", "before"):
         has = rows.filter(reduce(lambda a, b: a & b, [F.col(f"{c}_{k}").isNotNull() for c in cols]))
-        sums = {"w": W, "x": W * x, "y": W * y, "xx": W * x * x, "xy": W * x * y, "yy": W * y * y}
-        for n, c in enumerate(cols):
-            v = F.col(f"{c}_{k}")
-            sums |= {f"v{n}": W * v, f"vx{n}": W * v * x, f"vy{n}": W * v * y}
-        g = has.groupBy("a_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(f"m_{s}") for s, e in sums.items()])
-        m = {s: F.col(f"m_{s}") for s in sums}
-        J = []
-        for n in range(2):
-            (_, gx, gy), _ = _solve3([[m["w"], m["x"], m["y"]], [m["x"], m["xx"], m["xy"]], [m["y"], m["xy"], m["yy"]]], [m[f"v{n}"], m[f"vx{n}"], m[f"vy{n}"]])
-            J.append((gx, gy))
-        high = sym_eig2(J[0][0] * J[0][0] + J[1][0] * J[1][0], J[0][0] * J[0][1] + J[1][0] * J[1][1], J[0][1] * J[0][1] + J[1][1] * J[1][1])[0]
-        f = g.select("a_id", F.col("n").alias(f"n_{k}"), F.when(F.col("n") >= least, F.when(high > 1, F.log(high)).when(high.isNotNull(), F.lit(0.0))).alias(f"ftle_{k}"))
+        g = map_gradient(has, "a_id", [f"e_{c}" for c in cols], [f"{c}_{k}" for c in cols], "__w", least)
+        high = largest_stretch([[F.col(f"g{p}{r}") for r in range(len(cols))] for p in range(len(cols))])
+        f = g.withColumn("__high", high).select("a_id", F.col("n").alias(f"n_{k}"), F.when(F.col("__high") > 1, F.log("__high")).when(F.col("__high").isNotNull(), F.lit(0.0)).alias(f"ftle_{k}"))
         out = out.join(f, "a_id", "left")
     return out.withColumnRenamed("a_id", id)
 
 
 def ftle_volume(flow: DataFrame, bounds: list[tuple[float, float]], res: list[int], radius: float, centre: tuple[float, float], cylinder: float, cols: list[str] = ("x", "y"), id: str = "pid") -> DataFrame:
-    """ftle_particles() at grid nodes within a circle, with the signed extreme of forward and backward values."""
+    """ftle_particles() at the nodes of a grid (one range and size an axis) within a circle, or the cylinder over it, with the signed extreme of forward and backward values."""
     from ..functions.expr import in_cylinder, signed_extreme
 
     nodes = grid_points(flow.sparkSession, bounds, res, tuple(cols)).filter(in_cylinder(F.col(cols[0]) - centre[0], F.col(cols[1]) - centre[1], cylinder)).withColumnRenamed("id", id)
@@ -260,7 +274,9 @@ def ftle_volume(flow: DataFrame, bounds: list[tuple[float, float]], res: list[in
     return f.withColumn("signed", signed_extreme("ftle_after", "ftle_before"))
 
 
-def largest_stretch3(J: list[list[Column]]) -> Column:
-    """The largest eigenvalue of J^T J of a 3 x 3 matrix of columns."""
+def largest_stretch(J: list[list[Column]]) -> Column:
+    """The largest eigenvalue of J^T J of a 2 x 2 or 3 x 3 matrix of columns."""
     C = lambda p, q: reduce(lambda a, b: a + b, [row[p] * row[q] for row in J])
-    return sym_eig3(C(0, 0), C(0, 1), C(0, 2), C(1, 1), C(1, 2), C(2, 2))[0]
+    if len(J) == 2:
+        return sym_eig2(C(0, 0), C(0, 1), C(1, 1))[0]
+    return F.when(J[0][0].isNotNull(), sym_eig3(C(0, 0), C(0, 1), C(0, 2), C(1, 1), C(1, 2), C(2, 2))[0])

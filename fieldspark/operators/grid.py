@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import signed_angle
-from ..functions.tensor import sym_eig2, sym_eig3
+from ..functions.tensor import eigenvectors2, sym_eig2, sym_eig3
 from ..plans.scratch import materialise
+from .components import connected_components
+from .neighbors import radius_join
 
 
 def _neighbours(grid: DataFrame, axes: list[str], axis: str, columns: list[str]) -> DataFrame:
@@ -103,9 +105,9 @@ def cell_index(grid: DataFrame, u: str = "u", v: str = "w") -> DataFrame:
 
 
 def critical_points(grid: DataFrame, u: str = "u", v: str = "w") -> DataFrame:
-    """Zeros of the vector field, linear on the two triangles of each cell: position and kind from trace and determinant.
+    """Zeros of the vector field, linear on the two triangles of each cell: position, Jacobian (jxx, jxy, jyx, jyy) and kind.
 
-    Kinds: saddle, source, sink, spiral source, spiral sink, centre.
+    Kinds, from trace and determinant: saddle, source, sink, spiral source, spiral sink, centre.
     """
     c = cell_corners(grid, u, v)
     halves = [(("00", "10", "01"), (0, 0), (1, 0), (0, 1)), (("11", "01", "10"), (1, 1), (0, 1), (1, 0))]
@@ -121,13 +123,30 @@ def critical_points(grid: DataFrame, u: str = "u", v: str = "w") -> DataFrame:
         # Jacobian in (i, j): the triangles' edges are the axes, up to sign.
         jxx, jxy, jyx, jyy = (a * sign, b * sign, cc * sign, d * sign)
         inside = (det != 0) & (s >= 0) & (t >= 0) & (s + t <= 1)
-        rows.append(F.when(inside, F.struct(F.lit(k).cast("long").alias("half"), x.alias("x"), y.alias("y"), (jxx + jyy).alias("trace"), (jxx * jyy - jxy * jyx).alias("det"))))
+        rows.append(F.when(inside, F.struct(F.lit(k).cast("long").alias("half"), x.alias("x"), y.alias("y"), (jxx + jyy).alias("trace"), (jxx * jyy - jxy * jyx).alias("det"), jxx.alias("jxx"), jxy.alias("jxy"), jyx.alias("jyx"), jyy.alias("jyy"))))
     z = c.select("i", "j", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("z")).select("i", "j", "z.*")
     spiral = F.col("trace") * F.col("trace") < 4 * F.col("det")
     kind = F.when(F.col("det") < 0, "saddle").when(F.abs("trace") < 1e-12, "centre").when(spiral, F.when(F.col("trace") > 0, "spiral source").otherwise("spiral sink")).otherwise(F.when(F.col("trace") > 0, "source").otherwise("sink"))
     return z.withColumn("kind", kind)
 
 
+def similar_critical_points(z: DataFrame, radius: float, least: float = 0.95, id: str = "id") -> DataFrame:
+    """(id, kind, kept): critical points (with an id) by groups of similar ones, each under its smallest id.
+
+    Two points no farther apart than the radius are similar if neither is a saddle, or if both are and their eigenvectors
+    agree one by one: the absolute inner products are at least `least`.
+    """
+    names = ("e0x", "e0y", "e1x", "e1y")
+    saddle = F.col("kind") == "saddle"
+    z = z.withColumn("__saddle", saddle).withColumns({n: F.when(saddle, e) for n, e in zip(names, eigenvectors2("jxx", "jxy", "jyx", "jyy"))})
+    side = lambda s: z.select(F.col(id).alias(f"{s}_id"), *[F.col(n).alias(f"{s}_{n}") for n in names])
+    near = radius_join(z, z, radius, ["x", "y"], id, keys=("__saddle",), self_join=True).join(side("a"), "a_id").join(side("b"), "b_id")
+    inner = lambda k: F.abs(F.col(f"a_e{k}x") * F.col(f"b_e{k}x") + F.col(f"a_e{k}y") * F.col(f"b_e{k}y"))
+    like = near.filter(~F.col("__saddle") | ((inner(0) >= least) & (inner(1) >= least))).select("a_id", "b_id")
+    groups = connected_components(like, "a_id", "b_id").withColumnRenamed("id", id)
+    return z.join(groups, id, "left").select(id, "kind", F.coalesce("component", id).alias("kept"))
+
+
 def value_span_cells(grid: DataFrame, value: float, column: str = "v") -> DataFrame:
     """Cells whose corners' range contains the value."""
     c = cell_corners(grid, column)
@@ -183,6 +202,31 @@ def stack_time(slices: list[tuple[float, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("t", F.lit(float(t))) for t, df in slices])
 
 
+def upsample(grid: DataFrame, factors: dict[str, int], value: str = "v") -> DataFrame:
+    """The grid refined by a factor along each axis: node i of an axis becomes node factor * i, and nodes between two neighbours are linear in all axes.
+
+    Nodes of the grid keep their values; between a node and one that is missing there are none. Each axis is one equi-join
+    with the next node.
+    """
+    axes = list(factors)
+    out = grid.select(*axes, value)
+    for a, f in factors.items():
+        after = out.select(*[(F.col(c) - 1).alias(c) if c == a else F.col(c) for c in axes], F.col(value).alias("__next"))
+        rows = out.join(after, axes, "left")
+        step = F.explode(F.when(F.col("__next").isNotNull(), F.sequence(F.lit(0), F.lit(f - 1))).otherwise(F.array(F.lit(0)))).alias("__k")
+        between = F.col(value) + (F.col("__next") - F.col(value)) * F.col("__k") / F.lit(float(f))
+        rows = rows.select(*axes, value, "__next", step)
+        out = rows.select(*[(F.col(c) * f + F.col("__k")).alias(c) if c == a else F.col(c) for c in axes], F.when(F.col("__k") == 0, F.col(value)).otherwise(between).alias(value))
+    return out
+
+
+def grid_edges(grid: DataFrame, axes: list[str], corners: bool = False) -> DataFrame:
+    """Edges (<axis>, <axis>_to) between the nodes of a grid that exist and are neighbours along an axis, or at a corner, too; each in both directions."""
+    shifts = F.array(*[F.struct(*[F.lit(d[a]).alias(a) for a in axes]) for d in grid_neighbours(axes, corners)])
+    to = grid.select(*axes, F.explode(shifts).alias("__d")).select(*axes, *[(F.col(a) + F.col(f"__d.{a}")).alias(f"{a}_to") for a in axes])
+    return to.join(grid.select(*[F.col(a).alias(f"{a}_to") for a in axes]), [f"{a}_to" for a in axes], "left_semi").select(*axes, *[f"{a}_to" for a in axes])
+
+
 def grid_neighbours(axes: list[str], corners: bool = False) -> list[dict[str, int]]:
     """Index shifts of a node's axis neighbours, or of all nodes around it."""
     if not corners:

@@ -102,21 +102,23 @@ def cell_list_pairs(df: DataFrame, bounds: list[tuple[float, float]], cols: list
     return radius_join(moved, moved, cutoff, cols, id, [hi - lo for lo, hi in bounds] if periodic else None, self_join=True)
 
 
-def _typical_radius(df: DataFrame, cols: list[str], k: int) -> float:
-    """A radius that holds about 2k points where points are as dense as in the box of all; 1 for a degenerate box."""
+def _typical_radius(df: DataFrame, cols: list[str], k: int, keys: tuple = ()) -> float:
+    """A radius that holds about 2k points (of a point's own keys) where points are as dense as in the box of all; 1 for a degenerate box."""
     box = df.agg(F.count(F.lit(1)), *[F.max(c) - F.min(c) for c in cols[:3]]).first()
     n, sides = box[0] or 1, [float(s) for s in box[1:] if s]
+    if keys:
+        n = df.groupBy(*keys).count().agg(F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).first()[0] or 1
     if not sides:
         return 1.0
     d = len(sides)
     return (2.0 * k * math.prod(sides) / n) ** (1 / d) / 2
 
 
-def _cell_width(b: DataFrame, cols: list[str], k: int) -> float:
+def _cell_width(b: DataFrame, cols: list[str], k: int, keys: tuple = ()) -> float:
     """A width at which a point of b shares its cell with a few times k others, also where most of the box is empty."""
-    r, last, tried = _typical_radius(b, cols, k), math.inf, None
+    r, last, tried = _typical_radius(b, cols, k, keys), math.inf, None
     for _ in range(12):
-        cells = b.groupBy(*[F.floor(F.col(c) / F.lit(r)).alias(f"__c{i}") for i, c in enumerate(cols[:3])]).count()
+        cells = b.groupBy(*keys, *[F.floor(F.col(c) / F.lit(r)).alias(f"__c{i}") for i, c in enumerate(cols[:3])]).count()
         shared = cells.agg(F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).first()[0] or 0.0
         if shared > 0.9 * last:
             return tried  # copies of points, which no width tells apart
@@ -171,9 +173,11 @@ def _near_cells(todo: DataFrame, b: DataFrame, need: int, width: float, cols: li
     return rows.drop("__n"), names
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str = "id", same: bool = False, radius: float | None = None, max_rounds: int = 24, keys: tuple = (), where: Column | None = None, carry: tuple = ()) -> DataFrame:
+def knn_join(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str = "id", same: bool | int = False, radius: float | None = None, max_rounds: int = 24, keys: tuple = (), where: Column | None = None, carry: tuple = ()) -> DataFrame:
     """(a_id, b_id, distance, rank from 1): each a's k nearest points of b, ties by b's id; with `same` a point isn't its own neighbour.
 
+    `same` may be the number of b's points of a's id, if it has several (images of periodic points).
+
     With `keys` (first columns of the result) points meet those of equal keys only, and ids need be unique within them.
     Rows with a NULL or NaN coordinate meet nobody.
 
@@ -190,13 +194,13 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str = "id"
         return _knn_by_doubling(a, b, k, cols, id, ranked, radius, max_rounds, keys, where, carry)
     a, b, alike = _known(a, cols), _known(b, cols), a is b
     a = b if alike else a
-    r = radius or _cell_width(b, cols, k)
+    r = radius or _cell_width(b, cols, k, keys)
     near = materialise(ranked(radius_join(a, b, r, cols, id, keys=keys)), "near")
     done = materialise(near.filter(F.col("rank") == k).select(*keys, "a_id"), "done")
     todo = materialise(a.join(done.withColumnRenamed("a_id", id), [*keys, id], "left_anti").select(*keys, id, *cols), "todo")
     if todo.isEmpty():
         return near
-    cells, names = _near_cells(todo, b, k + same, r, cols, id, keys)
+    cells, names = _near_cells(todo, b, k + int(same), r, cols, id, keys)
     points = b.select(*keys, F.col(id).alias("b_id"), *[F.col(c).cast("double").alias(f"b_{c}") for c in cols], *[F.floor(F.col(c) / F.lit(r)).cast("long").alias(x) for x, c in zip(names, cols)])
     # Only points in cells that somebody needs go on; of a small list of cells without a shuffle.
     points = points.join(_if_small(materialise(cells.select(*keys, *names).distinct(), "needed")), [*keys, *names], "left_semi")
@@ -295,14 +299,35 @@ def curve_distances(points: DataFrame, pairs: DataFrame, cols: list[str], curve:
     return out.withColumn("hausdorff", F.greatest("far_a", "far_b"))
 
 
-def chain_distance(chains: DataFrame, pairs: DataFrame, cols: list[str], length: int, periods: list | None = None) -> DataFrame:
-    """For each (chain_a, chain_b): chains of `length` points (pos from 0) aligned at b's point nearest to a's first, then their mean distance."""
+def near_chains(chains: DataFrame, radius: float, cols: list[str], periods: list | None = None) -> DataFrame:
+    """Pairs (chain_a, chain_b), chain_a < chain_b, of which two points are no farther apart than the radius."""
+    points = chains.select(F.struct("chain", "pos").alias("id"), *cols)
+    near = radius_join(points, points, radius, cols, periods=periods, self_join=True)
+    return near.select(F.col("a_id.chain").alias("chain_a"), F.col("b_id.chain").alias("chain_b")).filter("chain_a < chain_b").distinct()
+
+
+def unique_chains(chains: DataFrame, mindist: float, cols: list[str], periods: list | None = None) -> DataFrame:
+    """(chain): those that no earlier chain is closer to than `mindist` by chain_distance(), whether or not that one stays.
+
+    A mean below mindist needs two points closer than it, so only pairs of near_chains() are compared.
+    """
+    pairs = materialise(near_chains(chains, mindist, cols, periods), "near-chains")
+    later = chain_distance(chains, pairs, cols, periods).filter(F.col("distance") < F.lit(float(mindist))).select(F.col("chain_b").alias("chain")).distinct()
+    return chains.select("chain").distinct().join(later, "chain", "left_anti")
+
+
+def chain_distance(chains: DataFrame, pairs: DataFrame, cols: list[str], periods: list | None = None) -> DataFrame:
+    """For each (chain_a, chain_b): b is turned so that its point nearest to a's first is first, then the mean distance of a's points from b's.
+
+    Chains are closed and have their points at pos 0, 1, ...; where b is shorter than a, it is gone round again.
+    """
     periods = periods or [None] * len(cols)
+    length = chains.groupBy(F.col("chain").alias("chain_b")).agg(F.count(F.lit(1)).alias("__n"))
     p = lambda s: chains.select(F.col("chain").alias(f"chain_{s}"), F.col("pos").alias(f"pos_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
     d = _distance(cols, periods)
     first = pairs.join(p("a").filter("pos_a = 0"), "chain_a").join(p("b"), "chain_b").withColumn("d", d)
     start = first.groupBy("chain_a", "chain_b").agg(F.min_by("pos_b", F.struct("d", "pos_b")).alias("shift"))
-    both = start.join(p("a"), "chain_a").withColumn("pos_b", (F.col("pos_a") + F.col("shift")) % length).join(p("b"), ["chain_b", "pos_b"])
+    both = start.join(length, "chain_b").join(p("a"), "chain_a").withColumn("pos_b", (F.col("pos_a") + F.col("shift")) % F.col("__n")).join(p("b"), ["chain_b", "pos_b"])
     return both.withColumn("d", d).groupBy("chain_a", "chain_b").agg(F.first("shift").alias("shift"), F.avg("d").alias("distance"))
 
 

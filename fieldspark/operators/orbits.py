@@ -64,16 +64,24 @@ def best_period(df: DataFrame, max_p: int, cols: list[str] = ("x", "y"), periods
     return means.select(pid, best.alias("b")).select(pid, F.col("b.p").alias("best_period"), F.col("b.d").alias("mean_distance"))
 
 
-def period_from_closest_pair(df: DataFrame, width: float, cols: list[str] = ("x", "y"), periods: list | None = None, pid: str = "pid", step: str = "step", max_gap: int | None = None) -> DataFrame:
+def period_from_closest_pair(df: DataFrame, width: float, cols: list[str] = ("x", "y"), periods: list | None = None, pid: str = "pid", step: str = "step") -> DataFrame:
     """Per trajectory, its closest pair of steps i < j and q = (j - i) * width / (x_j - x_i); distances by the periodic metric.
 
-    Pairs of steps are compared within a trajectory, up to max_gap steps apart; give it for long trajectories.
+    Of equally close pairs the one of the smallest i, then j, counts. Each step's nearest step of its trajectory is found by
+    bins (knn_join()), so the work follows the steps, not their pairs. A periodic axis has an image of each step on either side.
     """
-    a = df.select(pid, F.col(step).alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = df.select(pid, F.col(step).alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = a.join(b, pid).filter("i < j" + (f" AND j - i <= {max_gap}" if max_gap else ""))
-    d = periodic_distance([F.col(f"a_{c}") for c in cols], [F.col(f"b_{c}") for c in cols], periods or [None] * len(cols))
-    best = pairs.groupBy(pid).agg(F.min(F.struct(d.alias("d"), F.col("i"), F.col("j"), (F.col(f"b_{cols[0]}") - F.col(f"a_{cols[0]}")).alias("dx"))).alias("m"))
+    periods = list(periods or [None] * len(cols))
+    points = df.select(pid, step, *[F.col(c) if p is None else F.pmod(F.col(c), F.lit(float(p))).alias(c) for c, p in zip(cols, periods)])
+    images, copies = points, 1
+    for c, p in zip(cols, periods):
+        if p is not None:
+            images = images.withColumn(c, F.explode(F.array(F.col(c) - F.lit(float(p)), F.col(c), F.col(c) + F.lit(float(p)))))
+            copies *= 3
+    near = knn_join(points, images, 1, list(cols), step, same=copies, keys=(pid,))
+    pair = near.groupBy(pid).agg(F.min(F.struct("distance", F.least("a_id", "b_id").alias("i"), F.greatest("a_id", "b_id").alias("j"))).alias("p")).select(pid, "p.*")
+    x = lambda k: df.select(pid, F.col(step).alias(k), F.col(cols[0]).alias(f"x_{k}"))
+    best = pair.join(x("i"), [pid, "i"]).join(x("j"), [pid, "j"])
+    best = best.select(pid, F.struct(F.col("distance").alias("d"), "i", "j", (F.col("x_j") - F.col("x_i")).alias("dx")).alias("m"))
     return best.select(pid, F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.d").alias("distance"), F.when(F.col("m.dx") != 0, (F.col("m.j") - F.col("m.i")) * F.lit(float(width)) / F.col("m.dx")).alias("q"))
 
 

@@ -132,13 +132,67 @@ def _flow(spark, sf):
     return O.flow_map(t, 10, 4, t="s")
 
 
-@query()
+def _ftle_sql(queries: str, axes: list[str], radius: float, out: str) -> str:
+    """Stretching at the points (id, <axes>) of `queries` from the particles f, by sums and closed forms; `out` is selected from (id, after, before)."""
+    n, r = range(len(axes)), f"{radius}::DOUBLE"
+    pairs = [(p, q) for p in n for q in n if p <= q]
+    apart = "sqrt(" + " + ".join(f"(b.{c}-a.{c})^2" for c in axes) + ")"
+    columns = ", ".join(f"b.{c}-a.{c} AS e{p}, b.{c}_after AS after{p}, b.{c}_before AS before{p}" for p, c in enumerate(axes))
+    parts = [f"n AS (SELECT a.id, power(1 - {apart}/{r}, 4)*(4*{apart}/{r} + 1) AS w, {columns} FROM ({queries}) a JOIN f b ON {apart} < {r})"]
+    s = lambda p, q: f"s{min(p, q)}{max(p, q)}"
+    for k in ("after", "before"):
+        sums = [f"sum(w*e{p}) AS e{p}, sum(w*{k}{p}) AS v{p}" for p in n] + [f"sum(w*e{p}*e{q}) AS e{p}{q}" for p, q in pairs] + [f"sum(w*{k}{p}*e{q}) AS v{p}e{q}" for p in n for q in n]
+        parts.append(f"m_{k} AS (SELECT id, sum(w) AS w, {', '.join(sums)} FROM n WHERE {' AND '.join(f'{k}{p} IS NOT NULL' for p in n)} GROUP BY 1 HAVING count(*) >= 4)")
+        centred = [f"e{p}{q} - e{p}*e{q}/w AS s{p}{q}" for p, q in pairs] + [f"v{p}e{q} - v{p}*e{q}/w AS t{p}{q}" for p in n for q in n]
+        parts.append(f"c_{k} AS (SELECT id, {', '.join(centred)} FROM m_{k})")
+        if len(axes) == 2:
+            inverse = {(0, 0): "s11", (0, 1): "-s01", (1, 1): "s00"}
+        else:
+            inverse = {(p, q): "(" + f"{s((p + 1) % 3, (q + 1) % 3)}*{s((p + 2) % 3, (q + 2) % 3)} - {s((p + 1) % 3, (q + 2) % 3)}*{s((p + 2) % 3, (q + 1) % 3)}" + ")" for p, q in pairs}
+        det = " + ".join(f"{s(0, q)}*({inverse[0, q]})" for q in n)
+        g = [f"({' + '.join(f't{p}{x}*({inverse[min(x, q), max(x, q)]})' for x in n)})/nullif({det}, 0) AS g{p}{q}" for p in n for q in n]
+        parts.append(f"g_{k} AS (SELECT id, {', '.join(g)} FROM c_{k})")
+        parts.append(f"k_{k} AS (SELECT id, {', '.join(' + '.join(f'g{x}{p}*g{x}{q}' for x in n) + f' AS k{p}{q}' for p, q in pairs)} FROM g_{k})")
+        if len(axes) == 2:
+            high = "(k00+k11)/2 + sqrt(((k00-k11)/2)^2 + k01*k01)"
+        else:
+            parts.append(f"q_{k} AS (SELECT *, (k00+k11+k22)/3 AS q FROM k_{k})")
+            parts.append(f"p_{k} AS (SELECT *, sqrt(((k00-q)^2 + (k11-q)^2 + (k22-q)^2 + 2*(k01*k01 + k02*k02 + k12*k12))/6) AS p, (k00-q)*((k11-q)*(k22-q) - k12*k12) - k01*(k01*(k22-q) - k12*k02) + k02*(k01*k12 - (k11-q)*k02) AS d FROM q_{k})")
+            high = "q + 2*p*cos(acos(greatest(-1.0, least(1.0, CASE WHEN p > 0 THEN d/(2*p*p*p) ELSE 0 END)))/3)"
+        parts.append(f"h_{k} AS (SELECT id, CASE WHEN {high} > 1 THEN ln({high}) WHEN k00 IS NOT NULL THEN 0.0 END AS {k} FROM {'k' if len(axes) == 2 else 'p'}_{k})")
+    return f"{', '.join(parts)}, o AS (SELECT a.id, after, before FROM ({queries}) a LEFT JOIN h_after x ON x.id = a.id LEFT JOIN h_before y ON y.id = a.id) {out}"
+
+
+def _seen(c: str) -> str:
+    return ", ".join(f"max(CASE WHEN step = {t} THEN {c} END) AS {c}{k}" for k, t in (("", 10), ("_after", 14), ("_before", 6)))
+
+
+_FLOW = f"+f AS (SELECT * FROM (SELECT pid, {_seen('x')}, {_seen('y')} FROM trajectories GROUP BY 1) WHERE x IS NOT NULL), "
+_FLOW3 = f"+w AS (SELECT *, lag(y, 1, 0.0) OVER (PARTITION BY pid ORDER BY step) AS z FROM trajectories), f AS (SELECT * FROM (SELECT pid, {_seen('x')}, {_seen('y')}, {_seen('z')} FROM w GROUP BY 1) WHERE x IS NOT NULL), "
+_BOTH = f"SELECT id AS pid, {sq('after')} AS after, {sq('before')} AS before FROM o"
+
+
+@query(with_views(_FLOW + _ftle_sql("SELECT pid AS id, x, y FROM f", ["x", "y"], 250.0, _BOTH), "trajectories"))
 def ftle_particles(spark, sf):
     df = Q.ftle_particles(_flow(spark, sf), 250.0)
     return df.select("pid", rd("ftle_after").alias("after"), rd("ftle_before").alias("before"))
 
 
-@query()
+@query(with_views(_FLOW3 + _ftle_sql("SELECT pid AS id, x, y, z FROM f", ["x", "y", "z"], 900.0, _BOTH), "trajectories"))
+def ftle_particles_3d(spark, sf):
+    """The third coordinate is a particle's y one step before."""
+    before = F.lag("y", 1, 0.0).over(Window.partitionBy("pid").orderBy("step"))
+    t = A.trajectories(spark, sf).withColumns({"s": F.col("step").cast("double"), "z": before})
+    axes = ["x", "y", "z"]
+    df = Q.ftle_particles(O.flow_map(t, 10, 4, axes, t="s"), 900.0, axes)
+    return df.select("pid", rd("ftle_after").alias("after"), rd("ftle_before").alias("before"))
+
+
+_NODES = "SELECT id, x, y FROM (SELECT i + 15*j AS id, 200.0 + i*50.0::DOUBLE AS x, j*30.0::DOUBLE AS y FROM (SELECT unnest(range(15)) AS i), (SELECT unnest(range(6)) AS j)) WHERE (x-550)^2 + (y-50)^2 <= 90000"
+_SIGNED = f"SELECT id AS pid, {sq('CASE WHEN after > before THEN after ELSE -before END')} AS signed FROM o"
+
+
+@query(with_views(_FLOW + _ftle_sql(_NODES, ["x", "y"], 250.0, _SIGNED), "trajectories"))
 def ftle_volume(spark, sf):
     df = Q.ftle_volume(_flow(spark, sf), [(200.0, 900.0), (0.0, 150.0)], [15, 6], 250.0, (550.0, 50.0), 300.0)
     return df.select("pid", rd("signed").alias("signed"))

@@ -101,11 +101,37 @@ def hausdorff_distance(spark, sf):
     return df.select("curve_a", "curve_b", *[rd(c, 3).alias(c) for c in ("hausdorff", "mean_a", "std_a")])
 
 
-@query(with_views(f"+p AS ({_PAIRS}), c AS (SELECT pid, step, y, x - first_value(x) OVER (PARTITION BY pid ORDER BY step) AS x FROM trajectories WHERE step < 20), d AS (SELECT a, b, t.step AS s, sqrt((f.x-t.x)^2+(f.y-t.y)^2) AS d FROM p JOIN c f ON f.pid = a AND f.step = 0 JOIN c t ON t.pid = b), m AS (SELECT a, b, arg_min(s, row(d, s)) AS s FROM d GROUP BY 1, 2) SELECT a AS chain_a, b AS chain_b, s AS shift, {sq('avg(sqrt((u.x-v.x)^2+(u.y-v.y)^2))', 3)} AS distance FROM m JOIN c u ON u.pid = a JOIN c v ON v.pid = b AND v.step = (u.step + s) % 20 GROUP BY 1, 2, 3", "trajectories"))
+#: Trajectories from their own start, the pairs that come near each other, and the distances of these.
+_CHAINS = "c AS (SELECT pid, step, y, x - first_value(x) OVER (PARTITION BY pid ORDER BY step) AS x, count(*) OVER (PARTITION BY pid) AS n, 0.0::DOUBLE AS z FROM trajectories)"
+_CHAIN_PAIRS = """{chains},
+  p AS (
+    SELECT DISTINCT s.pid AS a, t.pid AS b FROM (SELECT *, CAST(floor(x/{r}) AS BIGINT) AS bx FROM c) s JOIN (SELECT *, CAST(floor(x/{r}) AS BIGINT) + dx AS bx FROM c, (SELECT unnest([-1, 0, 1]) AS dx)) t
+      ON s.bx = t.bx AND s.pid < t.pid AND sqrt((s.x-t.x)^2 + (s.y-t.y)^2 + (s.z-t.z)^2) <= {r}),
+  d AS (SELECT a, b, t.step AS s, t.n, sqrt((f.x-t.x)^2 + (f.y-t.y)^2 + (f.z-t.z)^2) AS d FROM p JOIN c f ON f.pid = a AND f.step = 0 JOIN c t ON t.pid = b),
+  m AS (SELECT a, b, n, arg_min(s, row(d, s)) AS s FROM d GROUP BY 1, 2, 3),
+  e AS (SELECT a, b, s, avg(sqrt((u.x-v.x)^2 + (u.y-v.y)^2 + (u.z-v.z)^2)) AS distance FROM m JOIN c u ON u.pid = a JOIN c v ON v.pid = b AND v.step = (u.step + s) % m.n GROUP BY 1, 2, 3)"""
+
+
+@query(with_views("+" + _CHAIN_PAIRS.format(chains=_CHAINS, r="1.0::DOUBLE") + f" SELECT a AS chain_a, b AS chain_b, s AS shift, {sq('distance', 3)} AS distance FROM e", "trajectories"))
 def chain_distance(spark, sf):
+    """Whole trajectories, from their own start, for all pairs that come within 1 of each other."""
     w = Window.partitionBy("pid").orderBy("step")
-    c = A.trajectories(spark, sf).withColumn("x", F.col("x") - F.first("x").over(w)).filter("step < 20").select(F.col("pid").alias("chain"), F.col("step").alias("pos"), "x", "y")
-    return N.chain_distance(c, _user_pairs(spark, sf, "chain_a", "chain_b"), ["x", "y"], 20).withColumn("distance", rd("distance", 3))
+    c = A.trajectories(spark, sf).select(F.col("pid").alias("chain"), F.col("step").alias("pos"), (F.col("x") - F.first("x").over(w)).alias("x"), "y")
+    return N.chain_distance(c, N.near_chains(c, 1.0, ["x", "y"]), ["x", "y"]).withColumn("distance", rd("distance", 3))
+
+
+#: Orders of a customer by price: short chains, of which some are near copies; 20 customers in a row share a plane.
+_ORDER_CHAINS = """c AS (
+    SELECT o_custkey AS pid, row_number() OVER w - 1 AS step, count(*) OVER (PARTITION BY o_custkey) AS n, (o_totalprice/40000.0::DOUBLE) AS x, CAST(o_orderkey % 4 AS DOUBLE) AS y, (o_custkey // 20)*10.0::DOUBLE AS z
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey))"""
+
+
+@query("WITH " + _CHAIN_PAIRS.format(chains=_ORDER_CHAINS, r="1.5::DOUBLE") + " SELECT DISTINCT pid AS chain FROM c WHERE pid NOT IN (SELECT b FROM e WHERE distance < 1.5::DOUBLE)")
+def unique_chains(spark, sf):
+    """Customers' orders as chains of points, without those within 1.5 of an earlier customer's."""
+    w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+    c = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("chain"), (F.row_number().over(w) - 1).alias("pos"), (F.col("o_totalprice") / 40000.0).alias("x"), (F.col("o_orderkey") % 4).cast("double").alias("y"), (F.floor(F.col("o_custkey") / 20) * 10.0).alias("z"))
+    return N.unique_chains(c, 1.5, ["x", "y", "z"])
 
 
 @query(_knn_sql(3, f"SELECT {sq('avg(distance)', 5)} AS mean_spacing, {sq('max(distance)', 5)} AS max_spacing FROM k"))

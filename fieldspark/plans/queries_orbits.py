@@ -221,16 +221,50 @@ def critical_points(spark, sf):
     return df.select("i", "j", "half", rd("x").alias("x"), rd("y").alias("y"), F.when(F.col("kind") == "saddle", "saddle").otherwise("other").alias("kind"))
 
 
-@query()
-def similar_critical_points(spark, sf):
-    """Critical points of one kind no farther apart than 1.5 cells, by component."""
-    from ..operators.neighbors import radius_join
-    from ..operators.components import connected_components
+#: A field that turns from node to node on tables of any size; odd integers, so no node is a zero.
+_TURNING = """u AS (
+    SELECT CAST(l_quantity AS BIGINT) - 1 AS i, CAST(round(l_discount*100) AS BIGINT) AS j,
+      CAST(2*sum(CAST(round(l_tax*100) AS BIGINT) - 4) + 1 AS DOUBLE) AS u, CAST(2*sum(l_partkey % 101 - 50) + 1 AS DOUBLE) AS w
+    FROM lineitem GROUP BY 1, 2)"""
+
+_JACOBIAN = """t AS (
+    SELECT i, j, 0 AS half, u00 AS u0, w00 AS w0, u10-u00 AS a, u01-u00 AS b, w10-w00 AS c, w01-w00 AS d, 1 AS s FROM c
+    UNION ALL SELECT i, j, 1, u11, w11, u01-u11, u10-u11, w01-w11, w10-w11, -1 FROM c),
+  h AS (SELECT *, (-u0*d + w0*b)/(a*d-b*c) AS p, (-a*w0 + c*u0)/(a*d-b*c) AS q FROM t WHERE a*d-b*c <> 0),
+  z AS (
+    SELECT (i*11 + j)*2 + half AS id, CASE WHEN half = 0 THEN i + p ELSE i + 1 - p END AS x, CASE WHEN half = 0 THEN j + q ELSE j + 1 - q END AS y,
+      s*a AS xx, s*b AS xy, s*c AS yx, s*d AS yy, s*(a+d) AS tr, a*d-b*c AS det
+    FROM h WHERE p >= 0 AND q >= 0 AND p + q <= 1),
+  k AS (
+    SELECT *, CASE WHEN det < 0 THEN 'saddle' WHEN abs(tr) < 1e-12 THEN 'centre' WHEN tr*tr < 4*det THEN CASE WHEN tr > 0 THEN 'spiral source' ELSE 'spiral sink' END
+      WHEN tr > 0 THEN 'source' ELSE 'sink' END AS kind, tr/2 + sqrt(greatest(0, tr*tr/4 - det)) AS l0, tr/2 - sqrt(greatest(0, tr*tr/4 - det)) AS l1 FROM z)"""
+
+
+def _direction(value: str) -> str:
+    """The eigenvector of one eigenvalue, from the row of the matrix that gives the longer one."""
+    n0, n1 = f"sqrt(xy*xy + ({value}-xx)*({value}-xx))", f"sqrt(({value}-yy)*({value}-yy) + yx*yx)"
+    return f"CASE WHEN {n0} >= {n1} THEN [xy/{n0}, ({value}-xx)/{n0}] ELSE [({value}-yy)/{n1}, yx/{n1}] END"
+
+
+_SIMILAR = f"""+{_TURNING}, {_CELL}, {_JACOBIAN},
+  e AS (SELECT *, CASE WHEN det < 0 THEN {_direction('l0')} END AS e0, CASE WHEN det < 0 THEN {_direction('l1')} END AS e1 FROM k),
+  n AS (
+    SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id AND (a.det < 0) = (b.det < 0) AND sqrt((a.x-b.x)^2 + (a.y-b.y)^2) <= 1.5
+    WHERE a.det >= 0 OR (abs(a.e0[1]*b.e0[1] + a.e0[2]*b.e0[2]) >= 0.95 AND abs(a.e1[1]*b.e1[1] + a.e1[2]*b.e1[2]) >= 0.95)),
+  r AS (SELECT id, id AS c FROM e UNION SELECT n.b, r.c FROM r JOIN n ON n.a = r.id AND r.c < n.b)
+SELECT e.id::BIGINT AS id, kind, min(c)::BIGINT AS kept FROM e JOIN r ON r.id = e.id GROUP BY 1, 2
+"""
+
 
-    z = R.critical_points(_vectors(spark, sf)).withColumn("id", (F.col("i") * 11 + F.col("j")) * 2 + F.col("half"))
-    pairs = radius_join(z, z, 1.5, ["x", "y"], keys=("kind",), self_join=True)
-    cc = connected_components(pairs, "a_id", "b_id")
-    return z.select("id", "kind").join(cc, "id", "left").select("id", "kind", F.coalesce("component", "id").alias("kept"))
+@query(with_views(_SIMILAR, "grid2d", recursive=True))
+def similar_critical_points(spark, sf):
+    """Critical points no farther apart than 1.5 cells that are alike: no saddles, or saddles along the same axes."""
+    hundred = lambda c: F.round(F.col(c) * 100).cast("long")
+    cell = [(F.col("l_quantity") - 1).cast("long").alias("i"), hundred("l_discount").alias("j")]
+    odd = lambda c: (2 * F.sum(c) + 1).cast("double")
+    v = A.table(spark, sf, "lineitem").groupBy(*cell).agg(odd(hundred("l_tax") - 4).alias("u"), odd(F.col("l_partkey") % 101 - 50).alias("w"))
+    z = R.critical_points(v).withColumn("id", (F.col("i") * 11 + F.col("j")) * 2 + F.col("half"))
+    return R.similar_critical_points(z, 1.5)
 
 
 @query(with_views("SELECT a.i, a.j, least(a.v, b.v, c.v, d.v) AS low, greatest(a.v, b.v, c.v, d.v) AS high FROM grid2d a JOIN grid2d b ON b.i=a.i+1 AND b.j=a.j JOIN grid2d c ON c.i=a.i AND c.j=a.j+1 JOIN grid2d d ON d.i=a.i+1 AND d.j=a.j+1 WHERE least(a.v, b.v, c.v, d.v) <= 40000 AND greatest(a.v, b.v, c.v, d.v) >= 40000", "grid2d"))
@@ -261,10 +295,42 @@ def rectilinear_grid(spark, sf):
     return R.rectilinear_grid(spark, [[0.5 * i for i in range(10)], [2.0 * i for i in range(40)], [1.0 * i for i in range(n)]], data)
 
 
-@query("SELECT CAST(l_quantity AS BIGINT) AS i, round(l_tax*100) AS t, count(*) AS n FROM lineitem WHERE round(l_tax*100) < 3 GROUP BY 1, 2")
+@query("SELECT CAST(l_quantity AS BIGINT) AS i, round(l_tax*100) AS t, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def stack_time(spark, sf):
+    """Counts of each of lineitem's tax steps as a slice of its own, stacked."""
     l = A.table(spark, sf, "lineitem").select(F.col("l_quantity").cast("long").alias("i"), F.round(F.col("l_tax") * 100).alias("k"))
-    return R.stack_time([(t, l.filter(F.col("k") == t).groupBy("i").agg(F.count(F.lit(1)).alias("n"))) for t in (0, 1, 2)])
+    steps = sorted(r["k"] for r in l.select("k").distinct().collect())
+    return R.stack_time([(t, l.filter(F.col("k") == t).groupBy("i").agg(F.count(F.lit(1)).alias("n"))) for t in steps])
+
+
+_UPSAMPLE = f"""+a AS (
+    SELECT 2*g.i + k AS i, g.j, CASE WHEN k = 0 THEN g.v ELSE g.v + (h.v - g.v)*k/2.0::DOUBLE END AS v
+    FROM grid2d g LEFT JOIN grid2d h ON h.i = g.i + 1 AND h.j = g.j, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR h.v IS NOT NULL),
+  b AS (
+    SELECT g.i, 3*g.j + k AS j, CASE WHEN k = 0 THEN g.v ELSE g.v + (h.v - g.v)*k/3.0::DOUBLE END AS v
+    FROM a g LEFT JOIN a h ON h.j = g.j + 1 AND h.i = g.i, (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR h.v IS NOT NULL)
+SELECT i, j, {sq('v', 3)} AS v FROM b
+"""
+
+
+@query(with_views(_UPSAMPLE, "grid2d"))
+def upsample(spark, sf):
+    return R.upsample(A.grid2d(spark, sf), {"i": 2, "j": 3}).withColumn("v", rd("v", 3))
+
+
+_AROUND = """+d AS (SELECT x.a AS di, y.a AS dj, z.a AS dk FROM (SELECT unnest([-1, 0, 1]) AS a) x, (SELECT unnest([-1, 0, 1]) AS a) y, (SELECT unnest([-1, 0, 1]) AS a) z WHERE x.a <> 0 OR y.a <> 0 OR z.a <> 0),
+  e AS (SELECT g.i, g.j, g.k, abs(di) + abs(dj) + abs(dk) AS far FROM grid3d g, d JOIN grid3d h ON h.i = g.i + di AND h.j = g.j + dj AND h.k = g.k + dk)
+SELECT i, j, k, sum(CASE WHEN far = 1 THEN 1 ELSE 0 END)::BIGINT AS faces, count(*) AS around FROM e GROUP BY 1, 2, 3
+"""
+
+
+@query(with_views(_AROUND, "grid3d"))
+def grid_connectivity(spark, sf):
+    """The numbers of a node's neighbours along the axes and all around it, of those that exist."""
+    g, axes = A.grid3d(spark, sf).select("i", "j", "k"), ["i", "j", "k"]
+    faces = R.grid_edges(g, axes).groupBy(*axes).agg(F.count(F.lit(1)).alias("faces"))
+    around = R.grid_edges(g, axes, corners=True).groupBy(*axes).agg(F.count(F.lit(1)).alias("around"))
+    return around.join(faces, axes, "left").select(*axes, F.coalesce("faces", F.lit(0)).alias("faces"), "around")
 
 
 _EDGES = "e AS (SELECT least(v0,v1) AS a, greatest(v0,v1) AS b FROM triangles UNION ALL SELECT least(v1,v2), greatest(v1,v2) FROM triangles UNION ALL SELECT least(v2,v0), greatest(v2,v0) FROM triangles)"

@@ -339,3 +339,104 @@ def test_dump_steps_are_bounded(spark):
     e = spark.range(25_000).select(F.col("id").alias("event_id"), F.lit(0.5).alias("value"), F.lit(7).cast("long").alias("step"))
     n = [r["value"].split("ITEM: ATOMS id value\n")[1].count("\n") + 1 for r in queries_fit._dump_steps(e).collect()]
     assert sorted(n) == [5_000, 10_000, 10_000]
+
+
+def test_eigenvectors_of_2x2(spark):
+    rng = random.Random(4)
+    rows = [tuple(rng.uniform(-3, 3) for _ in range(4)) for _ in range(50)] + [(1.0, 0.0, 0.0, 2.0), (2.0, 0.0, 0.0, 1.0), (1.0, 5.0, 0.0, -1.0), (0.0, 1.0, -1.0, 0.0), (2.0, 0.0, 0.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").coalesce(1)
+    for m, got in zip(rows, df.select(*tensor.eigenvectors2("a", "b", "c", "d")).collect()):
+        m, (x0, y0, x1, y1) = np.array(m).reshape(2, 2), got
+        values, vectors = np.linalg.eig(m)
+        if np.iscomplex(values).any() or np.allclose(m, m[0, 0] * np.eye(2)):
+            assert x0 is None and y1 is None
+            continue
+        order = np.argsort(-values.real)
+        for v, k in zip(((x0, y0), (x1, y1)), order):
+            assert abs(v @ vectors[:, k]) == pytest.approx(1.0)
+
+
+def test_similar_saddles_share_their_axes(spark):
+    """Two near saddles of equal axes are one, a third is turned; a source meets a sink, but no saddle."""
+    z = [(1, 0.0, 0.0, "saddle", 1.0, 0.0, 0.0, -1.0), (2, 0.5, 0.0, "saddle", 2.0, 0.1, 0.0, -3.0), (3, 0.5, 0.5, "saddle", 0.0, 1.0, 1.0, 0.0), (4, 0.2, 0.2, "source", 1.0, 0.0, 0.0, 1.0), (5, 0.2, 0.4, "spiral sink", -1.0, 2.0, -2.0, -1.0), (6, 9.0, 0.0, "saddle", 1.0, 0.0, 0.0, -1.0)]
+    got = grid.similar_critical_points(spark.createDataFrame(z, "id long, x double, y double, kind string, jxx double, jxy double, jyx double, jyy double"), 1.0)
+    assert {r["id"]: r["kept"] for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+def test_stretching_of_linear_flows(spark):
+    """The map x -> A x + b has the stretching ln of A's largest squared singular value, in two and three dimensions; particles in a plane have none."""
+    rng = random.Random(6)
+    for axes, a in ((["x", "y"], [[2.0, 0.3], [-0.1, 0.5]]), (["x", "y", "z"], [[1.5, 0.2, 0.0], [0.0, 0.7, -0.4], [0.3, 0.0, 2.5]])):
+        d, back = len(axes), np.linalg.inv(np.array(a)) * 0.5
+        places = [[rng.uniform(0, 3) for _ in axes] for _ in range(80)]
+        rows = [(i, *p, *map(float, np.array(a) @ p + 1.0), *map(float, back @ p - 2.0)) for i, p in enumerate(places)]
+        schema = "pid long, " + ", ".join(f"{c}{k} double" for k in ("", "_after", "_before") for c in axes)
+        flow = spark.createDataFrame(rows, schema)
+        want = [max(0.0, 2 * math.log(np.linalg.svd(np.array(m), compute_uv=False)[0])) for m in (a, back)]
+        for r in fit.ftle_particles(flow, 4.0, axes).collect():
+            assert [r["ftle_after"], r["ftle_before"]] == pytest.approx(want, abs=1e-6)
+        v = fit.ftle_volume(flow, [(1.0, 2.0)] * d, [3] * d, 4.0, (1.5, 1.5), 0.6, axes).collect()
+        assert len(v) == 5 * 3 ** (d - 2) and all(r["signed"] == pytest.approx(want[0] if want[0] > want[1] else -want[1], abs=1e-6) for r in v)
+        flat = flow.filter("pid < 9").withColumn(axes[-1], F.lit(1.0))
+        assert all(r["ftle_after"] is None for r in fit.ftle_particles(flat, 4.0, axes).collect())
+        assert all(r["ftle_after"] is None for r in fit.ftle_particles(flow.filter("pid < 3"), 9.0, axes).collect())
+
+
+def test_chains_are_turned_and_filtered(spark):
+    rng = random.Random(7)
+    chains = {i: [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(rng.randint(3, 7))] for i in range(12)}
+    for i in range(12, 30):  # turned and shaken copies, chained
+        base = chains[rng.randrange(i)]
+        k = rng.randrange(len(base))
+        chains[i] = [(x + rng.uniform(-0.4, 0.4), y + rng.uniform(-0.4, 0.4)) for x, y in base[k:] + base[:k]]
+
+    def apart(a, b):
+        s = min(range(len(b)), key=lambda k: (math.dist(a[0], b[k]), k))
+        return sum(math.dist(p, b[(i + s) % len(b)]) for i, p in enumerate(a)) / len(a)
+
+    df = spark.createDataFrame([(c, i, *p) for c, ps in chains.items() for i, p in enumerate(ps)], "chain long, pos long, x double, y double")
+    want = {j for j in chains if not any(apart(chains[i], chains[j]) < 0.5 for i in range(j))}
+    assert 12 <= len(want) < 25 and {r["chain"] for r in neighbors.unique_chains(df, 0.5, ["x", "y"]).collect()} == want
+    pairs = spark.createDataFrame([(0, 1), (3, 20)], "chain_a long, chain_b long")
+    assert {(r["chain_a"], round(r["distance"], 9)) for r in neighbors.chain_distance(df, pairs, ["x", "y"]).collect()} == {(a, round(apart(chains[a], chains[b]), 9)) for a, b in ((0, 1), (3, 20))}
+
+
+def test_upsampling_is_linear(spark):
+    """A field that is linear in each axis comes back at all new nodes; a missing node leaves a hole."""
+    f = lambda i, j, k: 1 + 2 * i - j + 0.5 * k + i * j * k
+    nodes = [(i, j, k, float(f(i, j, k))) for i in range(3) for j in range(4) for k in range(2)]
+    got = {(r["i"], r["j"], r["k"]): r["v"] for r in grid.upsample(spark.createDataFrame(nodes, "i long, j long, k long, v double"), {"i": 2, "j": 3, "k": 4}).collect()}
+    assert set(got) == {(i, j, k) for i in range(5) for j in range(10) for k in range(5)}
+    assert all(v == pytest.approx(f(i / 2, j / 3, k / 4)) for (i, j, k), v in got.items())
+    line = spark.createDataFrame([(0, 1.0), (1, 3.0), (3, 5.0)], "i long, v double")
+    assert sorted(tuple(r) for r in grid.upsample(line, {"i": 2}).collect()) == [(0, 1.0), (1, 2.0), (2, 3.0), (6, 5.0)]
+
+
+@pytest.mark.parametrize("periods", [None, [2 * math.pi, None], [4.0, 3.0]])
+def test_closest_pair_is_brute_force(spark, periods):
+    rng = random.Random(8)
+    rows = [(p, i, rng.uniform(-6, 6), rng.uniform(0, 3) if p else 1.0) for p in range(4) for i in range(rng.randint(2, 40))] + [(9, 0, 1.0, 1.0)]
+    rows += [(5, i, float(i % 3), 0.5) for i in range(8)]
+
+    def d(a, b):
+        out = 0.0
+        for u, v, p in zip(a, b, periods or [None, None]):
+            x = abs(u - v) if p is None else min(abs(u - v) % p, p - abs(u - v) % p)
+            out += x * x
+        return math.sqrt(out)
+
+    want = {}
+    for pid in {r[0] for r in rows} - {9}:
+        own = [r for r in rows if r[0] == pid]
+        want[pid] = min((round(d(a[2:], b[2:]), 9), a[1], b[1]) for a, b in itertools.combinations(own, 2))
+    got = orbits.period_from_closest_pair(spark.createDataFrame(rows, "pid long, step long, x double, y double"), 1.0, periods=periods).collect()
+    assert {r["pid"]: (round(r["distance"], 9), r["i"], r["j"]) for r in got} == want
+
+
+def test_closest_pair_of_a_long_orbit(spark):
+    """100,000 steps: a pair that was put in is found; there are 5,000,000,000 pairs of steps."""
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("pid"), F.col("id").alias("step"), ((F.col("id") % 1000) + 0.3 * F.rand(1)).alias("x"), (F.floor(F.col("id") / 1000) + 0.3 * F.rand(2)).alias("y"))
+    df = df.filter("step <> 77777").unionByName(df.filter("step = 1234").select("pid", F.lit(77_777).cast("long").alias("step"), (F.col("x") + 1e-7).alias("x"), "y"))
+    got = orbits.period_from_closest_pair(df, 1.0).collect()
+    assert [(r["i"], r["j"]) for r in got] == [(1234, 77777)]
