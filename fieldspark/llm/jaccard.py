@@ -38,7 +38,7 @@ LEAST_COUNT, LEVELS, MOST_FREQUENT = 4, 1 << 23, 1 << 20
 #: An indexed token is rare if at most so many sets index it. Bits of the table of texts that occur in pairs.
 RARE, TABLE_BITS = 16, 1 << 24
 #: Bytes of text that are turned into sets at a time.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 _ODD, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
