@@ -23,7 +23,7 @@ from .common import materialise_by
 
 BLOCK_WORDS, BLOCK_TOKENS, CHUNK = 1 << 19, 1 << 23, 1 << 14
 #: Bytes of text that are split at a time.
-SLICE = 12 << 20
+SLICE = 6 << 20
 NUMBERED = "block long, doc_id long, flag boolean, ids binary, base int, words array<binary>, counts array<long>, part int, grams binary, gram_counts binary"
 ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("flag", pa.bool_()), ("ids", pa.binary()), ("base", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("part", pa.int32()), ("grams", pa.binary()), ("gram_counts", pa.binary())])
 

@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import SLICE, distinct, ranges, slices
+from .blocks import distinct, ranges, slices
 from .common import scratch_path
 
 END_ID = 1
-#: Words that are encoded together, as one text.
-TOGETHER = 500
+#: Words that are encoded together, as one text. Bytes of text that are split at a time.
+TOGETHER, AT_ONCE = 500, 12 << 20
 
 
 class Words:
@@ -113,7 +113,7 @@ def encode_texts(vocabulary: str, end_id: int = END_ID, special: str = "<|"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = Words(vocabulary)
-        for b in slices(batches, SLICE):
+        for b in slices(batches, AT_ONCE):
             flat, n = encode_slice(words, b.column("text"), special, end_id)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
