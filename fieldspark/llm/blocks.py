@@ -23,7 +23,7 @@ from .common import materialise_by
 
 BLOCK_WORDS, BLOCK_TOKENS, CHUNK = 1 << 19, 1 << 23, 1 << 14
 #: Bytes of text that are split at a time.
-SLICE = 6 << 20
+SLICE = 12 << 20
 NUMBERED = "block long, doc_id long, flag boolean, ids binary, base int, words array<binary>, counts array<long>, part int, grams binary, gram_counts binary"
 ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("flag", pa.bool_()), ("ids", pa.binary()), ("base", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("part", pa.int32()), ("grams", pa.binary()), ("gram_counts", pa.binary())])
 
@@ -65,7 +65,7 @@ def parts_of(spark) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]], name: str, gather: Callable) -> DataFrame:
+def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]], name: str, gather: Callable, most: int = SLICE) -> DataFrame:
     """`docs` (doc_id, flag, text) as a table of NUMBERED rows, in files by block.
 
     Rows with `ids` are documents: their word numbers, packed. Rows with `words` are parts of a block's dictionary: words
@@ -73,7 +73,7 @@ def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array]
     and gives the function from an array of texts (no nulls) to their word numbers, one after the other, and each text's
     number of words. `gather(numbers)` is called once a block, too, and gives an object that is told all texts, by
     add(texts, flags), and says at the block's end, by close(), which further rows (part, grams, gram_counts) the block
-    sends; it has `dictionary` if these rows stand in place of the block's dictionary.
+    sends; it has `dictionary` if these rows stand in place of the block's dictionary. `most`: bytes of text that are split at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array]
                 yield batch_of(ROWS, block=[part << 24 | k], **{c: [x] for c, x in zip(("part", "grams", "gram_counts"), row)})
 
         numbers, cut, counts, seen, more = opened()
-        for b in slices(batches):
+        for b in slices(batches, most):
             texts, flags = b.column("text"), b.column("flag").to_numpy(zero_copy_only=False).astype(bool)
             ids, n = cut(texts)
             more.add(texts, flags)

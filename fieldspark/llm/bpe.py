@@ -37,8 +37,8 @@ from .common import let
 BUCKETS, NEVER = 1 << 14, 2**31 - 1
 #: Longer words are cut into so many bytes, and so many cuts are joined at a time. Pieces on either side of a seam that are merged anew.
 CUT, SEAMS = 64, (6, 48)
-#: Ids that are decoded at a time.
-AT_ONCE = 1 << 16
+#: Ids that are decoded at a time. Bytes of text that are split at a time.
+AT_ONCE, SLICE = 1 << 16, 6 << 20
 #: Any white space before a space. Marks of which one after letters is a word of the pattern by itself.
 SPACES = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 MARKS = frozenset(string.punctuation)
@@ -177,7 +177,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     spark = docs.sparkSession
     parts = parts_of(spark)
     rows = docs.select(F.col(key).alias("doc_id"), F.lit(False).alias("flag"), F.col(text).alias("text"))
-    numbered = number_words(rows, pattern_words(pattern), "words", lambda numbers: BlockWords(numbers, parts))
+    numbered = number_words(rows, pattern_words(pattern), "words", lambda numbers: BlockWords(numbers, parts), SLICE)
     ranks = read_ranks(ranks_path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
