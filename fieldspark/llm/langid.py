@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,25 +31,22 @@ UNKNOWN = "und"
 def training_sample(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", most: int = SAMPLE_DOCS, seed: int = 7) -> list[tuple[str, list[bytes]]]:
     """(label, windows) of at most `most` documents for each label: SAMPLE_WINDOWS windows at most, from anywhere in the text.
 
-    Documents and windows are chosen by hashes of the id. The counts of labels (a few rows) set the share of each label's
-    hash range that is read; ranks are taken within it. Only the windows reach the driver.
+    Documents and windows are chosen by hashes of id and text, so copies of a row count once and null ids are no matter. The
+    counts of labels (a few rows) set the share of each label's hash range that is read, and ranks are taken within it, so
+    that `most` rows a label, and of these only the windows, reach the driver.
     """
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), (F.xxhash64(F.col(key), F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)).alias("u"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    rows = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), (F.xxhash64(F.col(key), F.col(text), F.lit(seed)) / F.lit(2.0**64) + F.lit(0.5)).alias("u"))
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("u").alias("n")).collect()}
     if not counts:
         return []
     limit = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, 2 * most / n + 20 / n))) for k, n in sorted(counts.items())])
     raw = F.encode("text", "UTF-8")
     places = F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda i: F.pmod(F.xxhash64("u", i), F.ceil(F.octet_length("text") / WINDOW)))
     windows = F.transform(F.array_distinct(places), lambda k: F.substring(raw, (k * WINDOW + 1).cast("int"), F.lit(WINDOW)))
-    few = rows.filter((F.col("u") < limit) & (F.octet_length("text") > 0)).select("label", "u", windows.alias("windows")).collect()  # about 2 * most rows a label
-    out, taken = [], dict.fromkeys(counts, 0)
-    for r in sorted(few, key=lambda r: (r["label"], r["u"], r["windows"])):
-        if taken[r["label"]] < most:
-            taken[r["label"]] += 1
-            out.append((r["label"], [bytes(w) for w in r["windows"]]))
-    return out
+    few = rows.filter((F.col("u") < limit) & (F.octet_length("text") > 0)).groupBy("label", "u").agg(F.min(windows).alias("windows"))
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("u"))).filter(F.col("r") <= most)
+    return [(r["label"], [bytes(w) for w in r["windows"]]) for r in sorted(few.collect(), key=lambda r: (r["label"], r["u"]))]
 
 
 def _windows(text: bytes) -> np.ndarray:

@@ -184,6 +184,14 @@ def test_gradients_are_numeric():
         assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-9)
 
 
+def test_sample_of_copies_and_null_ids(spark):
+    """A table whose ids are all null, with one text in most rows: the sample holds different texts, and no more than asked for."""
+    rows = [(None, "the same text again " * 9, "en", "a")] * 900 + [(None, f"a text of its own {i} " * 9, k, "a") for i in range(400) for k in ("en", "de")] + [(7, "ein Text " * 30, "de", "a")] * 600
+    sample = langid.training_sample(frame(spark, rows), most=50)
+    assert {k: sum(1 for x, _ in sample if x == k) for k in ("de", "en")} == {"de": 50, "en": 50}
+    assert sum(1 for _, w in sample if w[0].startswith((b"the same", b"again", b"text again"))) <= 1
+
+
 def test_prediction_is_the_plain_network():
     """predict() against one byte after the other in float64, windows apart."""
     rng, h, k = np.random.default_rng(1), 4, 3
