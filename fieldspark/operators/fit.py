@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import kernel
 from ..functions.tensor import sym_eig2, sym_eig3
+from ..plans.scratch import if_small, materialise
 from .neighbors import radius_join
 
 
@@ -184,17 +185,53 @@ def kernel_interpolate(queries: DataFrame, centers: DataFrame, cols: list[str],
 
 
 def rbf_fit(points: DataFrame, group: str, cols: list[str], value: str, support: float, id: str = "id", most: int = 3000, ridge: float = 1e-9) -> DataFrame:
-    """(group, id, weight): weights of Wendland kernels that reproduce the values at a group's points; groups of at most `most` points."""
+    """(group, id, weight): weights of Wendland kernels that reproduce the values at a group's points.
+
+    Groups of at most `most` points are solved densely, one a task; larger ones by conjugate gradients (see
+    rbf_fit_sparse()), whose work follows the pairs of points within the support.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} points; at most {most}")
         x = pdf[list(cols)].to_numpy(float)
         r = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) / support
         a = np.where(r < 1, (1 - np.minimum(r, 1)) ** 4 * (4 * r + 1), 0.0) + ridge * np.eye(len(x))
         return pd.DataFrame({group: pdf[group], id: pdf[id], "weight": np.linalg.solve(a, pdf[value].to_numpy(float))})
 
-    return points.select(group, id, *cols, value).groupBy(group).applyInPandas(solve, f"{group} long, {id} long, weight double")
+    points = points.select(group, id, *cols, value)
+    large = if_small(materialise(points.groupBy(group).count().filter(F.col("count") > most).select(group), "large-groups"))
+    dense = points.join(large, group, "left_anti").groupBy(group).applyInPandas(solve, f"{group} long, {id} long, weight double")
+    if large.isEmpty():
+        return dense
+    return dense.unionByName(rbf_fit_sparse(points.join(large, group, "left_semi"), group, cols, value, support, id, ridge))
+
+
+def rbf_fit_sparse(points: DataFrame, group: str, cols: list[str], value: str, support: float, id: str = "id", ridge: float = 1e-9, tolerance: float = 1e-7, max_rounds: int = 1000) -> DataFrame:
+    """rbf_fit() by conjugate gradients, all groups at once: the matrix is a table of near pairs, its products are joins and sums.
+
+    A group is done when its residual's norm is below `tolerance` times that of its values. Each round is written; a
+    RuntimeError is raised if max_rounds don't suffice.
+    """
+    points = materialise(points.select(group, id, *cols, F.col(value).cast("double").alias("v")), "rbf-points")
+    near = radius_join(points, points, support, list(cols), id, keys=(group,))
+    k = kernel("wendland", "distance", support) + F.when(F.col("a_id") == F.col("b_id"), F.lit(ridge)).otherwise(F.lit(0.0))
+    matrix = materialise(near.select(group, "a_id", F.col("b_id").alias(id), k.alias("k")).filter("k > 0"), "rbf-matrix")
+    state = materialise(points.select(group, id, F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("p")), "rbf-state")
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    goal = if_small(materialise(state.groupBy(group).agg((square("r") * F.lit(tolerance**2)).alias("goal")), "rbf-goals"))
+    for _ in range(max_rounds):
+        product = matrix.join(state.select(group, id, "p"), [group, id]).groupBy(group, F.col("a_id").alias(id)).agg(F.sum(F.col("k") * F.col("p")).alias("ap"))
+        now = materialise(state.join(product, [group, id]), "rbf-now")
+        step = now.groupBy(group).agg(square("r").alias("rr"), F.sum(F.col("p") * F.col("ap")).alias("pap"), F.sum(F.col("r") * F.col("ap")).alias("rap"), square("ap").alias("aap"))
+        step = step.join(goal, group).withColumn("a", F.when(F.col("rr") > F.col("goal"), F.col("rr") / F.col("pap")).otherwise(F.lit(0.0)))
+        # The next residual's square follows from this round's sums.
+        after = F.greatest(F.col("rr") - 2 * F.col("a") * F.col("rap") + F.col("a") * F.col("a") * F.col("aap"), F.lit(0.0))
+        step = materialise(step.select(group, "a", F.when(F.col("rr") > 0, after / F.col("rr")).otherwise(F.lit(0.0)).alias("b"), (F.col("rr") > F.col("goal")).alias("open")), "rbf-steps")
+        if step.filter("open").isEmpty():
+            return state.select(group, id, F.col("x").alias("weight"))
+        rest = F.col("r") - F.col("a") * F.col("ap")
+        state = now.join(if_small(step), group).select(group, id, (F.col("x") + F.col("a") * F.col("p")).alias("x"), rest.alias("r"), (rest + F.col("b") * F.col("p")).alias("p"))
+        state = materialise(state, "rbf-state")
+    raise RuntimeError(f"weights didn't settle within {max_rounds} rounds")
 
 
 def travel_time_field(pairs: DataFrame, nodes: DataFrame, support: float, min_dist: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,10 +66,11 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
     Edges in both directions. Only the distances that the last round lowered go on. `sources` are few landmarks at scale; all
     pairs need all as sources. A RuntimeError is raised if max_rounds don't suffice (a negative cycle never settles).
     """
+    edges = materialise(edges.select(F.col("src").alias("id"), "dst", "weight"), "edges")
     best = materialise(sources.select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist")), "paths")
     front = best
     for _ in range(max_rounds if max_hops is None else max_hops):
-        step = front.join(edges.select(F.col("src").alias("id"), "dst", "weight"), "id").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))
+        step = front.join(edges, "id").groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("weight")).alias("new"))
         both = best.join(step, ["source", "id"], "full_outer")
         lower = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.col("dist")))
         both = materialise(both.select("source", "id", F.when(lower, F.col("new")).otherwise(F.col("dist")).alias("dist"), lower.alias("changed")), "paths")
@@ -213,6 +216,43 @@ def landmark_mds(vectors: DataFrame, landmarks: int, k: int, id: str = "id", vec
     return vectors.select(id, place(vector).alias("coords"))
 
 
+def classical_mds(vectors: DataFrame, k: int, id: str = "id", vector: str = "v", most: int = 2048) -> DataFrame:
+    """(id, coords): classical scaling of the straight-line distances between all rows, without a matrix of rows.
+
+    Its coordinates are those along the principal axes: the eigenvectors of the rows' inner products are the centred rows
+    times those of their covariance. Tasks send sums of products, of dimensions (at most `most`), not of rows. The largest
+    entry of each axis is positive.
+    """
+    first = vectors.filter(F.col(vector).isNotNull()).select(vector).first()
+    if first is None:
+        return vectors.select(id, F.array().cast("array<double>").alias("coords")).limit(0)
+    base = np.array(first[0], float)  # sums are taken about it, not about 0
+    d = len(base)
+    if d > most:
+        raise ValueError(f"at most {most} dimensions")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((d + 1, d + 1))
+        for pdf in batches:
+            y = np.hstack([np.ones((len(pdf), 1)), np.stack(pdf[vector]).astype(float) - base]) if len(pdf) else np.zeros((0, d + 1))
+            out += y.T @ y
+        yield pd.DataFrame({"i": np.arange(d + 1), "row": list(out)})
+
+    rows = vectors.select(vector).mapInPandas(moments, "i int, row array<double>")
+    sums = np.zeros((d + 1, d + 1))
+    for i, j, s in rows.select("i", F.posexplode("row").alias("j", "s")).groupBy("i", "j").agg(F.sum("s")).collect():
+        sums[i, j] = s
+    mean = sums[0, 1:] / sums[0, 0]
+    axes = np.linalg.eigh(sums[1:, 1:] / sums[0, 0] - np.outer(mean, mean))[1][:, ::-1][:, :k]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+
+    @F.pandas_udf("array<double>")
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(v).astype(float) - base - mean) @ axes))
+
+    return vectors.filter(F.col(vector).isNotNull()).select(id, place(vector).alias("coords"))
+
+
 def isomap(vectors: DataFrame, k: int, landmarks: int, dims: int, id: str = "id", vector: str = "v") -> DataFrame:
     """(id, coords): landmark MDS of graph distances over the k-nearest graph. Errors if the graph isn't connected."""
     near = knn_join_vectors(vectors, vectors, k, id, vector)

@@ -11,16 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import periodic_displacement
-from ..plans.scratch import materialise
+from ..plans.scratch import if_small, materialise
 
 
-#: Rows of a side that a bin may have before it is split. Rows that may be broadcast. A cell has 2 ** LEVEL_BITS cells of the level below along an axis.
-CROWD, BROADCAST_ROWS, LEVEL_BITS = 20_000, 200_000, 2
-
-
-def _if_small(df: DataFrame) -> DataFrame:
-    """`df` (narrow, written), to be broadcast if its counted rows allow."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Rows of a side that a bin may have before it is split. A cell has 2 ** LEVEL_BITS cells of the level below along an axis.
+CROWD, LEVEL_BITS = 20_000, 2
 
 
 def _known(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -36,7 +31,7 @@ def _split_crowds(left: DataFrame, right: DataFrame, on: list[str], crowd: int)
     """
     pieces = lambda df, out: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(crowd)).cast("int").alias(out))
     many = materialise(pieces(left, "__na").join(pieces(right, "__nb"), on).filter("__na > 1 OR __nb > 1"), "crowded")
-    many = _if_small(many)
+    many = if_small(many)
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         of, to = F.coalesce(f"__n{own}", F.lit(1)), F.coalesce(f"__n{other}", F.lit(1))
@@ -203,7 +198,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, cols: list[str], id: str = "id"
     cells, names = _near_cells(todo, b, k + int(same), r, cols, id, keys)
     points = b.select(*keys, F.col(id).alias("b_id"), *[F.col(c).cast("double").alias(f"b_{c}") for c in cols], *[F.floor(F.col(c) / F.lit(r)).cast("long").alias(x) for x, c in zip(names, cols)])
     # Only points in cells that somebody needs go on; of a small list of cells without a shuffle.
-    points = points.join(_if_small(materialise(cells.select(*keys, *names).distinct(), "needed")), [*keys, *names], "left_semi")
+    points = points.join(if_small(materialise(cells.select(*keys, *names).distinct(), "needed")), [*keys, *names], "left_semi")
     pairs = cells.join(points, [*keys, *names]).withColumn("distance", _distance(cols, [None] * len(cols)))
     return near.join(done, [*keys, "a_id"], "left_semi").unionByName(ranked(pairs.select(*keys, "a_id", "b_id", "distance")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranks import global_rank
+from ..plans.scratch import if_small, materialise
 
 #: Bins of a count that finds where a sample ends.
 BINS = 4096
@@ -37,8 +38,8 @@ def profile_percents(step: float) -> list[float]:
 def values_at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
     """Values at 0-based sorted positions, found by histograms: exact, and without sorting the table.
 
-    Each round counts the values of 2 ** 12 equal bins of every wanted rank's interval and narrows the interval to the bin;
-    it ends when the interval holds one distinct value. Only bins with a wanted rank come to the driver.
+    Each round is one aggregation: it counts the values of 2 ** 12 equal bins of every wanted rank's interval, and narrows
+    each interval to the bin that holds the rank, until it holds one distinct value. Only counts of bins come to the driver.
     """
     v = F.col(column).cast("double")
     base = df.filter(F.col(column).isNotNull()).select(v.alias("v"))
@@ -46,17 +47,21 @@ def values_at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, f
     out: dict[int, float] = {}
     todo = {(lo, hi, 0): sorted(set(ranks))} if lo is not None else {}
     for _ in range(60):
+        for (a, b, _), wanted in todo.items():
+            if a == b:
+                out.update(dict.fromkeys(wanted, a))
+        todo = {k: w for k, w in sorted(todo.items()) if k[0] < k[1]}
         if not todo:
             return out
+        # Intervals are apart from each other, so a value is in the last one that starts at or below it, or in none.
+        lows, highs = (F.array(*[F.lit(k[e]) for k in todo]) for e in (0, 1))
+        at = base.select("v", (F.size(F.filter(lows, lambda a: a <= F.col("v"))) - 1).alias("i")).filter("i >= 0")
+        at = at.select("v", "i", F.get(lows, F.col("i")).alias("a"), F.get(highs, F.col("i")).alias("b")).filter("v <= b")
+        bin_ = F.least(F.lit(4095), F.floor((F.col("v") - F.col("a")) / ((F.col("b") - F.col("a")) / F.lit(4096)))).cast("int")
+        rows = at.groupBy("i", bin_.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("i", "k").collect()
         new: dict = {}
-        for (a, b, below), wanted in todo.items():
-            if a == b:
-                out.update(dict.fromkeys(wanted, a))
-                continue
-            width = (b - a) / 4096
-            bin_ = F.least(F.lit(4095), F.floor((F.col("v") - F.lit(a)) / F.lit(width))).cast("int")
-            rows = base.filter(F.col("v").between(a, b)).groupBy(bin_.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("k").collect()
-            for r in rows:
+        for i, ((_, _, below), wanted) in enumerate(todo.items()):
+            for r in (r for r in rows if r["i"] == i):
                 here = [w for w in wanted if below <= w < below + r["n"]]
                 if here:
                     new[r["a"], r["b"], below] = here
@@ -232,22 +237,25 @@ def adaptive_cells(points: DataFrame, bounds: tuple, value: str, least: int, tol
     """Leaves of a quadtree over (x, y): depth, cx, cy and the cell's statistics.
 
     A cell is split while it has over `least` points and its distinct values' relative span exceeds the tolerance or the
-    reference value lies within eps of its range. Each of the at most max_depth rounds aggregates only the split cells' points.
+    reference value lies within eps of its range. Points carry their cell of the finest level, of which a coarser one is the
+    prefix. Each round is written, and only the points of split cells go on to the next one.
     """
     x0, x1, y0, y1 = map(float, bounds)
-    rest = points.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)).select("x", "y", F.col(value).alias("v"))
+    n = 2**max_depth
+    at = lambda c, a, b: F.least(F.lit(n - 1), F.floor((F.col(c) - F.lit(a)) / F.lit((b - a) / n))).cast("long")
+    rest = points.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)).select(at("x", x0, x1).alias("__x"), at("y", y0, y1).alias("__y"), F.col(value).alias("v"))
     out = None
     for depth in range(max_depth + 1):
-        n = 2**depth
-        at = lambda c, a, b: F.least(F.lit(n - 1), F.floor((F.col(c) - F.lit(a)) / F.lit((b - a) / n))).cast("long")  # noqa: B023, E731
-        rest = rest.withColumns({"cx": at("x", x0, x1), "cy": at("y", y0, y1)})
-        s = cell_period_stats(rest, ["cx", "cy"], "v")
+        cells = rest.withColumns({c: F.shiftright(f"__{c[1]}", max_depth - depth) for c in ("cx", "cy")})
         split = (F.col("n") > least) & ((F.col("rel_span") > tolerance) | (F.lit(reference is not None) & F.lit(reference or 0.0).between(F.col("low") - eps, F.col("high") + eps)))
         split = F.coalesce(split, F.lit(False)) if depth < max_depth else F.lit(False)
-        leaves = s.filter(~split).withColumn("depth", F.lit(depth).cast("long"))
+        s = materialise(cell_period_stats(cells, ["cx", "cy"], "v").withColumn("__split", split), "cells")
+        leaves = s.filter("NOT __split").drop("__split").withColumn("depth", F.lit(depth).cast("long"))
         out = leaves if out is None else out.unionByName(leaves)
-        if depth < max_depth:
-            rest = rest.join(s.filter(split).select("cx", "cy"), ["cx", "cy"], "left_semi").select("x", "y", "v")
+        open_ = s.filter("__split").select("cx", "cy")
+        if open_.isEmpty():
+            return out
+        rest = materialise(cells.join(if_small(open_), ["cx", "cy"], "left_semi").select("__x", "__y", "v"), "points")
     return out
 
 

@@ -6,6 +6,10 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows (narrow ones) that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,6 +38,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """`df` (narrow and cheap to evaluate), to be broadcast if its counted rows allow."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def materialise_by(df: DataFrame, key: str, name: str) -> DataFrame:
     """materialise() as a table bucketed by `key`: a later grouping or join by the key reads it without a shuffle."""
     spark = df.sparkSession

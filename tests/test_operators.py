@@ -440,3 +440,82 @@ def test_closest_pair_of_a_long_orbit(spark):
     df = df.filter("step <> 77777").unionByName(df.filter("step = 1234").select("pid", F.lit(77_777).cast("long").alias("step"), (F.col("x") + 1e-7).alias("x"), "y"))
     got = orbits.period_from_closest_pair(df, 1.0).collect()
     assert [(r["i"], r["j"]) for r in got] == [(1234, 77777)]
+
+
+def test_dump_steps_larger_than_a_split(spark, tmp_path):
+    """Steps of many splits, headers at any place of a split, a truncated step, two files: the rows of a plain parse."""
+    rng = random.Random(9)
+    want, paths = set(), []
+    for f in range(2):
+        lines = []
+        for step in (5, 90 + f, 7, 1000):
+            n, short = rng.choice([0, 3, 150, 400]), step == 7
+            lines += ["ITEM: TIMESTEP", str(step), "ITEM: NUMBER OF ATOMS", str(n + short), "ITEM: BOX BOUNDS pp pp pp", f"0 {step}", "0 2", f"0 {f}", "ITEM: ATOMS id x f"]
+            for i in range(n):
+                x = round(rng.random(), 6)
+                lines.append(f" {i}  {x} {step + f}.5")
+                if not short:
+                    want.add((step, f"0 {step}\n0 2\n0 {f}", float(i), x, step + f + 0.5))
+        paths.append(tmp_path / f"dump{f}.txt")
+        paths[-1].write_text("\n".join(lines) + "\n")
+    assert len(want) > 300
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (64, 257, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            df = files.read_particle_dump(spark, [str(p) for p in paths])
+            got = [tuple(r) for r in df.collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_percentiles_take_a_job_a_round(spark):
+    rng = random.Random(10)
+    values = [rng.choice([1.5, 2.5]) if rng.random() < 0.4 else rng.gauss(0, 1) ** 9 for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered = sorted(values)
+    ranks = list(range(0, 3000, 37)) + [2999]
+    assert stats.values_at_ranks(df, "v", ranks) == {k: ordered[k] for k in ranks}
+    assert stats.values_at_ranks(df.filter("v > 1e300"), "v", [0]) == {}
+
+
+def test_sparse_weights_give_the_values_back(spark):
+    """A group above the dense solver's bound: conjugate gradients reproduce the values, and agree with the dense weights."""
+    rng = random.Random(13)
+    rows = [(g, i, (i % 12) + rng.uniform(-0.2, 0.2), i // 12 + rng.uniform(-0.2, 0.2), rng.uniform(-5, 5)) for g, n in ((1, 140), (2, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, id long, x double, y double, v double")
+    dense = {(r["g"], r["id"]): r["weight"] for r in fit.rbf_fit(df, "g", ["x", "y"], "v", 1.8).collect()}
+    got = {(r["g"], r["id"]): r["weight"] for r in fit.rbf_fit(df, "g", ["x", "y"], "v", 1.8, most=50).collect()}
+    assert set(got) == set(dense) and all(got[k] == pytest.approx(dense[k], abs=1e-4) for k in dense)
+    for g, i, x, y, v in rows[::17]:
+        r = [(math.hypot(x - b[2], y - b[3]) / 1.8, got[g, b[1]]) for b in rows if b[0] == g]
+        assert sum(w * (1 - d) ** 4 * (4 * d + 1) for d, w in r if d < 1) == pytest.approx(v, abs=1e-4)
+
+
+def test_scaling_of_all_rows_keeps_distances(spark):
+    """Points of a plane in 20 dimensions: two coordinates keep all distances; numpy's classical scaling gives the same."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(60, 2)) @ rng.normal(size=(2, 20)) + 1000.0
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>").repartition(3)
+    got = {r["id"]: np.array(r["coords"]) for r in graph.classical_mds(df, 2).collect()}
+    y = np.array([got[i] for i in range(60)])
+    far = lambda z: np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    assert np.allclose(far(x), far(y), atol=1e-6)
+    centred = x - x.mean(0)
+    values, vectors = np.linalg.eigh(centred @ centred.T)
+    for k in range(2):
+        want = vectors[:, -1 - k] * math.sqrt(values[-1 - k])
+        assert np.allclose(np.abs(y[:, k]), np.abs(want), atol=1e-6)
+    assert graph.classical_mds(df.limit(0), 2).count() == 0
+
+
+def test_adaptive_cells_are_written(spark):
+    """A deep tree's plan is no deeper than a shallow one's: each level is a written table."""
+    df = spark.range(400).select((F.rand(1) ** 8).alias("x"), (F.rand(2) ** 8).alias("y"), F.rand(3).alias("v"))
+    deep = stats.adaptive_cells(df, (0.0, 1.0, 0.0, 1.0), "v", 3, 0.1, 12)
+    assert deep.agg(F.sum("n")).first()[0] == 400 and deep.agg(F.max("depth")).first()[0] > 8
+    plan = deep._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
