@@ -246,7 +246,17 @@ def shortest_paths(spark, sf):
     return G.shortest_paths(e, src, 6).select("source", "id", rd("dist", 5).alias("dist"))
 
 
-@query()
+#: One row a source and vertex is kept; those that a round has lowered go on.
+_SETTLED = f"""+n AS ({_near(1.5)}),
+  p(source, id, dist) USING KEY (source, id) AS (
+    SELECT s AS source, s AS id, 0.0::DOUBLE AS dist FROM (SELECT unnest([0, 100, 200, 300, 400])::BIGINT AS s)
+    UNION SELECT p.source, n.b_id, min(p.dist + n.distance) FROM p JOIN n ON n.a_id = p.id LEFT JOIN recurring.p AS q ON q.source = p.source AND q.id = n.b_id
+    GROUP BY 1, 2 HAVING min(p.dist + n.distance) < coalesce(min(q.dist), 1e300))
+SELECT source, id, {sq('dist', 5)} AS dist FROM p
+"""
+
+
+@query(with_views(_SETTLED, "points2d", recursive=True))
 def settled_paths(spark, sf):
     """shortest_paths without its SQL's limit of six edges."""
     e = G.both_ways(G.radius_graph(A.points2d(spark, sf), 1.5, ["x", "y"]))
@@ -294,7 +304,13 @@ def isomap(spark, sf):
     return c.select("id", *[rd(F.abs(F.get("coords", F.lit(i))), 4).alias(f"c{i}") for i in range(2)])
 
 
-@query()
+#: Both ends of a piece of one point are at one place, where three ends meet, so it stays apart.
+_PIECES = """+p AS (SELECT pid, step // 5 AS k, count(*) AS n FROM trajectories GROUP BY 1, 2)
+SELECT pid*1000 + k AS curve, CASE WHEN n > 1 THEN pid*1000 ELSE pid*1000 + k END AS chain, CASE WHEN n > 1 THEN k ELSE 0 END AS place, false AS closed FROM p
+"""
+
+
+@query(with_views(_PIECES, "trajectories"))
 def chain_curves(spark, sf):
     """Five-step pieces of the trajectories, merged again where two ends meet."""
     t = A.trajectories(spark, sf)

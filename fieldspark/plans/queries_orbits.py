@@ -104,19 +104,43 @@ def visit_frequency(spark, sf):
     return O.visit_frequency(t, "tag", labels).withColumn("frequency", rd("frequency", 8))
 
 
-@query()
+#: Tangents t by the four nearest points of the orbit that aren't at the same place.
+_TANGENT = """t0 AS (
+    SELECT a.pid, a.step AS i, b.step AS j, sqrt((b.x-a.x)^2 + (b.y-a.y)^2) AS d, b.x-a.x AS dx, b.y-a.y AS dy
+    FROM trajectories a JOIN trajectories b ON a.pid = b.pid AND (a.x <> b.x OR a.y <> b.y)),
+  t1 AS (SELECT * FROM t0 QUALIFY row_number() OVER (PARTITION BY pid, i ORDER BY d, j) <= 4),
+  t2 AS (SELECT pid, i, sum(dx*dx/(d*d)) AS xx, sum(dx*dy/(d*d)) AS xy, sum(dy*dy/(d*d)) AS yy FROM t1 GROUP BY 1, 2),
+  t AS (
+    SELECT pid, i AS step, cos(atan2(xy, (xx-yy)/2)/2) AS tx, sin(atan2(xy, (xx-yy)/2)/2) AS ty, (xx+yy)/2 + sqrt(((xx-yy)/2)^2 + xy*xy) AS strength FROM t2)"""
+#: Mutual links l of nearest points on a side of the tangent.
+_LINKS = _TANGENT + """,
+  l0 AS (
+    SELECT a.pid, a.step AS i, b.step AS j, sqrt((b.x-a.x)^2 + (b.y-a.y)^2) AS d, (b.x-a.x)*tx + (b.y-a.y)*ty > 0 AS side
+    FROM trajectories a JOIN t ON t.pid = a.pid AND t.step = a.step JOIN trajectories b ON a.pid = b.pid AND a.step <> b.step),
+  l1 AS (SELECT DISTINCT pid, i, j FROM (SELECT * FROM l0 QUALIFY row_number() OVER (PARTITION BY pid, i, side ORDER BY d, j) = 1)),
+  l AS (SELECT a.pid, a.i, a.j FROM l1 a JOIN l1 b ON a.pid = b.pid AND a.i = b.j AND a.j = b.i WHERE a.i < a.j)"""
+
+
+@query(with_views(f"+{_TANGENT} SELECT pid, step, {sq('abs(tx)', 5)} AS tx, {sq('strength', 5)} AS strength FROM t", "trajectories"))
 def orbit_tangent(spark, sf):
     df = O.orbit_tangent(A.trajectories(spark, sf), 4)
     return df.select("pid", "step", rd(F.abs("tx"), 5).alias("tx"), rd("strength", 5).alias("strength"))
 
 
-@query()
+@query(with_views(f"+{_LINKS} SELECT pid, i, j FROM l", "trajectories"))
 def curve_links(spark, sf):
     t = A.trajectories(spark, sf)
     return O.curve_links(t, O.orbit_tangent(t, 4))
 
 
-@query()
+_CONNECTED = f"""+{_LINKS},
+  e AS (SELECT pid, i AS a, j AS b FROM l UNION ALL SELECT pid, j, i FROM l),
+  r AS (SELECT pid, step, step AS c FROM trajectories UNION SELECT r.pid, e.b, r.c FROM r JOIN e ON e.pid = r.pid AND e.a = r.step AND r.c < e.b)
+SELECT pid, step, min(c) AS chain FROM r GROUP BY 1, 2
+"""
+
+
+@query(with_views(_CONNECTED, "trajectories", recursive=True))
 def link_chains(spark, sf):
     t = A.trajectories(spark, sf)
     return O.link_chains(t, O.curve_links(t, O.orbit_tangent(t, 4)))
@@ -174,7 +198,17 @@ def ftle_grid(spark, sf):
     return R.ftle_grid(_flow(spark, sf), ["i", "j"], ["fx", "fy"], 3.0).select("i", "j", rd("ftle", 5).alias("ftle"))
 
 
-@query()
+_STRETCH = f"CASE WHEN {_HIGH} > 0 THEN ln({_HIGH})/2/3.0 ELSE 0 END"
+_BRANCHES = f"""+{_FLOW}, {_grad('fx', 'f', 'a')}, {_grad('fy', 'f', 'b')}, {_C},
+  h AS (SELECT i, j, {_STRETCH} AS f, abs(sin(atan2(xy, (xx-yy)/2)/2)) > abs(cos(atan2(xy, (xx-yy)/2)/2)) AS swap FROM c),
+  w AS (SELECT i, j, 2*i - fx AS fx, 2*j - fy AS fy FROM f), {_grad('fx', 'w', 'u')}, {_grad('fy', 'w', 'v')},
+  d AS (SELECT u.i, u.j, u.gi*u.gi + v.gi*v.gi AS xx, u.gi*u.gj + v.gi*v.gj AS xy, u.gj*u.gj + v.gj*v.gj AS yy FROM u JOIN v ON u.i = v.i AND u.j = v.j),
+  k AS (SELECT i, j, {_STRETCH} AS b FROM d)
+SELECT h.i, h.j, {sq('CASE WHEN swap THEN b ELSE f END', 5)} AS high, {sq('CASE WHEN swap THEN f ELSE b END', 5)} AS low FROM h JOIN k ON h.i = k.i AND h.j = k.j
+"""
+
+
+@query(with_views(_BRANCHES, "grid2d"))
 def eigen_ftle(spark, sf):
     f = _flow(spark, sf)
     back = f.withColumns({"fx": 2 * F.col("i") - F.col("fx"), "fy": 2 * F.col("j") - F.col("fy")})
@@ -359,7 +393,17 @@ def period_compatible_triangles(spark, sf):
     return R.period_compatible_triangles(q, 7, 0.01).select("tri")
 
 
-@query()
+_FIT_ERROR = f"""+{_VEC}, n AS (SELECT i*11 + j AS id, u AS vx, w AS vy FROM u),
+  r AS (
+    SELECT tri, x.x AS x0, x.y AS y0, y.x AS x1, y.y AS y1, z.x AS x2, z.y AS y2, a.vx AS u0, b.vx AS u1, c.vx AS u2, a.vy AS w0, b.vy AS w1, c.vy AS w2, CASE WHEN tri % 2 = 0 THEN 0.25 ELSE -0.25 END::DOUBLE AS o
+    FROM triangles JOIN vertices x ON x.id = v0 JOIN vertices y ON y.id = v1 JOIN vertices z ON z.id = v2 JOIN n a ON a.id = v0 JOIN n b ON b.id = v1 JOIN n c ON c.id = v2),
+  q AS (SELECT *, (o*(y2-y0) - (x2-x0)*o) / ((x1-x0)*(y2-y0) - (x2-x0)*(y1-y0)) AS p1, ((x1-x0)*o - o*(y1-y0)) / ((x1-x0)*(y2-y0) - (x2-x0)*(y1-y0)) AS p2, sqrt(u0*u0 + w0*w0) AS size FROM r)
+SELECT tri, {sq('CASE WHEN size > 0 THEN sqrt((u0*(1-p1-p2) + u1*p1 + u2*p2 - u0)^2 + (w0*(1-p1-p2) + w1*p1 + w2*p2 - w0)^2)/size END', 5)} AS error,
+  size < least(sqrt(u0*u0 + w0*w0), sqrt(u1*u1 + w1*w1), sqrt(u2*u2 + w2*w2)) AS smaller FROM q
+"""
+
+
+@query(with_views(_FIT_ERROR, "triangles", "vertices"))
 def linear_fit_error(spark, sf):
     v = A.vertices(spark, sf).join(_vectors(spark, sf).select((F.col("i") * 11 + F.col("j")).alias("id"), F.col("u").alias("vx"), F.col("w").alias("vy")), "id")
     t = A.triangles(spark, sf)
