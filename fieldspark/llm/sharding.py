@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranks import global_rank
 from .common import materialise, with_small
 
 BITS, SUB = 5, 64
@@ -66,10 +67,17 @@ def hilbert(*axes: Column, bits: int = BITS) -> Column:
 
 
 def _steps(df: DataFrame, column: str, bits: int) -> DataFrame:
-    """`df` with step_<column>: the rank of its value among the distinct values, scaled to 2^bits steps; null: 0."""
+    """`df` with step_<column>: the rank of its value among the distinct values, scaled to 2^bits steps; null: 0.
+
+    Values are ranked by ranges of their first seven bytes, then by all of them.
+    """
+    v = F.col(f"v_{column}")
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias(f"v_{column}")).distinct()
-    rank = (F.row_number().over(Window.orderBy(f"v_{column}")) - 1) / F.count(F.lit(1)).over(Window.partitionBy())
-    values = materialise(values.withColumn(f"step_{column}", F.floor(rank * (2**bits - 1)).cast("int") + 1), "steps")
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode(v, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    values = materialise(values.withColumn("head", head), "values")
+    rank = F.col("rank") / F.lit(max(1, values.count()))
+    values = global_rank(values, "head", [f"v_{column}"]).select(v, (F.floor(rank * (2**bits - 1)).cast("int") + 1).alias(f"step_{column}"))
+    values = materialise(values, "steps")
     df = with_small(df, values, df[column] == values[f"v_{column}"])
     return df.withColumn(f"step_{column}", F.coalesce(f"step_{column}", F.lit(0))).drop(f"v_{column}")
 
