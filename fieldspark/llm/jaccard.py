@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import columns_of, materialise, with_small
+from .common import columns_of, materialise, small_batches, with_small
 
 SHINGLE, PERCENT = 5, 80
 #: A token may be frequent from this count on. Tokens in the table of levels, and frequent tokens that it is made of, at most.
@@ -297,10 +297,12 @@ def _verify(docs: DataFrame, outlines: DataFrame, pairs: DataFrame) -> DataFrame
         return _whole(shared.value)(batches)
 
     sets = docs.select("text").mapInPandas(whole, "sid long, tokens binary")
-    sets = materialise(sets.join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
+    with small_batches(docs.sparkSession):
+        sets = materialise(sets.join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
-    return materialise(both.select("a", "b", "ta", "tb").mapInPandas(_linked, "a long, b long"), "links")
+    with small_batches(docs.sparkSession):
+        return materialise(both.select("a", "b", "ta", "tb").mapInPandas(_linked, "a long, b long"), "links")
 
 
 def indexed_entries(docs: DataFrame, outlines: DataFrame) -> DataFrame:
@@ -314,7 +316,8 @@ def indexed_entries(docs: DataFrame, outlines: DataFrame) -> DataFrame:
         return _indexed(shared.value)(batches)
 
     sets = docs.select("text").mapInPandas(indexed, "sid long, n long, tokens array<long>")
-    sets = materialise(sets.groupBy("sid").agg(F.first(F.struct("n", "tokens")).alias("x")).select("sid", "x.n", "x.tokens"), "indexed")
+    with small_batches(docs.sparkSession):
+        sets = materialise(sets.groupBy("sid").agg(F.first(F.struct("n", "tokens")).alias("x")).select("sid", "x.n", "x.tokens"), "indexed")
     entries = sets.select("sid", "n", F.explode("tokens").alias("token"))
     sharing = materialise(entries.groupBy("token").agg(F.count(F.lit(1)).alias("sharing")).filter("sharing > 1"), "sharing")
     entries = materialise(entries.join(sharing, "token").select("token", "sid", "n", (F.col("sharing") <= RARE).alias("rare")), "shared")
@@ -371,7 +374,9 @@ def open_pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, sid, n) of every row of `docs` (doc_id, text), h a hash of its text, and links (a, b) that connect all similar sets."""
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialise(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(_outlines(parts), OUTLINE), "outlines")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(_outlines(parts), OUTLINE)
+    with small_batches(docs.sparkSession, 4000):
+        rows = materialise(rows, "outlines")
     outlines = rows.filter(F.col("blob").isNull())
     entries = indexed_entries(docs, rows)
     links = _verify(docs, outlines, leader_pairs(entries))
