@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise_by
+from .common import materialise_by, small_batches
 
 BLOCK_WORDS, BLOCK_TOKENS, CHUNK = 1 << 19, 1 << 23, 1 << 14
-#: Bytes of text that are split at a time.
-SLICE = 12 << 20
+#: Bytes of text that are split at a time. Rows of results that leave Python at a time, so that the JVM holds few of them outside its heap.
+SLICE, RESULTS = 12 << 20, 512
 NUMBERED = "block long, doc_id long, flag boolean, ids binary, base int, words array<binary>, counts array<long>, part int, grams binary, gram_counts binary"
 ROWS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("flag", pa.bool_()), ("ids", pa.binary()), ("base", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("part", pa.int32()), ("grams", pa.binary()), ("gram_counts", pa.binary())])
 
@@ -65,7 +65,7 @@ def parts_of(spark) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]], name: str, gather: Callable, most: int = SLICE) -> DataFrame:
+def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]], name: str, gather: Callable, most: int = SLICE, batch: int = 10_000) -> DataFrame:
     """`docs` (doc_id, flag, text) as a table of NUMBERED rows, in files by block.
 
     Rows with `ids` are documents: their word numbers, packed. Rows with `words` are parts of a block's dictionary: words
@@ -73,7 +73,8 @@ def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array]
     and gives the function from an array of texts (no nulls) to their word numbers, one after the other, and each text's
     number of words. `gather(numbers)` is called once a block, too, and gives an object that is told all texts, by
     add(texts, flags), and says at the block's end, by close(), which further rows (part, grams, gram_counts) the block
-    sends; it has `dictionary` if these rows stand in place of the block's dictionary. `most`: bytes of text that are split at a time.
+    sends; it has `dictionary` if these rows stand in place of the block's dictionary. `most`: bytes of text that are split
+    at a time, `batch`: rows that go to Python at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,8 @@ def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array]
         yield from closed()
 
     rows = docs.select("doc_id", "flag", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, NUMBERED)
-    return materialise_by(rows, "block", name)
+    with small_batches(docs.sparkSession, batch):
+        return materialise_by(rows, "block", name)
 
 
 def dictionary(numbered: DataFrame) -> DataFrame:
@@ -148,7 +150,8 @@ def _meet(numbered: DataFrame, parts: DataFrame, use: Callable, schema: str) ->
         docs, parts = docs.to_pandas(), parts.to_pandas()
         mine = parts[parts["places"].notna()]
         places = np.concatenate([np.zeros(0, np.int32), *[unpack(x).astype(np.int32) for x in mine["places"]]])
-        return use(docs, places, mine["data"].to_list(), parts[parts["places"].isna()])
+        out = use(docs, places, mine["data"].to_list(), parts[parts["places"].isna()])
+        return pa.Table.from_batches(out.to_batches(max_chunksize=RESULTS), out.schema)
 
     # A null beside an id would make pandas hold both as floats.
     docs = numbered.filter(F.col("ids").isNotNull()).select("block", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "flag", "ids")

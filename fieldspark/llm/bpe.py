@@ -177,7 +177,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
     spark = docs.sparkSession
     parts = parts_of(spark)
     rows = docs.select(F.col(key).alias("doc_id"), F.lit(False).alias("flag"), F.col(text).alias("text"))
-    numbered = number_words(rows, pattern_words(pattern), "words", lambda numbers: BlockWords(numbers, parts), SLICE)
+    numbered = number_words(rows, pattern_words(pattern), "words", lambda numbers: BlockWords(numbers, parts), SLICE, 2000)
     ranks = read_ranks(ranks_path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
