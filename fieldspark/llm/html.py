@@ -36,8 +36,8 @@ from .common import materialise, with_small
 REFERENCES, LEAST_PAGES, SHARE = 3, 4, 0.75
 #: Pages with so many hundredths of their text in common, by blocks, are near copies. Depth of a page's frame. Kinds of groups.
 NEAR, FRAME, LEVELS = 80, 3, 3
-#: Steps that an exact matching of two pages may take.
-MOST_WORK = 200_000
+#: Steps that an exact matching of two pages may take; bits of the table by which two longer rows of children are matched.
+MOST_WORK, MOST_BITS = 200_000, 1 << 29
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -229,12 +229,37 @@ def slots(tree: list) -> list[list]:
     return out
 
 
+def common_row(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two rows, by bit-parallel steps: a row of len(a) bits for each member of b."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    now, rows = full, []
+    for y in b:
+        met = now & where.get(y, 0)
+        now = ((now + met) | (now - met)) & full
+        rows.append(now)  # a zero bit: the sequence grows at this place of a
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            continue
+        j -= 1
+        if not j or rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def match(a: list[tuple[int, str]], b: list[tuple[int, str]], most: int = MOST_WORK) -> list[int]:
     """Simple tree matching: for each node of shape `a` the matched node of shape `b`, or -1.
 
     Nodes match if their labels are equal and their parents match; children match in order, so that the matching is largest.
     Equal subtrees at either end of two rows of children match at once, which is always part of a largest matching. Where
-    the rest would take more than `most` steps, children are matched in order, each with the first like one that is left.
+    the rest would take more than `most` steps, each two rows of children are matched by a longest common row of equal
+    subtrees and, between these, of equal labels; rows of more than MOST_BITS pairs in order, each child with the first
+    like one that is left.
     """
 
     def children(s: list[tuple[int, str]]) -> list[list[int]]:
@@ -321,6 +346,14 @@ def match(a: list[tuple[int, str]], b: list[tuple[int, str]], most: int = MOST_W
                     m -= 1
                 else:
                     n -= 1
+        elif len(x) * len(y) <= MOST_BITS:
+            # Equal subtrees first, then equal labels between them.
+            i0 = j0 = 0
+            for m, n in [*common_row([na[c] for c in x], [nb[c] for c in y]), (len(x), len(y))]:
+                todo += [(x[i0 + k], y[j0 + l]) for k, l in common_row([a[c] for c in x[i0:m]], [b[c] for c in y[j0:n]])]
+                if m < len(x):
+                    todo.append((x[m], y[n]))
+                i0, j0 = m + 1, n + 1
         else:
             places: dict[tuple, list[int]] = {}
             for n, c in enumerate(y):
