@@ -274,6 +274,40 @@ def write_raster(spark, sf):
     return S.raster_rows(spark.read.parquet(path)).select((F.col("index") % 50).alias("i"), F.floor(F.col("index") / 50).alias("j"), F.col("value").alias("v"))
 
 
+@query(with_views("SELECT i, j, v FROM grid2d", "grid2d"))
+def read_raster(spark, sf):
+    """The grid written as raster files, one for each five columns, and read as cells."""
+    g = A.grid2d(spark, sf).withColumns({"raster": F.floor(F.col("j") / 5), "index": F.col("i") + 50 * (F.col("j") % 5), "value": F.col("v")})
+    S.write_raster(g, path := scratch_path(spark, "rasters"), [50, 5], [1.0, 1.0])
+    cells = S.raster_cells(spark.read.parquet(path).select(F.col("name").alias("path"), "content")).filter("value IS NOT NULL")
+    return cells.select("i", (F.col("j") + 5 * F.split_part("file", F.lit("."), F.lit(1)).cast("long")).alias("j"), F.col("value").alias("v"))
+
+
+@query("SELECT l_suppkey % 9 AS file, l_quantity AS lat, round(l_discount*100) AS lon, round(l_tax*100) AS t, count(*)::DOUBLE AS n, " + sq("sum(l_extendedprice)", 2) + " AS total FROM lineitem GROUP BY 1, 2, 3, 4")
+def read_gridded_variables(spark, sf):
+    """Counts and totals of lineitem on a grid of quantity, discount and tax, packed as netCDF files and read again."""
+    l = A.table(spark, sf, "lineitem").select((F.col("l_suppkey") % 9).alias("file"), F.col("l_quantity").alias("lat"), *[F.round(F.col(c) * 100).alias(n) for c, n in (("l_discount", "lon"), ("l_tax", "t"))], "l_extendedprice")
+    cells = l.groupBy("file", "lat", "lon", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        axes = {"time": sorted(set(pdf["t"])), "lat": sorted(set(pdf["lat"])), "lon": sorted(set(pdf["lon"]))}
+        full = pdf.set_index(["t", "lat", "lon"])[["n", "total"]].reindex(pd.MultiIndex.from_product(axes.values())).fillna(9e36)
+        return pd.DataFrame({"path": [str(pdf["file"].iloc[0])], "content": [S.pack_netcdf(axes, {c: full[c].to_numpy() for c in full})]})
+
+    files = cells.groupBy("file").applyInPandas(pack, "path string, content binary")
+    rows = S.gridded_rows(files, ["n", "total"]).filter("n IS NOT NULL")
+    return rows.select(F.col("file").cast("long").alias("file"), "lat", "lon", "t", "n", rd("total", 2).alias("total"))
+
+
+@query("SELECT i::DOUBLE AS tag, i AS place, (SELECT count(*) FROM events) AS lines FROM (SELECT unnest(range(7)) AS i)")
+def list_files_by_tag(spark, sf):
+    """Events written as seven text files, listed by the number in their names; `lines` counts what was written."""
+    events = A.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("value"))
+    events.repartition(7).write.text(path := scratch_path(spark, "tagged"))
+    lines = spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
+    return S.order_files_by_tag(spark, f"{path}/part-*", "part-", "-").select("tag", "place").crossJoin(lines)
+
+
 @query("SELECT DISTINCT page_id, tag, dense_rank() OVER (ORDER BY tag, url) - 1 AS place FROM (SELECT page_id, url, nullif(regexp_extract(url, '/([0-9]+)', 1), '')::DOUBLE AS tag FROM pages) WHERE tag IS NOT NULL")
 def order_files_by_tag(spark, sf):
     return S.order_by_tag(A.table(spark, sf, "pages"), "url", "/", "").select("page_id", "tag", "place").distinct()
