@@ -168,8 +168,11 @@ def chain_curves(ends: DataFrame, min_pieces: int = 1) -> DataFrame:
     return out.join(keep, "chain", "left_semi")
 
 
-def group_distances(vectors: DataFrame, group: str, id: str = "id", vector: str = "v") -> DataFrame:
-    """(group, a, b, d2): squared distances of all pairs within bounded groups."""
+def group_distances(vectors: DataFrame, group: str, id: str = "id", vector: str = "v", most: int = 5000) -> DataFrame:
+    """(group, a, b, d2): squared distances of all pairs within a group; a group of over `most` rows raises."""
+    largest = vectors.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group of {largest} rows; at most {most}")
     a = vectors.select(group, F.col(id).alias("a"), F.col(vector).alias("va"))
     b = vectors.select(group, F.col(id).alias("b"), F.col(vector).alias("vb"))
     d2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)

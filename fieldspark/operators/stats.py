@@ -123,20 +123,26 @@ def section_consistency(df: DataFrame, section: str, attributes: list[str]) -> D
     return df.groupBy(section).agg(F.count(F.lit(1)).alias("rows"), one.alias("consistent"))
 
 
+#: Rationals that may be sent to all cells.
+MOST_RATIONALS = 10_000
+
+
 def candidate_periods(cells: DataFrame, corners: list[str], best: list[str], rationals: DataFrame, most: int) -> DataFrame:
     """Per cell (column `cell`): the periods that could occur in it.
 
     They are the corners' own best periods, and the numerators of all listed rationals between those nearest to the smallest
-    and largest corner value; none if a corner value is 0 or NULL. `rationals` (num, den) is small and broadcast.
+    and largest corner value; none if a corner value is 0 or NULL. `rationals` (num, den) travels as one array to all cells;
+    over MOST_RATIONALS raise.
     """
+    if rationals.limit(MOST_RATIONALS + 1).count() > MOST_RATIONALS:
+        raise ValueError(f"at most {MOST_RATIONALS} rationals")
     low, high = F.least(*corners), F.greatest(*corners)
     ok = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) != 0, F.lit(False)) for c in corners])
-    q = F.broadcast(rationals.select("num", "den", (F.col("num") / F.col("den")).alias("q")))
-    listed = rationals.agg(F.sort_array(F.collect_list((F.col("num") / F.col("den")))).alias("qs"))  # bounded by the parameter
+    listed = rationals.agg(F.sort_array(F.collect_list(F.struct((F.col("num") / F.col("den")).alias("q"), F.col("num").cast("long").alias("num")))).alias("qs"))
     base = cells.filter(ok).select("cell", low.alias("lo"), high.alias("hi"), F.array(*best).alias("own")).crossJoin(F.broadcast(listed))
-    near = lambda v: F.array_min(F.transform("qs", lambda x: F.struct(F.abs(x - v).alias("e"), x.alias("x"))))["x"]
-    base = base.withColumns({"lo": near(F.col("lo")), "hi": near(F.col("hi"))}).drop("qs")
-    ranged = base.join(q, q["q"].between(F.col("lo"), F.col("hi"))).select("cell", F.col("num").cast("long").alias("period"))
+    near = lambda v: F.array_min(F.transform("qs", lambda x: F.struct(F.abs(x["q"] - v).alias("e"), x["q"].alias("x"))))["x"]
+    base = base.withColumns({"lo": near(F.col("lo")), "hi": near(F.col("hi"))})
+    ranged = base.select("cell", F.explode(F.filter("qs", lambda x: x["q"].between(F.col("lo"), F.col("hi")))).alias("x")).select("cell", F.col("x.num").alias("period"))
     own = base.select("cell", F.explode("own").alias("period")).filter(F.col("period").isNotNull())
     return ranged.unionByName(own.select("cell", F.col("period").cast("long"))).filter(F.col("period") <= most).distinct()
 
