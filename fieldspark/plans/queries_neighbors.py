@@ -356,13 +356,47 @@ def particle_stress(spark, sf):
     return df.select("id", rd("xx", 5).alias("xx"), rd("xy", 5).alias("xy"), rd(F.col("xx") + F.col("yy") + F.col("zz"), 5).alias("trace"))
 
 
-@query()
+def _cross(k: str, r: tuple, t: tuple) -> str:
+    x = [f"({r[1]}*{t[2]} - {r[2]}*{t[1]})", f"({r[2]}*{t[0]} - {r[0]}*{t[2]})", f"({r[0]}*{t[1]} - {r[1]}*{t[0]})"]
+    return ", ".join(f"{e} AS {k}{c}" for c, e in zip("xyz", x))
+
+
+#: Stress tensors, their eigenvalues l1 to l3 and unit eigenvector d of the first, and the chains m (id, chain) of at least three.
+_ROWS = (("(xx-l1)", "xy", "xz"), ("xy", "(yy-l1)", "yz"), ("xz", "yz", "(zz-l1)"))
+_FORCE = f"""+{_CON},
+  b AS (SELECT a_id AS id, f, dx/distance AS u, dy/distance AS v, dz/distance AS w FROM c UNION ALL SELECT b_id, f, dx/distance, dy/distance, dz/distance FROM c),
+  s0 AS (SELECT id, sum(f*u*u) AS xx, sum(f*u*v) AS xy, sum(f*u*w) AS xz, sum(f*v*v) AS yy, sum(f*v*w) AS yz, sum(f*w*w) AS zz FROM b GROUP BY 1),
+  s1 AS (SELECT *, (xx+yy+zz)/3 AS q FROM s0),
+  s2 AS (
+    SELECT *, sqrt(((xx-q)^2 + (yy-q)^2 + (zz-q)^2 + 2*(xy*xy + xz*xz + yz*yz))/6) AS p,
+      (xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz) AS det FROM s1),
+  s3 AS (SELECT *, acos(greatest(-1.0, least(1.0, CASE WHEN p > 0 THEN det/(2*p*p*p) ELSE 0 END)))/3 AS angle FROM s2),
+  s4 AS (SELECT *, q + 2*p*cos(angle) AS l1, q + 2*p*cos(angle + 2*pi()/3) AS l3 FROM s3),
+  s5 AS (SELECT *, 3*q - l1 - l3 AS l2, {_cross('ka', _ROWS[0], _ROWS[1])}, {_cross('kb', _ROWS[0], _ROWS[2])}, {_cross('kc', _ROWS[1], _ROWS[2])} FROM s4),
+  s6 AS (SELECT *, kax*kax + kay*kay + kaz*kaz AS na, kbx*kbx + kby*kby + kbz*kbz AS nb, kcx*kcx + kcy*kcy + kcz*kcz AS nc FROM s5),
+  s7 AS (SELECT *, sqrt(greatest(na, nb, nc)) AS n, CASE WHEN na >= nb AND na >= nc THEN [kax, kay, kaz] WHEN nb >= nc THEN [kbx, kby, kbz] ELSE [kcx, kcy, kcz] END AS d FROM s6),
+  s AS (SELECT id, l1 AS stress, (l1-l2)/nullif(3*q, 0) AS cl, d[1]/n AS dx, d[2]/n AS dy, d[3]/n AS dz, l1 >= avg(l1) OVER () AS strong FROM s7),
+  e AS (
+    SELECT a_id AS i, b_id AS j, i.strong AS si, j.strong AS sj,
+      least(abs(c.dx*i.dx + c.dy*i.dy + c.dz*i.dz), abs(c.dx*j.dx + c.dy*j.dy + c.dz*j.dz))/distance AS fit
+    FROM c JOIN s i ON i.id = a_id JOIN s j ON j.id = b_id),
+  k AS (SELECT * FROM e WHERE fit > cos(radians(45.0))),
+  t AS (SELECT i AS x, j AS y FROM k WHERE si AND sj UNION ALL SELECT j, i FROM k WHERE si AND sj),
+  r AS (SELECT id, id AS chain FROM s WHERE strong UNION SELECT t.y, r.chain FROM r JOIN t ON t.x = r.id AND r.chain < t.y),
+  g AS (SELECT id, min(chain) AS chain FROM r GROUP BY 1),
+  f AS (SELECT CASE WHEN si THEN j ELSE i END AS leaf, CASE WHEN si THEN i ELSE j END AS id, fit FROM k WHERE si <> sj),
+  h AS (SELECT leaf, arg_min(id, row(-fit, id)) AS id FROM f GROUP BY 1),
+  m0 AS (SELECT id, chain FROM g UNION ALL SELECT leaf, chain FROM h JOIN g ON g.id = h.id),
+  m AS (SELECT * FROM m0 QUALIFY count(*) OVER (PARTITION BY chain) >= 3)"""
+
+
+@query(with_views(_FORCE + f" SELECT chain, m.id, {sq('stress')} AS stress, strong FROM m JOIN s ON s.id = m.id", "points3d", recursive=True))
 def force_chains(spark, sf):
     df = P.force_chains(A.points3d(spark, sf), _contacts(spark, sf), 45.0)
     return df.select("chain", "id", rd("stress").alias("stress"), "strong")
 
 
-@query()
+@query(with_views(_FORCE + f" SELECT chain, count(*) AS length, {sq('sum(stress)', 3)} AS total_stress, {sq('avg(stress)', 3)} AS mean_stress, {sq('avg(cl)', 3)} AS mean_cl FROM m JOIN s ON s.id = m.id GROUP BY 1", "points3d", recursive=True))
 def chain_stats(spark, sf):
     df = P.chain_stats(P.force_chains(A.points3d(spark, sf), _contacts(spark, sf), 45.0))
     return df.select("chain", "length", rd("total_stress", 3).alias("total_stress"), rd("mean_stress", 3).alias("mean_stress"), rd("mean_cl", 3).alias("mean_cl"))

@@ -24,6 +24,14 @@ def test_has_values(spark, sf, name):
     assert len(got) and not got.isna().all().any(), name
 
 
+def test_force_chains_on_more_rows(spark, sf):
+    """The smallest tables hold no chain of three."""
+    more = sf.replace("sf0.001", "sf0.01")
+    got = QUERIES["force_chains"](spark, more).toPandas()
+    assert len(got) > 500
+    assert_same(got, connect(more).execute(SQL["force_chains"]).df())
+
+
 def test_entry():
     import __spark_entry__ as entry
 
