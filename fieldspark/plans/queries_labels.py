@@ -238,20 +238,37 @@ def misorientation_deg(spark, sf):
 
 
 
-@query("WITH m AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT id, " + sq("v[2]", 6) + " AS t3, " + sq("v[1] + v[1]", 6) + " AS sum0, " + sq("v[2] - v[4]", 6) + " AS diff1, " + sq("v[1]*v[1] + v[2]*v[4] + v[3]*v[7]", 6) + " AS p0, " + sq("v[1]*v[1] + v[4]*v[4] + v[7]*v[7]", 6) + " AS c0, " + sq("v[1]*v[2] + v[4]*v[5] + v[7]*v[8]", 6) + " AS c1 FROM m")
+def _matrices(spark, sf):
+    """Each vector's runs of nine elements as 3 x 3 matrices: (id, block, m)."""
+    blocks = F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / 9).cast("int") - 1)).alias("block")
+    return A.vectors(spark, sf).select("id", "v", blocks).select("id", "block", F.slice("v", F.col("block") * 9 + 1, F.lit(9)).alias("m"))
+
+
+_MATRICES = """WITH b AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, unnest(range(len(embedding) // 9))::INTEGER AS block FROM embeddings),
+  m AS (SELECT id, block, v[9*block + 1:9*block + 9] AS v FROM b)
+"""
+
+
+@query(
+    _MATRICES + f"""SELECT id, block, {sq("v[2]", 6)} AS t3, {sq("v[1] + v[1]", 6)} AS sum0, {sq("v[2] - v[4]", 6)} AS diff1, {sq("v[1]*v[1] + v[2]*v[4] + v[3]*v[7]", 6)} AS p0,
+  {sq("v[1]*v[1] + v[4]*v[4] + v[7]*v[7]", 6)} AS c0, {sq("v[1]*v[2] + v[4]*v[5] + v[7]*v[8]", 6)} AS c1 FROM m"""
+)
 def matrix_map(spark, sf):
-    df = A.vectors(spark, sf).select("id", F.slice("v", 1, 9).alias("m"))
-    df = df.select("id", "m", M.matrix_transpose("m", 3).alias("t"))
-    df = df.select("id", F.get("t", F.lit(3)).alias("t3"), F.get(M.matrix_sum("m", "m"), F.lit(0)).alias("sum0"), F.get(M.matrix_difference("m", "t"), F.lit(1)).alias("diff1"), F.get(M.matrix_product("m", "m", 3), F.lit(0)).alias("p0"), F.get(M.matrix_tproduct("m", "m", 3), F.lit(0)).alias("c0"), F.get(M.matrix_tproduct("m", "m", 3), F.lit(1)).alias("c1"))
-    return df.select("id", *[rd(c, 6).alias(c) for c in df.columns[1:]])
+    df = _matrices(spark, sf).withColumn("t", M.matrix_transpose("m", 3))
+    at = lambda m, i: F.get(m, F.lit(i))
+    made = {
+        "t3": at("t", 3), "sum0": at(M.matrix_sum("m", "m"), 0), "diff1": at(M.matrix_difference("m", "t"), 1), "p0": at(M.matrix_product("m", "m", 3), 0),
+        "c0": at(M.matrix_tproduct("m", "m", 3), 0), "c1": at(M.matrix_tproduct("m", "m", 3), 1),
+    }
+    return df.select("id", "block", *[rd(x, 6).alias(c) for c, x in made.items()])
 
 
 @query()
 def matrix_decompositions(spark, sf):
-    df = A.vectors(spark, sf).select("id", F.slice("v", 1, 9).alias("m"))
+    df = _matrices(spark, sf)
     for op in ("inverse", "svd", "eigen"):
         df = M.matrix_map(df, "m", op, 3)
-    return df.select("id", *[rd(F.get(F.col(op), F.lit(i)), 5).alias(f"{op}{i}") for op in ("inverse", "svd", "eigen") for i in range(3)])
+    return df.select("id", "block", *[rd(F.get(F.col(op), F.lit(i)), 5).alias(f"{op}{i}") for op in ("inverse", "svd", "eigen") for i in range(3)])
 
 
 @query(with_views("+p AS (SELECT pid, step, CASE WHEN t >= 1704067200 THEN (t-1704067200) - 500.05*floor((t-1704067200)/500.05) END AS phase FROM trajectories) SELECT pid, step, " + sq("phase", 3) + " AS phase, " + sq(f"CASE WHEN phase IS NULL THEN NULL WHEN phase < 0.05 THEN {2.5 * 9.81 / (2 * math.pi * 10) ** 2!r} * sin({2 * math.pi * 10!r} * phase) ELSE 0 END", 6) + " AS height FROM p", "trajectories"))

@@ -290,6 +290,13 @@ def double_centring(spark, sf):
     return G.double_centre(d, "label").select("a", "b", rd("centred", 5).alias("centred"))
 
 
+@query()
+def classical_mds(spark, sf):
+    """All rows' coordinates on three axes; distances are kept as well as three dimensions can (see the tests)."""
+    c = G.classical_mds(A.vectors(spark, sf), 3)
+    return c.select("id", *[rd(F.get("coords", F.lit(i)), 5).alias(f"c{i}") for i in range(3)])
+
+
 @query()
 def mds(spark, sf):
     """Landmark coordinates of the vectors; the sign of an axis is free, so sizes are returned."""

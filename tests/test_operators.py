@@ -519,3 +519,49 @@ def test_adaptive_cells_are_written(spark):
     assert deep.agg(F.sum("n")).first()[0] == 400 and deep.agg(F.max("depth")).first()[0] > 8
     plan = deep._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_matrix_decompositions_are_numpys(spark, sf):
+    from fieldspark.plans.catalogue import QUERIES
+
+    v = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").limit(20).collect()}
+    got = QUERIES["matrix_decompositions"](spark, sf).filter(F.col("id").isin(list(v))).collect()
+    assert len(got) == 7 * len(v)
+    for r in got:
+        m = v[r["id"]][9 * r["block"] : 9 * r["block"] + 9].reshape(3, 3)
+        assert [r[f"svd{i}"] for i in range(3)] == pytest.approx(np.linalg.svd(m, compute_uv=False), abs=1e-4)
+        assert [r[f"inverse{i}"] for i in range(3)] == pytest.approx(np.linalg.inv(m)[0], rel=1e-3, abs=1e-3)
+
+
+def test_projections_are_on_principal_axes(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(200, 3)) @ np.diag([5.0, 1.0, 0.2]) + [10.0, -3.0, 100.0]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(x.tolist())], "id long, x double, y double, z double")
+    got, cov, mean = grid.pca_project(df, ["x", "y", "z"], (2, 1), "id")
+    assert np.allclose(cov, np.cov(x.T, bias=True), atol=1e-6) and np.allclose(mean, x.mean(0))
+    p = np.array([[r["p0"], r["p1"]] for r in got.orderBy("id").collect()])
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(np.abs(p), np.abs((x - x.mean(0)) @ vectors[:, [2, 1]]), atol=1e-6) and np.allclose(p.var(0), values[[2, 1]])
+
+
+def test_landmarks_of_all_rows_are_classical_scaling(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(50, 4))
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "id long, v array<double>")
+    a, b = ({r["id"]: np.array(r["coords"]) for r in d.collect()} for d in (graph.landmark_mds(df, 50, 2), graph.classical_mds(df, 2)))
+    assert all(np.allclose(np.abs(a[i]), np.abs(b[i]), atol=1e-6) for i in range(50))
+
+
+def test_travel_times_of_one_velocity(spark):
+    """Times of a constant velocity leave no residual: at every node the time is the distance over it."""
+    rng = random.Random(17)
+    places = [(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(40)]
+    rows = [(1, 0.0, 0.0, i, x, y, math.hypot(x, y), math.hypot(x, y) / 5) for i, (x, y) in enumerate(places)]
+    schema = "src long, sx double, sy double, rcv long, x double, y double, dist double, tt double"
+    nodes = spark.createDataFrame([(i, float(i % 7 - 3) * 2, float(i // 7 - 3) * 2) for i in range(49)], "id long, x double, y double")
+    got = fit.travel_time_field(spark.createDataFrame(rows, schema), nodes, 4.0, 0.5).collect()
+    assert len(got) > 30
+    for r in got:
+        x, y = (r["id"] % 7 - 3) * 2, (r["id"] // 7 - 3) * 2
+        assert r["time"] == pytest.approx(math.hypot(x, y) / 5, abs=1e-6) and r["slowness"] == pytest.approx(0.2, abs=1e-6)
+        assert r["azimuth"] == pytest.approx(math.atan2(y, x) % (2 * math.pi), abs=1e-9)
