@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import columns_of, id_remainder
 
@@ -177,16 +176,13 @@ def predict(net: dict, texts: list[bytes]) -> np.ndarray:
     return p / p.sum(1, keepdims=True) if len(texts) else p
 
 
-def identify(docs: DataFrame, net: dict, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score (0 to 1). `net` is of fixed size and travels with the function."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def identify(docs: DataFrame, net: dict, text: str = "text", found: str = "found") -> DataFrame:
+    """`docs` with found (lang_pred, score from 0 to 1). `net` is of fixed size and travels with the function; only texts go to Python."""
 
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
+            texts = [t or "" for t in b]
             known = [bool(net["labels"]) and any(map(str.isalpha, t)) for t in texts]
             pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             own = [i for i, ok in enumerate(known) if ok]
@@ -195,9 +191,10 @@ def identify(docs: DataFrame, net: dict, text: str = "text") -> DataFrame:
                 p = predict(net, [texts[i].encode("utf-8") for i in some])
                 for i, j, s in zip(some, p.argmax(1), p.max(1)):
                     pred[i], score[i] = net["labels"][j], float(s)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return docs.mapInArrow(run, schema)
+    # A function that may differ from call to call isn't called again for a filter on its result.
+    return docs.withColumn(found, run.asNondeterministic()(F.col(text)))
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", folds: int = 5) -> dict:
@@ -210,12 +207,11 @@ def predict_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """doc_id, held_out, lang_pred, score of every text."""
     net = fit(docs, key, text, label, folds)
     rows = docs.select(F.col(key).alias("doc_id"), (id_remainder(F.col(key), folds) == 0).alias("held_out"), F.col(text).alias("text"))
-    return identify(rows, net).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows, net).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def reject_unknown(docs: DataFrame, text: str = "text", least: float = 0.5, **options) -> DataFrame:
     """The rows of `docs` in a language that the network knows (score of at least `least`), columns unchanged."""
     net = fit(docs, text=text, **options)
-    own = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(text).alias("__fs_text"))
-    found = identify(own, net, "__fs_text").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select("row.*")
+    known = (F.col("__fs_found.lang_pred") != UNKNOWN) & (F.col("__fs_found.score") >= least)
+    return identify(docs, net, text, "__fs_found").filter(known).select(*columns_of(docs))
