@@ -60,9 +60,9 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([(x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type)) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
 
-def parts_of(spark) -> int:
-    """Parts of the space of words or grams, where those of all blocks meet: in proportion to the tasks of a shuffle."""
-    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def parts_of(spark, tasks: int = 1) -> int:
+    """Parts of the space of words or grams, where those of all blocks meet: in proportion to the tasks of a shuffle, one for so many."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // tasks)
 
 
 def number_words(docs: DataFrame, split: Callable[[Numbers], Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]], name: str, gather: Callable, most: int = SLICE, batch: int = 10_000) -> DataFrame:
@@ -199,11 +199,11 @@ def unpack_words(packed: bytes) -> list[bytes]:
 CODED = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("data", pa.list_(pa.binary()))])
 
 
-def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], use: Callable, schema: str) -> DataFrame:
+def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], use: Callable, schema: str, parts: int) -> DataFrame:
     """apply_values() for a table numbered with BlockWords, with values (array<int>) that follow from a word alone.
 
     All blocks' words of a part meet in one task; `encode` (an expression of an array of words) runs over each distinct
-    word once, and `use` gets, for each block, the values' lengths and the values one after the other, packed. Words are
+    word once (each of its tasks unpacks the rank map, so there are only `parts` of them), and `use` gets, for each block, the values' lengths and the values one after the other, packed. Words are
     shuffled once, and their values once.
     """
     arrays = "blocks array<long>, places array<binary>, which array<binary>, words array<binary>"
@@ -231,7 +231,6 @@ def apply_codes(numbered: DataFrame, encode: Callable[[Column], Column], use: Ca
                     data.append([zlib.compress(n.astype("<u4").tobytes(), 1), pack_numbers(flat[ranges(at[w], n)])])
                 yield batch_of(CODED, block=[k for k, _, _ in rows], places=[p for _, p, _ in rows], data=data)
 
-    parts = parts_of(numbered.sparkSession)
     words = numbered.filter(F.col("grams").isNotNull()).select("part", "block", "grams", "gram_counts").repartition(parts, "part")
     # A stage of its own, so that a task has one Python process at a time; and each row, of CHUNK words at most, is as much work.
     words = words.groupBy("part").applyInPandas(union, arrays).repartition(parts)

@@ -175,7 +175,7 @@ def pattern_words(pattern: str) -> Callable[[Numbers], Callable[[pa.Array], tupl
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every text."""
     spark = docs.sparkSession
-    parts = parts_of(spark)
+    parts = parts_of(spark, 4)
     rows = docs.select(F.col(key).alias("doc_id"), F.lit(False).alias("flag"), F.col(text).alias("text"))
     numbered = number_words(rows, pattern_words(pattern), "words", lambda numbers: BlockWords(numbers, parts), SLICE, 2000)
     ranks = read_ranks(ranks_path)
@@ -211,7 +211,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
         return pa.table(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return apply_codes(numbered, lambda words: encode_words(words, literal), use, schema + ", ids array<int>" * keep_ids)
+    return apply_codes(numbered, lambda words: encode_words(words, literal), use, schema + ", ids array<int>" * keep_ids, parts)
 
 
 def piece_list(ranks: dict[bytes, int]) -> Column:
