@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. run() applies them to the
 documents table and writes each stage's result as Parquet to the shared folder, from which the next one reads.
+
+Edge cases: a null or empty text has no words and goes in the first stage, as does any text of under 20 words; a text without
+a letter, or one that the network isn't sure of, goes in the second, as do all texts if no document has a language; null ids,
+sources and languages are values of their own; rows are told apart by id and text, and of rows that are equal in both one
+stays in the third stage; a long text is read whole by every stage; an empty table, or one of which nothing is kept, gives
+an empty result with the last stage's columns; further columns are carried to the fourth stage, whatever their names.
 """
 
 from __future__ import annotations
