@@ -321,14 +321,19 @@ def pixel_triangles(points: DataFrame, most: float) -> DataFrame:
 
     `points` has (id, u, v, x, y, z), several per pixel.
     """
-    own = points.select(F.col("id").alias("a"), "u", "v", F.struct("x", "y", "z").alias("pa"))
+    own = points.select(F.col("id").alias("a"), "u", "v", "z", F.struct("x", "y", "z").alias("pa")).filter("z IS NOT NULL")
+    depths = materialise(own.groupBy("u", "v", "z").agg(F.min(F.struct(F.col("a").alias("id"), "pa")).alias("first")), "depths")
 
     def beside(du: int, dv: int, n: str) -> DataFrame:
-        other = points.select((F.col("u") - du).alias("u"), (F.col("v") - dv).alias("v"), F.col("id").alias(n), F.struct("x", "y", "z").alias(f"p{n}"))
-        both = own.join(other, ["u", "v"])
-        return both.groupBy("a").agg(F.min_by(F.struct(n, f"p{n}"), F.struct(F.abs(F.col("pa.z") - F.col(f"p{n}.z")), n)).alias("m")).select("a", f"m.{n}", f"m.p{n}")
-
-    rows = own.join(beside(1, 0, "b"), "a").join(beside(0, 1, "c"), "a")
+        other = depths.select((F.col("u") - du).alias("u"), (F.col("v") - dv).alias("v"), "z", F.struct("z", "first.id", "first.pa").alias("known"), F.lit(0).alias("kind"))
+        asked = depths.select("u", "v", "z", F.lit(None).cast(other.schema["known"].dataType).alias("known"), F.lit(1).alias("kind"))
+        # The nearest depths from above and below, by windows over a pixel's depths and those beside it.
+        w = lambda z: Window.partitionBy("u", "v").orderBy(z, "kind").rowsBetween(Window.unboundedPreceding, 0)
+        rows = asked.unionByName(other).withColumn("lo", F.last("known", True).over(w(F.col("z").asc()))).withColumn("hi", F.last("known", True).over(w(F.col("z").desc()))).filter("kind = 1")
+        key = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col("z") - F.col(f"{s}.z")).alias("far"), F.col(f"{s}.id").alias("id"), F.col(f"{s}.pa").alias("pa")))
+        return rows.withColumn("m", F.least(key("lo"), key("hi"))).filter("m IS NOT NULL").select("u", "v", "z", F.col("m.id").alias(n), F.col("m.pa").alias(f"p{n}"))
+
+    rows = own.join(beside(1, 0, "b").join(beside(0, 1, "c"), ["u", "v", "z"]), ["u", "v", "z"])
     edge = lambda p, q: F.sqrt(sum((F.col(f"{p}.{k}") - F.col(f"{q}.{k}")) ** 2 for k in "xyz"))
     return rows.withColumn("diameter", F.greatest(edge("pa", "pb"), edge("pb", "pc"), edge("pc", "pa"))).filter(F.col("diameter") < F.lit(float(most))).select("a", "b", "c", "diameter")
 
