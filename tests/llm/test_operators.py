@@ -676,6 +676,33 @@ def test_orc_round_trip(spark, odd_rows, empty, tmp_path):
     assert orcids.round_trip(empty, path).count() == 0
 
 
+def test_orc_pieces(monkeypatch):
+    """Each piece of words is encoded once, whatever its case, marks and slice, and the ids are the library's."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = orcids.Words(path)
+    asked, encode = [], words.encode
+    monkeypatch.setattr(words, "encode", lambda texts: asked.extend(w for t in texts for w in t.split(" ")) or encode(texts))
+    for text in ("Tree tree TREE, tree. Über,", "tree? (tree) tree!!! über, über. über", "TREE. tree, !!!"):
+        flat, _ = orcids.encode_slice(words, pa.array([text]), "<|", 1)
+        assert flat.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    for piece in ("tree", ",", ".", "!!!"):
+        assert asked.count(piece) == 1, piece
+    rng = random.Random(4)
+    parts = ["a", "Z", "é", "É", "ß", "İ", "Σ", "ς", "e\u0301", "\u0301", "ǅ", "ª", "×", "ﬁ", "日", "ก็", "4", "²", "½", "'", "'s", "'LL", ",", ".", "!", "<", "|", "\x00", "\x1c", "\x7f", "\u00a0", "\u0338", "\u212b", "가", "\u11a8", "\U0001f600"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(6)) for _ in range(3000)] + ["", "x" * 500 + "."]
+    texts = [t for t in texts if "<|" not in t]
+    for kept in (10**6, 50, 0):
+        monkeypatch.setattr(orcids, "KEPT", kept)
+        words = orcids.Words(path)
+        for own in (texts[:1000], [""], texts[1000:]):
+            flat, n = orcids.encode_slice(words, pa.array(own), "<|", 1)
+            assert len(words.n) == len(words.known) <= kept
+            for t, ids in zip(own, np.split(flat, np.cumsum(n)[:-1])):
+                assert ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids + [1], t
+
+
 # 9. Mixing.
 
 
