@@ -200,7 +200,7 @@ def mask_to_points(spark, sf):
 
 @query(with_views(f"SELECT src, rcv, {sq('km', 3)} AS km FROM geo_pairs", "geo_pairs"))
 def great_circle_km(spark, sf):
-    return A.geo_pairs(spark, sf).select("src", "rcv", rd("km", 3).alias("km"))
+    return A.each_receiver(A.geo_places(spark, sf).select("src", "rcvs", rd("km", 3).alias("km")))
 
 
 @query("SELECT c_custkey, " + sq("6371.0 * acos(greatest(-1.0, least(1.0, sin(radians(lat))*sin(radians(lat)) + cos(radians(lat))*cos(radians(lat))*cos(radians((lon+0.5)-(lon-0.5)))))) / 1.0", 3) + " AS east FROM (SELECT c_custkey, c_custkey*91 % 360 - 179.5::DOUBLE AS lon, c_custkey*29 % 170 - 84.75::DOUBLE AS lat FROM customer)")
